@@ -32,7 +32,16 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+OP7 = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, array_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
+"""
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3,
     "op4_substring_dedup": OP4,
+    "op7_nearest_neighbours": OP7,
 }
