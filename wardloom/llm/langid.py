@@ -2,8 +2,9 @@
 
 A text is a vector of hashed 2- and 3-grams of its bytes (A-Z lower-cased, other ASCII than letters as one kind of
 border), weighted 1 + log(tf) times idf and normalised. The vectors of each language are clustered by spherical
-k-means; a text gets the language of the centroid with the largest cosine. A text further from every centroid than
-``slack`` times the farthest training text of the nearest one is rejected.
+k-means; a text gets the language of the centroid with the largest cosine. A text is rejected if its cosine is under
+``slack`` times that of the farthest training text of its centroid; texts of fewer than ``least_grams`` different
+n-grams are too short for that to mean anything and are kept.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._words import Texts, pieces
@@ -59,21 +60,24 @@ class Model:
     centroids: np.ndarray  # a row each
     language: np.ndarray  # of each centroid
     radius: np.ndarray  # the cosine under which the nearest centroid rejects
+    least_grams: int
 
-    def vectors(self, column: pa.Array) -> np.ndarray:
+    def vectors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of each text, and its number of different n-grams."""
         row, dim, count = grams(column, self.dims)
         weight = (1 + np.log(count)) * self.idf[dim]
         norm = np.sqrt(np.bincount(row, weight**2, len(column)))
         out = np.zeros((len(column), self.dims), np.float32)
         out[row, dim] = weight / norm[row]
-        return out
+        return out, np.bincount(row, minlength=len(column))
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The index of the language, the cosine, and whether the text is too far from it."""
-        cosine = self.vectors(column) @ self.centroids.T
+        vectors, different = self.vectors(column)
+        cosine = vectors @ self.centroids.T
         best = cosine.argmax(axis=1)
         score = cosine[np.arange(len(best)), best]
-        return self.language[best], np.clip(score, 0, 1).astype(np.float64), score < self.radius[best]
+        return self.language[best], np.clip(score, 0, 1).astype(np.float64), (score < self.radius[best]) & (different >= self.least_grams)
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +93,7 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nd
     return c, (x @ c.T).argmax(axis=1)
 
 
-def fit(docs: DataFrame, usable: Column, dims: int = 8192, per_language: int = 700, clusters: int = 4, slack: float = 0.5) -> Model | None:
+def fit(docs: DataFrame, usable: Column, dims: int = 8192, per_language: int = 700, clusters: int = 4, slack: float = 0.5, least_grams: int = 50) -> Model | None:
     """Learns from the text and lang of the rows where ``usable``, of which it takes ``per_language`` for each language:
     those whose ids hash lowest. That bounds what reaches the driver. None if there is nothing to learn from.
     """
@@ -100,8 +104,6 @@ def fit(docs: DataFrame, usable: Column, dims: int = 8192, per_language: int = 7
     # A share of each language that gives about twice the rows wanted; the lowest of these are then taken exactly.
     share = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, 2 * per_language / n)))])
     near = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) <= share[F.col("lang")])
-    from pyspark.sql import Window
-
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_language)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +118,7 @@ def fit(docs: DataFrame, usable: Column, dims: int = 8192, per_language: int = 7
     seen = np.zeros(dims)
     for dim, _ in lists:
         seen[dim] += 1
-    model = Model(dims, (np.log((1 + len(lists)) / (1 + seen)) + 1).astype(np.float32), sorted(sizes), np.zeros((0, dims)), np.zeros(0, int), np.zeros(0))
+    model = Model(dims, (np.log((1 + len(lists)) / (1 + seen)) + 1).astype(np.float32), sorted(sizes), np.zeros((0, dims)), np.zeros(0, int), np.zeros(0), least_grams)
     centroids, language, radius = [], [], []
     for n, lang in enumerate(model.languages):
         own = [x for (of, _, _), x in zip(sample, lists, strict=True) if of == lang]
