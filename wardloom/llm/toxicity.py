@@ -7,9 +7,10 @@ reported speech, given as short lists. Three transducers read the classed words
 * reported speech: a verb of saying, or an open quotation, marks the matches of its clause as reported;
 * target: a word for a person marks the matches within a few words of it, on either side, as targeted.
 
-Their composition turns each insult or threat into one event, of a kind that is the product of the marks. A text is
-scored by a logistic model over the counts of its events and the share of its clauses that hold one, fitted on the same
-labelled texts; isolated words have no weight but through the clause they are matched in.
+Their composition turns each insult or threat into one event, of a kind that is the product of the marks, with the
+weight of its lexicon entry. A text is scored by a logistic model over the summed weights of its events of each kind and
+the share of its clauses that hold one, fitted on the same labelled texts; isolated words have no weight but through the
+clause they are matched in.
 """
 
 from __future__ import annotations
@@ -44,14 +45,15 @@ def lexicon_keys(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in STEM if k <= len(word))]
 
 
-def events(text: str, insult: dict[str, float]) -> list[tuple[str, int]]:
-    """The events of a text with the clause of each, by a run of the composed transducers over each clause."""
+def events(text: str, insult: dict[str, float]) -> list[tuple[str, int, float]]:
+    """The events of a text with the clause and weight of each, by a run of the composed transducers over each clause."""
     out = []
     for n, clause in enumerate(CLAUSE.split(text)):
-        words, quoted = [], clause.count('"') >= 2 or clause.count("“") >= 1
+        words, weights, quoted = [], [], clause.count('"') >= 2 or clause.count("“") >= 1
         for w in WORD.findall(clause.lower()):
-            kind = "T" if w in TARGETS else "N" if w in NEGATIONS else "R" if w in REPORTS else "V" if w in THREATS else "I" if any(k in insult for k in lexicon_keys(w)) else "."
-            words.append(kind)
+            weight = max((insult[k] for k in lexicon_keys(w) if k in insult), default=0.0)
+            words.append("T" if w in TARGETS else "N" if w in NEGATIONS else "R" if w in REPORTS else "V" if w in THREATS else "I" if weight else ".")
+            weights.append(weight or 1.0)
         if "I" not in words and "V" not in words:
             continue
         reported, negation, last_target = quoted or "R" in words, 0, -99
@@ -64,7 +66,7 @@ def events(text: str, insult: dict[str, float]) -> list[tuple[str, int]]:
             if kind == "V" and not targeted:
                 continue  # a threat is against someone
             mark = "_negated" if negation else "_reported" if reported else "_targeted" if targeted else ""
-            out.append((("insult" if kind == "I" else "threat") + mark, n))
+            out.append((("insult" if kind == "I" else "threat") + mark, n, weights[i]))
     return out
 
 
@@ -82,13 +84,16 @@ class Model:
         finder.make_automaton()
         return finder if words else None
 
-    def features(self, text: str | None, finder: ahocorasick.Automaton) -> tuple[np.ndarray, list[tuple[str, int]]]:
+    def features(self, text: str | None, finder: ahocorasick.Automaton) -> tuple[np.ndarray, list[tuple[str, int, float]]]:
         out, found = np.zeros(len(FEATURES)), []
         if text and next(finder.iter(text.lower()), None) is not None:
             found = events(text, self.insult)
-            for kind, n in Counter(k for k, _ in found).items():
-                out[EVENTS.index(kind)] = np.log1p(n)
-            out[-1] = len({n for _, n in found}) / max(1, sum(bool(c.strip()) for c in CLAUSE.split(text)))
+            clauses: dict[int, float] = {}
+            for kind, n, weight in found:
+                out[EVENTS.index(kind)] += weight
+                clauses[n] = max(clauses.get(n, 0.0), weight)
+            out = np.log1p(out)
+            out[-1] = sum(clauses.values()) / max(1, sum(bool(c.strip()) for c in CLAUSE.split(text)))
         return out, found
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -145,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 16_000
     scored = sums.where((F.col("toxic") >= least) & (F.col("odds") >= margin))
     kept = scored.orderBy(F.desc("odds"), "key").limit(most_keys).collect()
     # A stem or word is enough once: drop those that a shorter stem of at least the same odds covers.
-    best = {r.key: r.odds for r in kept}
+    # Odds that few texts speak for are shrunk; five, which holds of a word hardly met elsewhere, weighs one.
+    best = {r.key: r.odds / 5 * r.toxic / (r.toxic + 20) for r in kept}
     insult = {k: o for k, o in best.items() if not any(best.get(s, -9) >= o - 1e-9 for s in lexicon_keys(k.lstrip("="))[1:] if s != k)}
     model = Model(insult, np.zeros(len(FEATURES) + 1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -186,7 +192,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 both = [model.features(t, finder) for t in texts]
                 y, found = model.score(np.stack([x for x, _ in both])), [x for _, x in both]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(y), pa.array((y >= 0.5).astype(np.int32)), pa.array([[{"kind": k, "clause": n} for k, n in x] for x in found], pa.list_(pa.struct([("kind", pa.string()), ("clause", pa.int32())])))],
+                [batch.column("doc_id"), pa.array(y), pa.array((y >= 0.5).astype(np.int32)), pa.array([[{"kind": k, "clause": n} for k, n, _ in x] for x in found], pa.list_(pa.struct([("kind", pa.string()), ("clause", pa.int32())])))],
                 ["doc_id", "score", "predicted", "events"],
             )
 
