@@ -76,14 +76,15 @@ class _Chunk:
         self.ids = table.column("doc_id").combine_chunks()
         self.texts = Texts(table.column("text"))
         self.words = self.texts.words(WORD)
-        self.at, h = windows(self.words.hashes(1), self.words.bounds, plan.n)
+        hashes = self.words.hashes(1)
+        self.at, h = windows(hashes, self.words.bounds, plan.n)
         doc = self.words.doc()[self.at]
         known = np.asarray(self.ids.is_valid())[doc]
         self.at, h, doc = self.at[known], h[known], doc[known]
         self.id = np.asarray(self.ids.fill_null(0), np.int64)[doc]
-        _, low = windows(self.words.hashes(2), self.words.bounds, plan.n, 0xA3B195354A39B70D)
+        _, low = windows(hashes, self.words.bounds, plan.n, 0xA3B195354A39B70D)
         low = (low[known] >> np.uint64(32)).astype(np.uint32)
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         a, b = h[order], low[order]
         if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
             order = np.lexsort((low, h))
@@ -98,21 +99,29 @@ class _Chunk:
         self.least = np.minimum.reduceat(ids, first) if len(first) else ids
         self.twice = (np.maximum.reduceat(ids, first) if len(first) else ids) > self.least
 
-    def buckets(self, plan: _Plan, row: int) -> np.ndarray:
-        return np.unique(plan.bucket(self.high, row))
+    def buckets(self, plan: _Plan, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """The counters that the distinct windows fall on, rising, and of each window: which of these."""
+        all_of = plan.bucket(self.high, row)
+        order = np.argsort(all_of)
+        rising = all_of[order]
+        new = np.ones(len(rising), bool)
+        new[1:] = rising[1:] != rising[:-1]
+        of = np.empty(len(rising), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return rising[new], of
 
     def repeated(self, plan: _Plan, answers: dict) -> np.ndarray:
         """Of each distinct window: is it estimated to be in two chunks or more, or known to be in two documents?"""
         maybe = np.ones(len(self.high), bool)
         for row in range(plan.depth):
-            mine = self.buckets(plan, row)
+            mine, of = self.buckets(plan, row)
             bits = np.zeros(len(mine), bool)
             edge = np.searchsorted(mine, np.arange(plan.blocks + 1, dtype=np.uint64) * np.uint64(plan.width))
             for block in range(plan.blocks):
                 a, b = edge[block], edge[block + 1]
                 if b > a:
                     bits[a:b] = np.unpackbits(np.frombuffer(answers[0, row * plan.blocks + block], np.uint8), count=b - a)
-            maybe &= bits[np.searchsorted(mine, plan.bucket(self.high, row))]
+            maybe &= bits[of]
         return maybe | self.twice
 
     def entries(self, plan: _Plan, answers: dict) -> Iterator[tuple[int, np.ndarray]]:
@@ -150,7 +159,7 @@ def dedup(docs: DataFrame, n: int = 13, depth: int = 2, load: float = 4.0, chunk
         chunk, number = _Chunk(table, plan), table.column("chunk")[0].as_py()
         parts, slots = [], []
         for row in range(plan.depth):
-            mine = chunk.buckets(plan, row)
+            mine, _ = chunk.buckets(plan, row)
             edge = np.searchsorted(mine, np.arange(plan.blocks + 1, dtype=np.uint64) * np.uint64(plan.width))
             for block in range(plan.blocks):
                 if edge[block + 1] > edge[block]:
