@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .secrets import BASE, RULES, Rule
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -40,8 +42,33 @@ SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
 """
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _matches(n: int, rule: Rule) -> str:
+    """The matches of a rule, from the lengths of what lies between them."""
+    pattern, kept = _quoted(rule.pattern), f"regexp_matches(m, {_quoted(rule.kept)})" if rule.kept else "true"
+    return f"""SELECT doc_id, '{rule.kind}' AS kind, {n} AS n, e - length(m) AS s, e FROM (
+      SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+        SELECT doc_id, unnest(f) AS m, unnest(b[:len(f)]) AS g, unnest(range(len(f))) AS i
+        FROM (SELECT doc_id, regexp_extract_all(text, {pattern}) AS f, string_split_regex(text, {pattern}) AS b FROM documents WHERE regexp_matches(text, {pattern})))) WHERE {kept}"""
+
+
+_BASE = ", ".join(f"'{r.kind}'" for r in BASE)
+_LIST = "string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, n)"
+OP5 = f"""
+WITH m AS ({" UNION ALL ".join(_matches(n, r) for n, r in enumerate(RULES))}),
+a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)}, {_LIST} FILTER (kind IN ({_BASE})) AS base, {_LIST} AS spans FROM m GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN a USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3,
     "op4_substring_dedup": OP4,
+    "op5_secrets": OP5,
     "op7_nearest_neighbours": OP7,
 }
