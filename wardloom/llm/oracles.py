@@ -66,9 +66,22 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r
 FROM documents LEFT JOIN a USING (doc_id)
 """
 
+OP9 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER.format("text")}, '{SPACE}'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.reached),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3,
     "op4_substring_dedup": OP4,
     "op5_secrets": OP5,
+    "op9_jaccard_join": OP9,
     "op7_nearest_neighbours": OP7,
 }
