@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The same rows, read back from ``spark.checkpoint.dir``; a folder of our own only where the session names none."""
-    context = frame.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The shared folder: ``spark.checkpoint.dir``, or one of our own only where the session names none."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The same rows, read back from a checkpoint in the shared folder."""
+    folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The same rows, read back from a Parquet table in the shared folder."""
+    path = f"{folder(frame.sparkSession)}/{uuid.uuid4()}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)

@@ -244,9 +244,9 @@ def decode(encoded: DataFrame, tokenizer_path: str, piece_tokens: int = 1 << 20)
     return source.mapInArrow(decoded, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
+def digest(decoded: DataFrame, *more: str) -> DataFrame:
     return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

@@ -81,13 +81,13 @@ def _scan(grams: _Grams, batch: pa.RecordBatch) -> tuple[list[list[str]], np.nda
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _batch(batch: pa.RecordBatch, n_words, n_hit, items: pa.Array, spans: list, with_text: bool) -> pa.RecordBatch:
-    columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(spans, SPANS), batch.column("text")]
-    return pa.RecordBatch.from_arrays(columns[: 5 + with_text], ["doc_id", "n_words", "n_hit", "items", "spans", "text"][: 5 + with_text])
+def _batch(batch: pa.RecordBatch, n_words, n_hit, items: pa.Array, spans: list) -> pa.RecordBatch:
+    columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(spans, SPANS)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "items", "spans"])
 
 
-def _schema(source: DataFrame, with_text: bool) -> str:
-    return f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>" + ", text string" * with_text
+def _schema(source: DataFrame) -> str:
+    return f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
@@ -103,8 +103,8 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
         yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 32 << 20, with_text: bool = False) -> DataFrame:
-    """Hits of the benchmark in each document: doc_id, n_words, n_hit, items (sorted), spans (bytes) and, if asked, text.
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+    """Hits of the benchmark in each document: doc_id, n_words, n_hit, items (sorted) and spans (bytes).
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored. An item of fewer than n
     words, but not none, is one window. A null text, or one with no words, has no hits; a benchmark row with null id or
@@ -119,16 +119,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int =
         def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text"):
                 items, n_words, n_hit, spans, _ = _scan(grams.value, batch)
-                yield _batch(batch, n_words, n_hit, pa.array(items, pa.list_(pa.string())), spans, with_text)
+                yield _batch(batch, n_words, n_hit, pa.array(items, pa.list_(pa.string())), spans)
 
-        return source.mapInArrow(scanned, _schema(source, with_text))
+        return source.mapInArrow(scanned, _schema(source))
 
     if len(parts) == 1:
         return run(parts[0])
-    return _merged(reduce(DataFrame.unionByName, [run(p).drop("text").where("n_hit > 0") for p in parts]), source, with_text)
+    return _merged(reduce(DataFrame.unionByName, [run(p).where("n_hit > 0") for p in parts]), source)
 
 
-def _merged(hits: DataFrame, source: DataFrame, with_text: bool) -> DataFrame:
+def _merged(hits: DataFrame, source: DataFrame) -> DataFrame:
     """One row per document from the hits of several blocks; words are counted again inside the union of their spans."""
 
     by_doc = hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
@@ -148,37 +148,50 @@ def _merged(hits: DataFrame, source: DataFrame, with_text: bool) -> DataFrame:
                 starts = words.starts[words.bounds[d] : words.bounds[d + 1]] - texts.offsets[d]
                 n_hit.append(sum(int(np.searchsorted(starts, x["end"]) - np.searchsorted(starts, x["start"])) for x in joined))
                 spans.append(joined)
-            yield _batch(batch, np.diff(words.bounds), n_hit, batch.column("items"), spans, with_text)
+            yield _batch(batch, np.diff(words.bounds), n_hit, batch.column("items"), spans)
 
     joined = source.join(by_doc, "doc_id", "left").select("doc_id", "text", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
-    return joined.mapInArrow(counted, _schema(source, with_text))
+    return joined.mapInArrow(counted, _schema(source))
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, how: str = "documents", **options) -> DataFrame:
-    """The documents without the benchmark: ``documents`` drops every hit document, ``spans`` cuts the hit spans out.
+def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, how: str = "documents", block_bytes: int = 32 << 20) -> DataFrame:
+    """The documents without the benchmark, with all their columns: ``documents`` drops every document with a hit,
+    ``spans`` cuts the hit words out of the texts, with what stands between them.
 
-    Keeps doc_id and text; a text that is cut to nothing stays as an empty one.
+    A null text has no hits and stays; a text that is cut to nothing stays as an empty one. Needs a column text.
     """
-    found = scan(docs, benchmark, n, with_text=True, **options)
-    if how == "documents":
-        return found.where("n_hit = 0").select("doc_id", "text")
-    if how != "spans":
+    if how not in ("documents", "spans"):
         raise ValueError(f"how must be documents or spans, not {how}")
+    spark = docs.sparkSession
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                if spans:
-                    raw, at, kept = text.encode(), 0, []
-                    for x in spans:
-                        kept.append(raw[at : x["start"]])
-                        at = x["end"]
-                    text = b"".join([*kept, raw[at:]]).decode()
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
-
-    return found.select("doc_id", "text", "spans").mapInArrow(cut, found.select("doc_id", "text").schema)
+    def kept(frame: DataFrame, grams) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, "text"):
+                _, _, n_hit, spans, _ = _scan(grams.value, batch)
+                if how == "documents":
+                    yield batch.filter(pa.array(n_hit == 0))
+                elif n_hit.any():
+                    texts = [_cut(t, x) for t, x in zip(batch.column("text").to_pylist(), spans, strict=True)]
+                    yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+                else:
+                    yield batch
+
+        return frame.mapInArrow(run, frame.schema)
+
+    # Blocks of a large benchmark follow one another in one pass; cut texts are judged by the next block as they are then.
+    for block in _blocks(benchmark, block_bytes):
+        docs = kept(docs, spark.sparkContext.broadcast(_Grams(block, n)))
+    return docs
+
+
+def _cut(text: str | None, spans: list[dict]) -> str | None:
+    if not spans:
+        return text
+    raw, at, out = text.encode(), 0, []
+    for x in spans:
+        out.append(raw[at : x["start"]])
+        at = x["end"]
+    return b"".join([*out, raw[at:]]).decode()
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     """The tokenizer file of the queries: of the installed public vocabularies."""
     import public_tokenizers
 
@@ -22,11 +22,11 @@ def _tokenizer() -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count(_table(spark, sf_dir, "documents"), _tokenizer())
+    return token_counts.count(_table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), _tokenizer()), _tokenizer()))
+    return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), tokenizer()), tokenizer()))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

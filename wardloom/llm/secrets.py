@@ -98,10 +98,11 @@ def _spans(rule: Rule, text: Column) -> Column:
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Adds ``spans``, array<struct<start, end, kind>> in code points: by start, then in the order of ``rules``.
 
-    ``docs`` needs doc_id and text and keeps its other columns. Matches of one rule do not overlap; those of different
+    ``docs`` needs doc_id and text and keeps its other columns but one named spans. Matches of one rule do not overlap; those of different
     rules may. A null or empty text has none. Rows that share a doc_id, null ones too, are candidates together, and
     each is verified by itself.
     """
+    docs = docs.drop("spans")
     by_index, whole = [r for r in rules if r.literals], [r for r in rules if not r.literals]
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     text = F.col("__docs.text")
