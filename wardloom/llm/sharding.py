@@ -5,10 +5,11 @@ of one text have the same neighbours, so a text's documents in one shard, a piec
 third of the corpus repeats is a few rows here. A round of propagation:
 
 1. each piece asks for the open shard where its text has the largest piece, if that is larger than its own;
-2. the requests for a shard are granted in order, by running sums, up to its quota: its capacity, less what it holds,
-   plus what asks to leave it; the last may be granted in part.
+2. the requests for a shard are granted, those for larger pieces first, by running sums, up to its quota: its capacity,
+   less what it holds, plus what asks to leave it; the last may be granted in part.
 
-What then still exceeds a shard's capacity goes to those with room. Texts that occur once have no links: they fill the
+What then still exceeds a shard's capacity goes to those with room, and more rounds, in which nothing that asks to leave
+counts as gone, bring together what that has split. Texts that occur once have no links: they fill the
 shards up. Ranks are made of counts by bucket and a window inside each bucket, so none is taken over a whole shard.
 """
 
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from ._lineage import cut
 
 
-def _running(rows: DataFrame, group: str | None, size: str, order: list, buckets: int) -> DataFrame:
-    """Adds ``before``: the sum of ``size`` over the rows of the same group ahead, by bucket of the key and then ``order``."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(31)), F.lit(buckets)).cast("int"))
+def _running(rows: DataFrame, group: str | None, size: str, order: list, buckets: int, first: Column | int = 0) -> DataFrame:
+    """Adds ``before``: the sum of ``size`` over the rows of the same group ahead: by ``first`` (a small number), by
+    bucket of the key, and then by ``order``."""
+    first = first if isinstance(first, Column) else F.lit(first)
+    rows = rows.withColumn("bucket", (first * buckets + F.pmod(F.xxhash64("key", F.lit(31)), F.lit(buckets))).cast("long"))
     keys = ([group] if group else []) + ["bucket"]
     sums = rows.groupBy(*keys).agg(F.sum(size).alias("s"))
     by_group = Window.partitionBy(*([group] if group else [])).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,16 +47,19 @@ def _merged(moved: DataFrame) -> DataFrame:
     return cut(moved.groupBy("key", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
 
 
-def _round(pieces: DataFrame, caps: list[int], loads: list[int], buckets: int) -> tuple[DataFrame, int]:
+def _round(pieces: DataFrame, caps: list[int], loads: list[int], buckets: int, strict: bool = False) -> tuple[DataFrame, int]:
     by_text = Window.partitionBy("key")
     tie = F.pmod(F.xxhash64("key", "shard"), F.lit(1 << 20))
     size = F.struct("n", tie.alias("tie"), "shard")
     is_open = _of([load < cap for load, cap in zip(loads, caps, strict=True)], "shard")
-    asked = pieces.withColumn("size", size).withColumn("best", F.max(F.when(is_open, size)).over(by_text)).where(F.col("best") > F.col("size"))
+    best = F.max(F.when(is_open, size)).over(by_text)
+    # A piece in a full shard also goes to an equal one, which cannot come to it.
+    better = (F.col("best") > F.col("size")) | (~is_open & (F.col("best.n") == F.col("n")))
+    asked = pieces.withColumn("size", size).withColumn("best", best).where(better & (F.col("best.shard") != F.col("shard")))
     asked = cut(asked.select("key", "shard", F.col("best.shard").alias("to"), "n", F.col("best.n").alias("gain")))
     leaving = _loads(asked, len(caps))
-    quota = [max(0, cap - load + out) for cap, load, out in zip(caps, loads, leaving, strict=True)]
-    granted = _running(asked, "to", "n", [F.desc("gain"), "key", "shard"], buckets)
+    quota = [max(0, cap - load + (0 if strict else out)) for cap, load, out in zip(caps, loads, leaving, strict=True)]
+    granted = _running(asked, "to", "n", [F.desc("gain"), "key", "shard"], buckets, 63 - F.floor(F.log2("gain")))
     granted = granted.withColumn("n", F.greatest(F.lit(0), F.least("n", _of(quota, "to") - F.col("before")))).where("n > 0")
     granted = cut(granted.select("key", "shard", "to", "n"))
     moves = granted.agg(F.sum("n")).first()[0] or 0
@@ -67,7 +73,7 @@ def _repaired(pieces: DataFrame, caps: list[int], loads: list[int], buckets: int
     excess = [max(0, load - cap) for cap, load in zip(caps, loads, strict=True)]
     if not any(excess):
         return pieces
-    over = _running(pieces.where(_of(excess, "shard") > 0), "shard", "n", ["n", "key"], buckets)
+    over = _running(pieces.where(_of(excess, "shard") > 0), "shard", "n", ["n", "key"], buckets, F.floor(F.log2("n")))
     out = over.withColumn("n", F.greatest(F.lit(0), F.least("n", _of(excess, "shard") - F.col("before")))).where("n > 0")
     starts = [sum(excess[:s]) for s in range(len(caps))]
     out = out.select("key", "shard", "n", (F.col("before") + _of(starts, "shard")).alias("at"))
@@ -101,11 +107,12 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 12, bucket_rows: int =
     texts = cells.groupBy("key").agg(F.sum("n").alias("copies"))
     first = F.pmod(F.xxhash64("key", "cell"), F.lit(shards)).cast("int")
     pieces = _merged(cells.join(texts.where("copies > 1"), "key").select("key", first.alias("shard"), "n"))
-    for _ in range(rounds):
-        pieces, moves = _round(pieces, caps, _loads(pieces, shards), buckets)
-        if not moves:
-            break
-    pieces = _repaired(pieces, caps, _loads(pieces, shards), buckets)
+    for strict in (False, True):
+        for _ in range(rounds):
+            pieces, moves = _round(pieces, caps, _loads(pieces, shards), buckets, strict)
+            if not moves:
+                break
+        pieces = _repaired(pieces, caps, _loads(pieces, shards), buckets)
     loads = _loads(pieces, shards)
 
     # Linked documents: a text's documents in order of cell go to its pieces in order of shard.
