@@ -1,20 +1,23 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
-Documents with equal texts are linked. The law is ``rows``: the counts of the shards differ by one at most. Documents
-of one text have the same neighbours, so a text's documents in one shard, a piece, move together, and a text that a
-third of the corpus repeats is a few rows here. A round of propagation:
-
-1. each piece asks for the open shard where its text has the largest piece, if that is larger than its own;
-2. the requests for a shard are granted, those for larger pieces first, by running sums, up to its quota: its capacity,
-   less what it holds, plus what asks to leave it; the last may be granted in part.
-
-What then still exceeds a shard's capacity goes to those with room, and more rounds, in which nothing that asks to leave
-counts as gone, bring together what that has split. Texts that occur once have no links: they fill the
-shards up. Ranks are made of counts by bucket and a window inside each bucket, so none is taken over a whole shard.
+Every document starts with a label, a shard that the hash of its id names. Documents with equal texts are linked. The
+law is ``rows``: the counts of the shards differ by one at most. All documents of a text have the same neighbours, so
+their labels are one histogram, and a text that a third of the corpus repeats is one row here. In a round of propagation
+
+1. each text that has no place yet asks for the shard that most of its documents are labelled with, of those with room;
+2. the shard grants requests, those of larger texts first, by running sums, up to its quota: what is left of its capacity;
+3. granted texts take the label and hold their room; the others see in the next round which shards have room.
+
+Texts that could fill a sixteenth of a shard are few, however large the corpus is, and go first: only these may be too
+large for any shard and be split. What no shard can take whole at the end is laid over the room that is left. Texts that
+occur once have no links: they fill the shards up. Ranks are made of counts by bucket and a window inside each bucket,
+so none is taken over a whole shard.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,57 +37,65 @@ def _running(rows: DataFrame, group: str | None, size: str, order: list, buckets
     return rows.join(starts, keys).withColumn("before", F.col("bucket_start") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("bucket", "bucket_start")
 
 
-def _loads(pieces: DataFrame, shards: int) -> list[int]:
-    held = {r.shard: r.n for r in pieces.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    return [held.get(s, 0) for s in range(shards)]
-
-
 def _of(values: list, shard: str) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.col(shard) + 1)
 
 
-def _merged(moved: DataFrame) -> DataFrame:
-    return cut(moved.groupBy("key", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
-
-
-def _round(pieces: DataFrame, caps: list[int], loads: list[int], buckets: int, strict: bool = False) -> tuple[DataFrame, int]:
-    by_text = Window.partitionBy("key")
-    tie = F.pmod(F.xxhash64("key", "shard"), F.lit(1 << 20))
-    size = F.struct("n", tie.alias("tie"), "shard")
-    is_open = _of([load < cap for load, cap in zip(loads, caps, strict=True)], "shard")
-    best = F.max(F.when(is_open, size)).over(by_text)
-    # A piece in a full shard also goes to an equal one, which cannot come to it.
-    better = (F.col("best") > F.col("size")) | (~is_open & (F.col("best.n") == F.col("n")))
-    asked = pieces.withColumn("size", size).withColumn("best", best).where(better & (F.col("best.shard") != F.col("shard")))
-    asked = cut(asked.select("key", "shard", F.col("best.shard").alias("to"), "n", F.col("best.n").alias("gain")))
-    leaving = _loads(asked, len(caps))
-    quota = [max(0, cap - load + (0 if strict else out)) for cap, load, out in zip(caps, loads, leaving, strict=True)]
-    granted = _running(asked, "to", "n", [F.desc("gain"), "key", "shard"], buckets, 63 - F.floor(F.log2("gain")))
-    granted = granted.withColumn("n", F.greatest(F.lit(0), F.least("n", _of(quota, "to") - F.col("before")))).where("n > 0")
-    granted = cut(granted.select("key", "shard", "to", "n"))
-    moves = granted.agg(F.sum("n")).first()[0] or 0
-    if not moves:
-        return pieces, 0
-    return _merged(pieces.unionByName(granted.select("key", "shard", (-F.col("n")).alias("n"))).unionByName(granted.select("key", F.col("to").alias("shard"), "n"))), moves
-
-
-def _repaired(pieces: DataFrame, caps: list[int], loads: list[int], buckets: int) -> DataFrame:
-    """Takes what exceeds the shards' capacities, of the smallest pieces, to the shards with room."""
-    excess = [max(0, load - cap) for cap, load in zip(caps, loads, strict=True)]
-    if not any(excess):
-        return pieces
-    over = _running(pieces.where(_of(excess, "shard") > 0), "shard", "n", ["n", "key"], buckets, F.floor(F.log2("n")))
-    out = over.withColumn("n", F.greatest(F.lit(0), F.least("n", _of(excess, "shard") - F.col("before")))).where("n > 0")
-    starts = [sum(excess[:s]) for s in range(len(caps))]
-    out = out.select("key", "shard", "n", (F.col("before") + _of(starts, "shard")).alias("at"))
-    room, at = [], 0
-    for s, (cap, load) in enumerate(zip(caps, loads, strict=True)):
-        if load < cap:
-            room.append((s, at, at + cap - load))
-            at += cap - load
-    parts = F.array(*(F.struct(F.lit(s).alias("to"), (F.least(F.col("at") + F.col("n"), F.lit(b)) - F.greatest("at", F.lit(a))).alias("m")) for s, a, b in room))
-    placed = out.select("key", "shard", F.inline(parts)).where("m > 0")
-    return _merged(pieces.unionByName(placed.select("key", "shard", (-F.col("m")).alias("n"))).unionByName(placed.select("key", F.col("to").alias("shard"), F.col("m").alias("n"))))
+def _heavy(texts: list, room: list[int]) -> list[tuple]:
+    """Places the large texts, largest first: where most labels are of the shards that can hold them whole; if none can,
+    in as few parts as fill shards. Takes the room; returns (key, shard, n)."""
+    out = []
+    for text in sorted(texts, key=lambda t: (-t.n, t.key)):
+        left = text.n
+        while left:
+            whole = [s for s, r in enumerate(room) if r >= left]
+            to = max(whole, key=lambda s: (text.labels[s], -s)) if whole else max(range(len(room)), key=lambda s: (room[s], text.labels[s], -s))
+            n = min(left, room[to])
+            out.append((text.key, to, n))
+            room[to] -= n
+            left -= n
+    return out
+
+
+def _round(texts: DataFrame, room: list[int], buckets: int) -> DataFrame:
+    """Adds ``to``, the shard that a text asks for, and ``granted``."""
+    wish = lambda label, r, s: F.struct((r >= F.col("n")).alias("fits"), label.alias("label"), F.pmod(F.xxhash64("key", s), F.lit(1 << 20)).alias("tie"), s.alias("shard"))
+    asked = F.array_max(F.zip_with(F.arrays_zip(F.col("labels").alias("label"), F.array(*map(F.lit, room)).alias("room")), F.sequence(F.lit(0), F.lit(len(room) - 1)), lambda x, s: wish(x["label"], x["room"], s)))
+    rows = texts.withColumn("asked", asked).select("key", "n", "labels", F.col("asked.shard").alias("to"), F.col("asked.fits").alias("fits"))
+    rows = _running(rows, "to", "n", [F.desc("n"), "key"], buckets, 63 - F.floor(F.log2("n")))
+    return rows.select("key", "n", "labels", "to", (F.col("fits") & (F.col("before") + F.col("n") <= _of(room, "to"))).alias("granted"))
+
+
+def _laid(texts: DataFrame, room: list[int], buckets: int) -> DataFrame:
+    """(key, shard, n): the texts laid one after another over the room that is left."""
+    rows = _running(texts, None, "n", [F.desc("n"), "key"], buckets)
+    edges = [sum(room[:s]) for s in range(len(room) + 1)]
+    parts = F.array(*(F.struct(F.lit(s).alias("shard"), (F.least(F.col("before") + F.col("n"), F.lit(edges[s + 1])) - F.greatest("before", F.lit(edges[s]))).alias("m")) for s in range(len(room))))
+    return rows.select("key", F.inline(parts)).where("m > 0").select("key", "shard", F.col("m").alias("n"))
+
+
+def _propagated(texts: DataFrame, caps: list[int], rounds: int, buckets: int) -> tuple[DataFrame, list[int]]:
+    """The places of all linked texts, (key, shard, n), and how many documents each shard then holds. ``texts``: key, n
+    and labels, the number of its documents that start in each shard."""
+    spark, room = texts.sparkSession, list(caps)
+    large = F.col("n") * 16 >= min(caps)
+    placed = [spark.createDataFrame(_heavy(texts.where(large).collect(), room), "key binary, shard int, n long")]
+    left = texts.where(~large)
+    for _ in range(rounds):
+        asked = cut(_round(left, room, buckets))
+        got = {r.to: r.n for r in asked.where("granted").groupBy("to").agg(F.sum("n").alias("n")).collect()}
+        if got:
+            placed.append(asked.where("granted").select("key", F.col("to").alias("shard"), "n"))
+        room = [r - got.get(s, 0) for s, r in enumerate(room)]
+        left = asked.where("NOT granted").select("key", "n", "labels")
+        if not got or left.isEmpty():
+            break
+    if not left.isEmpty():
+        rest = cut(_laid(left, room, buckets))
+        got = {r.shard: r.n for r in rest.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        room = [r - got.get(s, 0) for s, r in enumerate(room)]
+        placed.append(rest)
+    return cut(reduce(DataFrame.unionByName, placed)), [cap - r for cap, r in zip(caps, room, strict=True)]
 
 
 def shard(docs: DataFrame, shards: int = 8, rounds: int = 12, bucket_rows: int = 20_000) -> DataFrame:
@@ -103,17 +114,11 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 12, bucket_rows: int =
     caps = [total // shards + (s < total % shards) for s in range(shards)]
     # A text's documents are dealt into cells, so that no key holds them all.
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(buckets)).cast("int"))
-    cells = cut(rows.groupBy("key", "cell").agg(F.count("*").alias("n")))
-    texts = cells.groupBy("key").agg(F.sum("n").alias("copies"))
-    first = F.pmod(F.xxhash64("key", "cell"), F.lit(shards)).cast("int")
-    pieces = _merged(cells.join(texts.where("copies > 1"), "key").select("key", first.alias("shard"), "n"))
-    for strict in (False, True):
-        for _ in range(rounds):
-            pieces, moves = _round(pieces, caps, _loads(pieces, shards), buckets, strict)
-            if not moves:
-                break
-        pieces = _repaired(pieces, caps, _loads(pieces, shards), buckets)
-    loads = _loads(pieces, shards)
+    label = F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(shards))
+    cells = cut(rows.groupBy("key", "cell").agg(F.count("*").alias("n"), F.array(*(F.count_if(label == s) for s in range(shards))).alias("labels")))
+    labels = F.array(*(F.sum(F.element_at("labels", s + 1)) for s in range(shards)))
+    texts = cut(cells.groupBy("key").agg(F.sum("n").alias("n"), labels.alias("labels")).where("n > 1"))
+    pieces, loads = _propagated(texts, caps, rounds, buckets)
 
     # Linked documents: a text's documents in order of cell go to its pieces in order of shard.
     placed = _running(pieces, "shard", "n", ["key"], buckets)
@@ -121,7 +126,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 12, bucket_rows: int =
     placed = placed.select("key", "shard", F.col("before").alias("slot"), "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("from"))
     lists = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("from", "n", "shard", "slot"))).alias("pieces"))
     in_text = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.withColumn("start", F.coalesce(F.sum("n").over(in_text), F.lit(0))).drop("n").join(lists, "key", "left")
+    starts = cells.withColumn("start", F.coalesce(F.sum("n").over(in_text), F.lit(0))).drop("n", "labels").join(lists, "key", "left")
     in_cell = Window.partitionBy("key", "cell").orderBy("doc_id")
     rows = rows.join(starts, ["key", "cell"]).withColumn("rank", F.col("start") + F.row_number().over(in_cell) - 1)
     own = F.element_at(F.filter("pieces", lambda p: (p["from"] <= F.col("rank")) & (F.col("rank") < p["from"] + p["n"])), 1)
