@@ -11,7 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SPLITMIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,8 +150,8 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, n: int, multiplier: int = 0x
     return np.flatnonzero(whole), mix64(h[whole])
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``most`` bytes of text and at most ``rows`` rows; a longer text is a slice of its own."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -157,7 +159,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
         group = (np.cumsum(length) - length) // most
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield batch.slice(a, b - a)
+            for c in range(a, b, rows):
+                yield batch.slice(c, min(rows, b - c))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold 8 MB at most in this session, where it has the default, 64 MB: both sides hold several."""
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "8m")
 
 
 def string_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import pieces
+from ._words import pieces, small_batches
 
 NEVER = 1 << 60
 
@@ -90,7 +90,7 @@ class Vocabulary:
 class Encoder:
     """Encodes words by a walk over the trie of the distinct ones. One for each task; its memory is bounded."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 600_000, most_pairs: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 300_000, most_pairs: int = 500_000):
         self.v, self.most_words, self.most_pairs = vocabulary, most_words, most_pairs
         self.known: dict[str, bytes] = {}
         self.fits: dict[int, bool] = {}
@@ -185,7 +185,7 @@ def load(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, piece_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, piece_bytes: int = 2 << 20) -> DataFrame:
     """doc_id and ids (array<int>) of each whole text, without truncation, padding or added special tokens.
 
     The string of a special token inside a text is that token. A null or empty text has no ids. Rows are returned one
@@ -193,6 +193,7 @@ def encode(docs: DataFrame, tokenizer_path: str, piece_bytes: int = 4 << 20) ->
     size is that of the tokenizer file. No shuffle.
     """
     spark, source = docs.sparkSession, docs.select("doc_id", "text")
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(Vocabulary(load(tokenizer_path)))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +205,7 @@ def encode(docs: DataFrame, tokenizer_path: str, piece_bytes: int = 4 << 20) ->
 
 
 class _Decoder:
-    def __init__(self, vocabulary: Vocabulary):
-        table = [b or b"" for b in vocabulary.bytes]
+    def __init__(self, table: list[bytes]):
         self.size = np.array([len(b) for b in table], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.data = np.frombuffer(b"".join(table), np.uint8)
@@ -227,7 +227,8 @@ def decode(encoded: DataFrame, tokenizer_path: str, piece_tokens: int = 1 << 20)
     Bytes that are no valid UTF-8 become U+FFFD. Other columns than doc_id and ids are ignored.
     """
     spark, source = encoded.sparkSession, encoded.select("doc_id", "ids")
-    shared = spark.sparkContext.broadcast(Vocabulary(load(tokenizer_path)))
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast([b or b"" for b in Vocabulary(load(tokenizer_path)).bytes])
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _Decoder(shared.value)

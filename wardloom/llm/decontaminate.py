@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import Texts, pieces, separators, windows
+from ._words import Texts, pieces, separators, small_batches, windows
 
 WORD = separators("alnum")
 BITS = 22
@@ -113,6 +113,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int =
     document position, for which doc_id must be unique.
     """
     source, spark = docs.select("doc_id", "text"), docs.sparkSession
+    small_batches(spark)
     parts = [spark.sparkContext.broadcast(_Grams(block, n)) for block in _blocks(benchmark, block_bytes)]
 
     def run(grams) -> DataFrame:
@@ -163,6 +164,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, how: str = "docum
     if how not in ("documents", "spans"):
         raise ValueError(f"how must be documents or spans, not {how}")
     spark = docs.sparkSession
+    small_batches(spark)
 
     def kept(frame: DataFrame, grams) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._lineage import cut
-from ._words import Texts, mix64, pieces, separators, windows
+from ._words import Texts, mix64, pieces, separators, small_batches, windows
 from .components import components
 
 WORD = separators("space")
@@ -190,10 +190,11 @@ def join(docs: DataFrame, n: int = 3, numerator: int = 9, denominator: int = 10,
     of all of them; a null or blank text has none and is its own component. Rows that share a doc_id share its links.
     Rows with a null doc_id take no part: their component is null. Shingles are compared by 64-bit hashes.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2 << 20):
             h, edge = shingle_sets(batch.column("text"), n)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h + np.uint64(s)))]) for s in (0x1234567, 0x89ABCDEF)]
             a, b = ((x[edge[1:]] - x[edge[:-1]]).view(np.int64) for x in sums)
@@ -212,7 +213,7 @@ def join(docs: DataFrame, n: int = 3, numerator: int = 9, denominator: int = 10,
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stars inside a piece (shard -1), and the smallest document of each signature of it, by shard."""
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 4 << 20):
             ids = batch.column("doc_id")
             known = np.flatnonzero(np.asarray(ids.is_valid()))
             ids = np.asarray(ids.fill_null(0), np.int64)

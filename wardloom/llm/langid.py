@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._words import Texts, pieces
+from ._words import Texts, pieces, small_batches
 
 BORDER = 0x20
+#: Texts that are made vectors at once: each takes a counter for every dimension.
+ROWS = 128
 _MAP = np.full(256, BORDER, np.uint8)
 _MAP[0x80:] = np.arange(0x80, 256)
 _MAP[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -97,6 +99,7 @@ def fit(docs: DataFrame, usable: Column, dims: int = 8192, per_language: int = 7
     """Learns from the text and lang of the rows where ``usable``, of which it takes ``per_language`` for each language:
     those whose ids hash lowest. That bounds what reaches the driver. None if there is nothing to learn from.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(usable & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select("text", "lang", F.xxhash64("doc_id", F.lit(11)).alias("h"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -107,7 +110,7 @@ def fit(docs: DataFrame, usable: Column, dims: int = 8192, per_language: int = 7
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_language)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 1 << 18, ROWS):
             row, dim, count = grams(batch.column("text"), dims)
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
             pairs = [np.stack([dim[a:b], count[a:b]]).astype(np.int32).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
@@ -146,11 +149,12 @@ def predict(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -
     """
     source = docs.select("doc_id", "text", *[c for c in extra if c not in ("doc_id", "text")], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
     names = [c for c in source.columns if c != "__letter" and (c != "text" or "text" in extra)]
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 1 << 18, ROWS):
             letter = np.asarray(batch.column("__letter").to_numpy(zero_copy_only=False), bool)
             if model is None:
                 of, score, far = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)

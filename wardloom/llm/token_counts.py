@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._words import pieces
+from ._words import pieces, small_batches
 from .bpe import Encoder, Vocabulary, load
 
 COLUMNS = [("section", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_start", pa.int64()), ("n_majority", pa.int64()), ("n_share", pa.float64()), ("n_crossing", pa.int64())]
@@ -58,7 +58,7 @@ def lines(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([0, *ends[:-1]], np.int64), np.array(ends, np.int64)
 
 
-def count(docs: DataFrame, tokenizer_path: str, sections: str | None = None, piece_bytes: int = 4 << 20) -> DataFrame:
+def count(docs: DataFrame, tokenizer_path: str, sections: str | None = None, piece_bytes: int = 2 << 20) -> DataFrame:
     """A row for each section of each document: doc_id, section (from 0), start, end (characters), n_start, n_majority,
     n_share, n_crossing.
 
@@ -67,6 +67,7 @@ def count(docs: DataFrame, tokenizer_path: str, sections: str | None = None, pie
     null text are none. Repeated rows each give their sections. No shuffle; the vocabulary is what is broadcast.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select("doc_id", "text", *([docs[sections].alias("sections")] if sections else []))
     shared = spark.sparkContext.broadcast(Vocabulary(load(tokenizer_path)))
 

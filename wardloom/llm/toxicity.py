@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._words import pieces
+from ._words import pieces, small_batches
 
 #: Lower-case words of English, German, French and Spanish.
 TARGETS = frozenset("you your yours u he she they him her them we everyone people du dich dir ihr euch sie er tu te toi vous il elle ils usted ustedes él ella ellos".split())
@@ -122,6 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 16_000
     ``margin`` or more, with a likelihood ratio (G squared) of at least ``ratio``, which few of a million keys without any link
     to the label reach by chance. A document with several labels counts as toxic if one says so. None without labels.
     """
+    small_batches(docs.sparkSession)
     truth = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(usable)
     n = truth.count()
     if not n:
@@ -178,6 +179,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     events (0 then). Nothing but the text is an input. Rows are returned one for one; no shuffle. The model that is
     broadcast is bounded by the parameters of ``fit``.
     """
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
