@@ -41,8 +41,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, with the digests of the ids and of the text decoded from them."""
-    decoded = bpe.decode(bpe.encode(docs, tokenizer()), tokenizer())
-    return bpe.digest(decoded, "ids")
+    return bpe.digest(bpe.round_trip(docs, tokenizer()), "ids")
 
 
 STAGES = [

@@ -33,6 +33,7 @@ def test_round_trip(spark, docs):
         want = library.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.ids == want
         assert r.decoded == library.decode(want, skip_special_tokens=False) == texts[r.doc_id]
+    assert sorted(map(repr, bpe.round_trip(docs, PATH).collect())) == sorted(map(repr, got))
 
 
 def test_prefix_walk_is_plain_bpe():

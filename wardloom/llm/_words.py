@@ -6,6 +6,7 @@ Words never cross documents; a text of any length is handled, in pieces of about
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,6 +162,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20,
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             for c in range(a, b, rows):
                 yield batch.slice(c, min(rows, b - c))
+    release()
+
+
+def release() -> None:
+    """Gives back what a task has freed, where the C library can: a worker waits for its next task with little."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -245,6 +245,21 @@ def decode(encoded: DataFrame, tokenizer_path: str, piece_tokens: int = 1 << 20)
     return source.mapInArrow(decoded, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, tokenizer_path: str, piece_bytes: int = 2 << 20) -> DataFrame:
+    """``decode`` of ``encode`` in one pass over the texts: doc_id, ids and decoded."""
+    spark, source = docs.sparkSession, docs.select("doc_id", "text")
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(Vocabulary(load(tokenizer_path)))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(shared.value), _Decoder([b or b"" for b in shared.value.bytes])
+        for batch in pieces(batches, "text", piece_bytes):
+            ids = _lists(encoder.encode(batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoder.decode(ids)], ["doc_id", "ids", "decoded"])
+
+    return source.mapInArrow(both, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+
+
 def digest(decoded: DataFrame, *more: str) -> DataFrame:
     return decoded.select(
         "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._lineage import cut
-from ._words import Texts, mix64, pieces, separators, small_batches, windows
+from ._words import Texts, mix64, pieces, release, separators, small_batches, windows
 from .components import components
 
 WORD = separators("space")
@@ -162,8 +162,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, numerato
     size = np.array([len(x) for x in sets])
     allowed = int(2 * size.max() * (denominator - numerator) // (denominator + numerator))
     sketch = _parities(sets, max(2, 1 << (max(1, allowed * 8 // 64) - 1).bit_length()))
-    forest, out, held = _Forest(len(sets)), [], {}
-    get = lambda i: held.get(i) or held.setdefault(i, frozenset(sets[i].tolist()))
+    forest, out = _Forest(len(sets)), []
     for i in left.tolist():
         others = right[right > i] if left is right else right
         both = size[others] + size[i]
@@ -175,7 +174,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, numerato
         distance = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
         for j in others[distance * (denominator + numerator) <= both * (denominator - numerator)].tolist():
             if forest.find(i) != forest.find(j):
-                common = len(get(i) & get(j))
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if denominator * common >= numerator * (size[i] + size[j] - common):
                     forest.join(i, j)
                     out.append((i, j))
@@ -265,6 +264,7 @@ def join(docs: DataFrame, n: int = 3, numerator: int = 9, denominator: int = 10,
             links = linked(own, left, right, numerator, denominator) if len(left) and len(right) else []
             out.append(np.array([(ids[these[i]], ids[these[j]]) for i, j in links], np.int64).reshape(-1, 2))
         pairs = np.concatenate(out)
+        release()
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     chosen = source.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "text", F.inline("tiles"))

@@ -26,7 +26,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), tokenizer()), tokenizer()))
+    return bpe.digest(bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer()))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
