@@ -190,6 +190,30 @@ def balanced_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     return df.join(sizes.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).alias("fold")), group)
 
 
+def carve_val(df: DataFrame, group: str, fraction: float = 0.1, seed: int = 56) -> DataFrame:
+    """Adds ``part``: val for about a fraction of the groups, rounded up, else fit. A fraction of 0 or a single group has no val."""
+    require_groups(df, group)
+    places, n = _ranked(df, group, seed)
+    held = min(n - 1, -int(-n * fraction // 1)) if fraction > 0 and n > 1 else 0
+    return df.join(places.select(group, F.when(F.col("place") <= held, "val").otherwise("fit").alias("part")), group)
+
+
+def training_sizes(df: DataFrame, key: str, sizes: list[int], seed: int = 56) -> DataFrame:
+    """The rows once for each size, as ``n_train``: the first of them in hash order, so that smaller sets are in larger
+    ones. A negative size, or one above the number of rows, has them all."""
+    places, n = _ranked(df, key, seed)
+    wanted = F.filter(F.array(*map(F.lit, sizes)), lambda s: (s < 0) | (F.col("place") <= s))
+    return df.join(places.select(key, F.explode(wanted).alias("n_train")), key)
+
+
+def grid(spark, seeds: list[int], sizes: list[int], draws: int) -> DataFrame:
+    """A row for each run: seed, n_train and bootstrap, of which -1 is the point run."""
+    runs = spark.range(len(seeds) * len(sizes) * (draws + 1))
+    at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), n.cast("int") + 1)
+    each = F.floor(F.col("id") / (draws + 1))
+    return runs.select(at(seeds, F.floor(each / len(sizes))).alias("seed"), at(sizes, each % len(sizes)).alias("n_train"), (F.col("id") % (draws + 1) - 1).cast("int").alias("bootstrap"))
+
+
 def bootstrap(df: DataFrame, group: str, draws: int, seed: int = 0) -> DataFrame:
     """Adds ``bootstrap``: as many groups as there are, drawn with replacement for each draw, with all rows of each."""
     places, n = _ranked(df, group, seed)

@@ -107,3 +107,48 @@ def missing_and_unused(expected: DataFrame, listing: DataFrame, key: str) -> tup
     """Rows whose file is not in a listing, and those whose file is."""
     files = listing.select(key).distinct()
     return expected.join(files, key, "left_anti"), expected.join(files, key, "left_semi")
+
+
+def join_required(df: DataFrame, source: DataFrame, on: list[str], what: str = "source") -> DataFrame:
+    """An inner join with a table of one row for each key in which every key must be; a missing one raises, and is shown."""
+    lost = df.select(*on).join(source.select(*on), on, "left_anti").limit(1).collect()
+    if lost:
+        raise ValueError(f"{what} has no row for the key {tuple(lost[0])}")
+    return join_unique(df, source, on, what=what)
+
+
+def join_one_to_one(df: DataFrame, source: DataFrame, on: list[str], what: str = "source") -> DataFrame:
+    """A left join of two tables of one row for each key; a repeated key of either side raises."""
+    first = duplicate_keys(df, on).limit(1).collect()
+    if first:
+        raise ValueError(f"the left side of {what} has {first[0].n_rows} rows for the key {tuple(first[0][c] for c in on)}")
+    return join_unique(df, source, on, "left", what)
+
+
+def conflicting_keys(df: DataFrame, on: list[str], within: DataFrame | None = None) -> DataFrame:
+    """Keys with several different rows, of those that ``within`` has."""
+    keys = df.distinct().groupBy(*on).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    return keys.join(within.select(*on), on, "left_semi") if within is not None else keys
+
+
+def number_groups(df: DataFrame, group: str, position: str, ranges: int = 64) -> DataFrame:
+    """``group`` and ``number`` from 0, in the order of first appearance (the smallest position; ties by group).
+
+    Groups are dealt by ranges of their first position and numbered inside each, after the counts of the ranges before
+    it, so that no task sorts them all. Bounds from approximate quantiles only change how even the ranges are.
+    """
+    first = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(position).alias("__p"))
+    marks = sorted(set(first.approxQuantile("__p", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
+    at = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < F.col("__p"))) if marks else F.lit(0)
+    first = first.withColumn("__r", at)
+    counts = {r["__r"]: r.n for r in first.groupBy("__r").agg(F.count("*").alias("n")).collect()}
+    starts = [sum(counts.get(j, 0) for j in range(i)) for i in range(len(marks) + 1)]
+    inside = F.row_number().over(Window.partitionBy("__r").orderBy("__p", group)) - 1
+    return first.select(group, (F.element_at(F.array(*map(F.lit, starts)), F.col("__r") + 1) + inside).cast("long").alias("number"))
+
+
+def pivot_complete(df: DataFrame, row: str, column: str, value: str, names: list[str]) -> DataFrame:
+    """One value for each row and name; names that miss a value in any row are left out."""
+    wide = df.groupBy(row).pivot(column, names).agg(F.first(value, ignorenulls=True))
+    holes = wide.agg(*(F.count_if(F.col(f"`{n}`").isNull()).alias(n) for n in names)).first()
+    return wide.select(row, *(n for n in names if not holes[n]))

@@ -162,7 +162,7 @@ def fa05_flip_and_swap(spark, d):
     return table(spark, d, "part").select("p_partkey", r6(B.flip(box, 0)[0]).alias("flipped"), B.swap_axes(box)[0].alias("swapped"), r6(B.swap_axes(box)[2]).alias("kept"))
 
 
-@query("SELECT l_orderkey, to_json(list(l_linenumber ORDER BY l_linenumber)) AS numbers FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, to_json(list(l_linenumber ORDER BY l_linenumber))::VARCHAR AS numbers FROM lineitem GROUP BY 1")
 def fa08_json_lists(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list("l_linenumber"))).alias("numbers"))
 
