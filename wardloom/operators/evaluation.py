@@ -115,6 +115,32 @@ def comparison(results: DataFrame, metric: str, keys: list[str]) -> DataFrame:
     return results.groupBy(*keys).agg(F.avg(metric).alias("mean"), (F.avg(metric) - half).alias("ci_lo"), (F.avg(metric) + half).alias("ci_hi"), F.count(metric).alias("n"))
 
 
+def missing_runs(results: DataFrame) -> DataFrame:
+    """Of each label and metric: the runs, and those without a value."""
+    metrics = metric_columns(results)
+    long = results.unpivot(["label"], metrics, "metric", "value")
+    return long.groupBy("label", "metric").agg(F.count("*").alias("n_runs"), F.count_if(F.col("value").isNull()).alias("n_missing"))
+
+
+def external_summary(results: DataFrame, metric: str) -> DataFrame:
+    """Of each label: mean and sample deviation of the point rows (bootstrap -1), percentiles 2.5 and 97.5 of the
+    others, and a macro row, the mean of each column without a deviation."""
+    point, drawn = F.when(F.col("bootstrap") == -1, F.col(metric)), F.when(F.col("bootstrap") >= 0, F.col(metric))
+    q = F.percentile(drawn, [0.025, 0.975])
+    rows = results.groupBy("label").agg(F.avg(point).alias("mean"), F.stddev_samp(point).alias("std"), q[0].alias("ci_lo"), q[1].alias("ci_hi"))
+    macro = rows.agg(F.lit("macro_average").alias("label"), F.avg("mean").alias("mean"), F.lit(None).cast("double").alias("std"), F.avg("ci_lo").alias("ci_lo"), F.avg("ci_hi").alias("ci_hi"))
+    return rows.unionByName(macro)
+
+
+def flip_probability(first: DataFrame, second: DataFrame, draw: list[str]) -> DataFrame:
+    """Of each ordered pair of models: the share of draws in which the first beats the second in one setting and loses
+    in the other. Both tables have ``model`` and ``score`` for each draw; only models of the same draw meet."""
+    both = first.join(second.withColumnRenamed("score", "then"), [*draw, "model"]).select(*draw, F.struct("model", "score", "then").alias("m"))
+    pairs = both.join(both.withColumnRenamed("m", "o"), draw).where("m.model <> o.model")
+    flips = (F.col("m.score") > F.col("o.score")) & (F.col("m.then") < F.col("o.then"))
+    return pairs.groupBy(F.col("m.model").alias("a"), F.col("o.model").alias("b")).agg(F.avg(flips.cast("double")).alias("p_flip"))
+
+
 def ranks_by_draw(scores: DataFrame, draw: list[str], model: str = "model", score: str = "score") -> DataFrame:
     """The rank of each model in each draw, best first, ties by name."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*draw).orderBy(F.desc(score), model)))
@@ -184,10 +210,20 @@ def train_val(df: DataFrame, group: str, n_splits: int = 5, seed: int = 56) -> D
 
 
 def balanced_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """Adds ``fold``: groups by falling size, dealt to and fro over the folds, so that folds hold like numbers of rows."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
-    turn = (F.row_number().over(Window.partitionBy("__n").orderBy(F.md5(F.col(group).cast("string")))) - 1) % (2 * k)
-    return df.join(sizes.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).alias("fold")), group)
+    """Adds ``fold``: groups by falling size (ties by hash), dealt to and fro over the folds, so that folds hold like
+    numbers of rows. A place is the groups of larger sizes, those of lower hash ranges of the size, and a number inside
+    the range: a task sorts neither all groups nor all of one size."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("__n")).withColumn("__h", F.md5(F.col(group).cast("string")))
+    sizes = sizes.withColumn("__b", F.substring("__h", 1, 2))
+    ranges = sizes.groupBy("__n", "__b").agg(F.count("*").alias("__c"))
+    lower = F.coalesce(F.sum("__c").over(Window.partitionBy("__n").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = ranges.groupBy("__n").agg(F.sum("__c").alias("__c"))
+    larger = F.coalesce(F.sum("__c").over(Window.orderBy(F.desc("__n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("__n", "__b", lower.alias("__lower")).join(totals.select("__n", larger.alias("__larger")), "__n")
+    inside = F.row_number().over(Window.partitionBy("__n", "__b").orderBy("__h", group)) - 1
+    turn = (F.col("__larger") + F.col("__lower") + F.col("__i")) % (2 * k)
+    dealt = sizes.withColumn("__i", inside).join(starts, ["__n", "__b"]).select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    return df.join(dealt, group)
 
 
 def carve_val(df: DataFrame, group: str, fraction: float = 0.1, seed: int = 56) -> DataFrame:

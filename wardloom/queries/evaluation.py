@@ -125,7 +125,8 @@ def sp05_group_bootstrap(spark, d):
     return E.bootstrap(table(spark, d, "customer", "c_custkey", "c_nationkey"), "c_nationkey", 20).groupBy("bootstrap").agg(F.count("*").alias("n_rows"), F.sum("c_custkey").alias("keys"))
 
 
-@query()
+@query("""SELECT o_orderkey, o_custkey, (CASE WHEN t < 5 THEN t ELSE 9 - t END)::INT AS fold FROM orders JOIN (
+  SELECT o_custkey, (row_number() OVER (ORDER BY count(*) DESC, md5(o_custkey::VARCHAR), o_custkey) - 1) % 10 AS t FROM orders GROUP BY 1) USING (o_custkey)""")
 def sp03_balanced_folds(spark, d):
     return E.balanced_folds(table(spark, d, "orders", "o_orderkey", "o_custkey"), "o_custkey", 5)
 
