@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,19 +131,25 @@ def tokens(c: Column) -> Column:
 def overlap(a: Column, b: Column) -> Column:
     """The size of the multiset intersection of two arrays of words."""
     count = lambda array, t: F.size(F.filter(array, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
+    both = lambda p: F.aggregate(F.array_distinct(p["a"]), F.lit(0), lambda n, t: n + F.least(count(p["a"], t), count(p["b"], t)))
+    return bound(both, a=a, b=b)
+
+
+def bound(f: Callable[[Column], Column], **values: Column) -> Column:
+    """``f`` of a struct of values, each computed once however often ``f`` names it, also inside its lambdas."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), f), F.lit(0))
 
 
 def token_f1(answer: Column, reference: Column) -> Column:
     """2 common / (both sizes); both empty: 1, one empty: 0."""
-    a, b = tokens(answer), tokens(reference)
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, 1.0).otherwise(2.0 * overlap(a, b) / F.nullif(both, F.lit(0)))
+    both = lambda p: F.size(p["a"]) + F.size(p["b"])
+    score = lambda p: F.when(both(p) == 0, 1.0).otherwise(2.0 * overlap(p["a"], p["b"]) / F.nullif(both(p), F.lit(0)))
+    return bound(score, a=tokens(answer), b=tokens(reference))
 
 
 def token_recall(answer: Column, reference: Column) -> Column:
-    a, b = tokens(answer), tokens(reference)
-    return F.when(F.size(b) == 0, 0.0).otherwise(overlap(a, b) / F.nullif(F.size(b), F.lit(0)))
+    score = lambda p: F.when(F.size(p["b"]) == 0, 0.0).otherwise(overlap(p["a"], p["b"]) / F.nullif(F.size(p["b"]), F.lit(0)))
+    return bound(score, a=tokens(answer), b=tokens(reference))
 
 
 def yes_no(c: Column) -> Column:
