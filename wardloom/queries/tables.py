@@ -220,7 +220,7 @@ def st12_positive_of_each_label(spark, d):
     return long.groupBy("label").agg(F.min_by("doc_id", F.struct(E.hash_key("doc_id", 11), F.col("doc_id"))).alias("doc_id"))
 
 
-@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id || ':5')) <= 20 THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id FROM labels ORDER BY md5(doc_id || ':4') LIMIT 100)")
+@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id || ':5')) <= round(count(*) OVER () / 5.0) THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id FROM labels ORDER BY md5(doc_id || ':4') LIMIT 100)")
 def st14_cohort_then_split(spark, d):
     return E.train_val(E.sample(table(spark, d, "labels", "doc_id"), 100, "doc_id", 4), "doc_id", 5, 5)
 
