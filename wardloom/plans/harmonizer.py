@@ -104,8 +104,8 @@ def samples(table: DataFrame, labels: Iterable[str] = (), regressions: Iterable[
     return rows.select("patient_id", "study_id", F.struct(*fields).alias("sample"))
 
 
-def integrity(table: DataFrame, labels: Iterable[str] = (), regressions: Iterable[str] = ()) -> DataFrame:
-    """One row: counts of what is missing, blank, invalid or not finite, and a status.
+def integrity(table: DataFrame, labels: Iterable[str] = (), regressions: Iterable[str] = (), keys: Iterable[str] = ()) -> DataFrame:
+    """One row, or one for each of ``keys``: counts of what is missing, blank, invalid or not finite, and a status.
 
     ERROR: no rows, invalid boxes, or regressions that are NaN or infinite. WARN: some paths blank, all labels of a row
     null everywhere, or all masks or reports blank. Else OK.
@@ -116,7 +116,7 @@ def integrity(table: DataFrame, labels: Iterable[str] = (), regressions: Iterabl
     no_label = F.coalesce(*(F.col(c) for c in labels)).isNull() if labels else F.lit(False)
     odd = [F.count_if(F.col(c).isNotNull() & ~boxes.finite(F.col(c).cast("double"))) for c in regressions]
     bad = F.sum(F.size(F.filter("bbox", lambda b: ~boxes.valid(b)))) if has("bbox") else F.lit(0)
-    row = table.agg(
+    row = table.groupBy(*keys).agg(
         F.count("*").alias("n_rows"), blank("image_path").alias("n_blank_image"), blank("mask_path").alias("n_blank_mask"), blank("report").alias("n_blank_report"),
         F.count_if(no_label).alias("n_no_label"), F.coalesce(bad, F.lit(0)).cast("long").alias("n_invalid_boxes"), sum(odd, F.lit(0)).cast("long").alias("n_not_finite"),
         *(F.count_if(F.col(c) == 1).alias(f"pos_{c}") for c in labels), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in labels),

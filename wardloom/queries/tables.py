@@ -186,6 +186,12 @@ def wn10_ranks_of_draws(spark, d):
     return E.ranks_by_draw(scores, ["o_orderdate"]).drop("score")
 
 
+@query("SELECT o_orderdate, o_orderpriority AS model, row_number() OVER (PARTITION BY o_orderdate ORDER BY sum(o_totalprice) DESC, o_orderpriority)::INT AS rank FROM orders GROUP BY 1, 2")
+def wn10_ranks_of_all_draws(spark, d):
+    scores = table(spark, d, "orders").groupBy("o_orderdate", F.col("o_orderpriority").alias("model")).agg(F.sum("o_totalprice").alias("score"))
+    return E.ranks_by_draw(scores, ["o_orderdate"]).drop("score")
+
+
 @query("SELECT row_number() OVER (ORDER BY round(avg(s_acctbal), 6) DESC, s_nationkey)::INT AS rank, s_nationkey, round(avg(s_acctbal), 6) AS score FROM supplier GROUP BY s_nationkey")
 def wn11_leaderboard(spark, d):
     # One row for each nation is what is ranked.
