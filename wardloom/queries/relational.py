@@ -309,6 +309,18 @@ def st04_sort_nulls_last(spark, d):
     return table(spark, d, "supplier").orderBy(F.desc_nulls_last(F.nullif("s_nationkey", F.lit(3))), "s_suppkey").limit(30).select("s_suppkey", "s_acctbal")
 
 
+@query("SELECT p_partkey, row_number() OVER (ORDER BY try_cast(regexp_extract(p_brand, '(\\d+)', 1) AS INT) NULLS FIRST, p_partkey) AS place FROM part")
+def st05_natural_sort_places(spark, d):
+    p = table(spark, d, "part").select("p_partkey", S.extract(F.col("p_brand"), r"(\d+)").cast("int").alias("number"))
+    return R.places(p, [F.asc_nulls_first("number"), F.asc("p_partkey")], ["number"], "p_partkey").select("p_partkey", "place")
+
+
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY nullif(s_nationkey, 3) DESC NULLS LAST, s_suppkey) AS place FROM supplier")
+def st04_nulls_last_places(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.nullif("s_nationkey", F.lit(3)).alias("nation"))
+    return R.places(s, [F.desc_nulls_last("nation"), F.asc("s_suppkey")], ["nation"], "s_suppkey").select("s_suppkey", "place")
+
+
 @query("SELECT doc_id FROM documents ORDER BY md5(doc_id || ':7'), doc_id LIMIT 25")
 def st09_random_sample(spark, d):
     from ..operators.evaluation import sample

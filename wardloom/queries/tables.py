@@ -209,6 +209,12 @@ def st03_mixed_sort(spark, d):
     return table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_totalprice").orderBy("o_orderpriority", F.desc(F.col("o_totalprice") > 200000), "o_totalprice", "o_orderkey").limit(100)
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice > 200000 DESC, o_totalprice, o_orderkey) AS place FROM orders")
+def st03_mixed_sort_places(spark, d):
+    o = table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_totalprice").withColumn("large", F.col("o_totalprice") > 200000)
+    return R.places(o, [F.asc("o_orderpriority"), F.desc("large"), F.asc("o_totalprice"), F.asc("o_orderkey")], ["o_orderpriority", "large"], "o_totalprice").select("o_orderkey", "place")
+
+
 @query("SELECT doc_id, text FROM documents WHERE trim(text) <> '' AND doc_id IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 40")
 def st07_first_usable_pairs(spark, d):
     pairs = table(spark, d, "documents", "doc_id", "text").join(table(spark, d, "labels", "doc_id"), "doc_id", "left_semi")
