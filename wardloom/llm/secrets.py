@@ -41,12 +41,13 @@ BASE = [
     Rule("hex", r"[0-9a-f]{24,}", base=True),
 ]
 MORE = [
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", ("PRIVATE KEY-----",)),
+    # To the END line, over the headers of an encrypted key and line ends that are spaces or escaped; else the BEGIN line.
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:[\\nr\x20\t\r\n]*Proc-Type:[^\r\n]*[\r\n]+DEK-Info:[^\r\n]*)?[A-Za-z0-9+/=\\\x20\t\r\n]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?", ("PRIVATE KEY-----",)),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (".eyJ",)),
     Rule("payment_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", ("k_live_", "k_test_")),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{1,100}@", ("://",)),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]+@", ("://",)),
 ]
 RULES = [*BASE, *MORE]
 
