@@ -83,16 +83,27 @@ class Model:
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from far-apart seeds: unit centroids, and the cluster of each row."""
+    """Spherical k-means from seeds by k-means++: unit centroids, and the cluster of each row. Clusters of under a
+    fiftieth of the rows, or of one, go into the nearest larger one."""
+    rng = np.random.default_rng(0)
     seeds = [int((x @ x.mean(axis=0)).argmax())]
     while len(seeds) < min(k, len(x)):
-        seeds.append(int((x @ x[seeds].T).max(axis=1).argmin()))
-    c = x[seeds]
-    for _ in range(rounds):
-        of = (x @ c.T).argmax(axis=1)
-        c = np.stack([x[of == i].mean(axis=0) if (of == i).any() else c[i] for i in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c, (x @ c.T).argmax(axis=1)
+        far = np.maximum(1 - (x @ x[seeds].T).max(axis=1).astype(np.float64), 0)
+        if far.sum() < 1e-6:
+            break
+        seeds.append(int(rng.choice(len(x), p=far / far.sum())))
+
+    def settled(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for _ in range(rounds):
+            of = (x @ c.T).argmax(axis=1)
+            c = np.stack([x[of == i].mean(axis=0) if (of == i).any() else c[i] for i in range(len(c))])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        return c, (x @ c.T).argmax(axis=1)
+
+    c, of = settled(x[seeds])
+    while len(c) > 1 and (size := np.bincount(of, minlength=len(c))).min() < max(2, len(x) / 50):
+        c, of = settled(np.delete(c, size.argmin(), axis=0))
+    return c, of
 
 
 def fit(docs: DataFrame, usable: Column, dims: int = 8192, per_language: int = 700, clusters: int = 4, slack: float = 0.5, least_grams: int = 50) -> Model | None:
@@ -125,6 +136,8 @@ def fit(docs: DataFrame, usable: Column, dims: int = 8192, per_language: int = 7
     centroids, language, radius = [], [], []
     for n, lang in enumerate(model.languages):
         own = [x for (of, _, _), x in zip(sample, lists, strict=True) if of == lang]
+        # Texts too short to be rejected say nothing about distances either.
+        own = [x for x in own if x.shape[1] >= least_grams] or own
         if not own:
             continue
         x = np.zeros((len(own), dims), np.float32)
