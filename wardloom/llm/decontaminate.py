@@ -108,9 +108,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int =
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored. An item of fewer than n
     words, but not none, is one window. A null text, or one with no words, has no hits; a benchmark row with null id or
-    text takes no part; repeated items and rows count as they stand. Rows of ``docs`` are returned one for one. A
-    benchmark of more than ``block_bytes`` of text takes a scan for each block; the blocks' spans are then merged by
-    document position, for which doc_id must be unique.
+    text takes no part; repeated items and rows count as they stand. Rows of ``docs`` are returned one for one, and each
+    is judged by itself. The blocks of a benchmark of more than ``block_bytes`` of text follow one another in one pass.
     """
     source, spark = docs.select("doc_id", "text"), docs.sparkSession
     small_batches(spark)
@@ -126,33 +125,49 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int =
 
     if len(parts) == 1:
         return run(parts[0])
-    return _merged(reduce(DataFrame.unionByName, [run(p).where("n_hit > 0") for p in parts]), source)
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            n_words, n_hit, spans = _joined(batch)
+            yield _batch(batch, n_words, n_hit, batch.column("__items"), spans)
 
-def _merged(hits: DataFrame, source: DataFrame) -> DataFrame:
-    """One row per document from the hits of several blocks; words are counted again inside the union of their spans."""
+    return _carried(source, parts).mapInArrow(counted, _schema(source))
 
-    by_doc = hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            texts = Texts(batch.column("text"), lower=True)
-            words = texts.words(WORD)
-            n_hit, spans = [], []
-            for d, found in enumerate(batch.column("spans").to_pylist()):
-                joined: list[dict] = []
-                for x in found or []:
-                    if joined and x["start"] <= joined[-1]["end"] + 1:
-                        joined[-1]["end"] = max(joined[-1]["end"], x["end"])
-                    else:
-                        joined.append(dict(x))
-                starts = words.starts[words.bounds[d] : words.bounds[d + 1]] - texts.offsets[d]
-                n_hit.append(sum(int(np.searchsorted(starts, x["end"]) - np.searchsorted(starts, x["start"])) for x in joined))
-                spans.append(joined)
-            yield _batch(batch, np.diff(words.bounds), n_hit, batch.column("items"), spans)
-
-    joined = source.join(by_doc, "doc_id", "left").select("doc_id", "text", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
-    return joined.mapInArrow(counted, _schema(source))
+def _carried(docs: DataFrame, parts: list) -> DataFrame:
+    """Adds to each row the ``__items`` and ``__spans`` that the blocks find in its text, block after block."""
+    frame = docs.withColumns({"__items": F.array().cast("array<string>"), "__spans": F.array().cast("array<struct<start:long,end:long>>")})
+
+    def added(frame: DataFrame, grams) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, "text"):
+                items, _, n_hit, spans, _ = _scan(grams.value, batch)
+                if n_hit.any():
+                    items = [sorted({*x, *y}) for x, y in zip(batch.column("__items").to_pylist(), items, strict=True)]
+                    spans = [x + y for x, y in zip(batch.column("__spans").to_pylist(), spans, strict=True)]
+                    batch = batch.set_column(batch.schema.get_field_index("__items"), "__items", pa.array(items, pa.list_(pa.string())))
+                    batch = batch.set_column(batch.schema.get_field_index("__spans"), "__spans", pa.array(spans, SPANS))
+                yield batch
+
+        return frame.mapInArrow(run, frame.schema)
+
+    return reduce(added, parts, frame)
+
+
+def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, list[int], list[list[dict]]]:
+    """n_words, n_hit and spans of each text from its ``__spans``: a run of hit words is one span, as in one block."""
+    texts = Texts(batch.column("text"), lower=True)
+    words = texts.words(WORD)
+    n_hit, spans = [], []
+    for d, found in enumerate(batch.column("__spans").to_pylist()):
+        starts, ends = (x[words.bounds[d] : words.bounds[d + 1]] - texts.offsets[d] for x in (words.starts, words.ends))
+        hit = np.zeros(len(starts) + 2, np.int8)
+        for x in found:
+            hit[1 + np.searchsorted(starts, x["start"]) : 1 + np.searchsorted(starts, x["end"])] = 1
+        step = np.diff(hit)
+        n_hit.append(int(hit.sum()))
+        spans.append([{"start": int(starts[i]), "end": int(ends[j - 1])} for i, j in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)])
+    return np.diff(words.bounds), n_hit, spans
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, how: str = "documents", block_bytes: int = 32 << 20) -> DataFrame:
@@ -180,10 +195,20 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, how: str = "docum
 
         return frame.mapInArrow(run, frame.schema)
 
-    # Blocks of a large benchmark follow one another in one pass; cut texts are judged by the next block as they are then.
-    for block in _blocks(benchmark, block_bytes):
-        docs = kept(docs, spark.sparkContext.broadcast(_Grams(block, n)))
-    return docs
+    # Blocks of a large benchmark follow one another in one pass; texts are cut at its end, so each judges them whole.
+    parts = [spark.sparkContext.broadcast(_Grams(block, n)) for block in _blocks(benchmark, block_bytes)]
+    if how == "documents" or len(parts) == 1:
+        return reduce(kept, parts, docs)
+
+    names = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            texts = [_cut(t, x) for t, x in zip(batch.column("text").to_pylist(), _joined(batch)[2], strict=True)]
+            batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+            yield batch.select(names)
+
+    return _carried(docs, parts).mapInArrow(cut, docs.schema)
 
 
 def _cut(text: str | None, spans: list[dict]) -> str | None:
