@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardloom.llm import bpe, decontaminate, jaccard, langid, secrets
-from wardloom.llm._lineage import written
+from wardloom.llm._lineage import cut, written
 from wardloom.llm.queries import tokenizer
 
 
@@ -20,11 +20,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each group that links of similarity 0.9 on 3-word shingles connect."""
-    found = jaccard.join(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    """Keeps the smallest document of each group that links of similarity 0.9 on 3-word shingles connect.
+
+    A document is a doc_id and a text. Of its rows one stays, with the smallest of the other columns. One without an id,
+    and each of an id but that of one text, stands by a number from its hash, from 2^62 up, so mostly after those with ids.
+    """
+    h = F.xxhash64("text")
+    # Ids of several texts, which have none as a rule.
+    shared = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__of")).agg(F.min(h).alias("__first"), F.max(h).alias("__last")).where("__first <> __last")
+    shared, rows, other = cut(shared), docs, F.col("doc_id").isNull()
+    if not shared.isEmpty():
+        rows = docs.join(shared.hint("shuffle_hash"), F.col("doc_id") == F.col("__of"), "left")
+        other = other | F.coalesce(h != F.col("__first"), F.lit(False))
+    number = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    rows = rows.select(*docs.columns, F.when(other, number).otherwise(F.col("doc_id").cast("long")).alias("__id"))
+    found = jaccard.join(rows.select(F.col("__id").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("__id"))
+    marks = cut(found.agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), (F.count("*") > 1).alias("many")).where("gone OR many"))
     # Only ids are hashed; the texts stream by.
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    kept = rows.join(marks.hint("shuffle_hash"), "__id", "left_anti").select(*docs.columns)
+    many = marks.where("NOT gone").select("__id")
+    if many.isEmpty():
+        return kept
+    rest = F.min(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("__none"))).alias("__rest")
+    one = rows.join(many.hint("shuffle_hash"), "__id", "left_semi").groupBy("doc_id", "text").agg(rest).select("doc_id", "text", "__rest.*")
+    return kept.unionByName(one.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
