@@ -7,6 +7,7 @@ Words never cross documents; a text of any length is handled, in pieces of about
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ from pyspark.sql import SparkSession
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SPLITMIX = np.uint64(0x9E3779B97F4A7C15)
+#: The longest word, in bytes, that is hashed with numpy.
+LONG = 128
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -86,35 +90,35 @@ class Texts:
 class Words:
     """Word ``i`` is ``data[starts[i]:ends[i]]``; text ``d`` has the words ``bounds[d]:bounds[d + 1]``."""
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
     def __init__(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray):
         self.texts, self.starts, self.ends, self.bounds = texts, starts, ends, bounds
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.texts.n), np.diff(self.bounds))
 
-    @classmethod
-    def _tables(cls, seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        base = (int(mix64(np.array([seed + 1], np.uint64) * _SPLITMIX)[0]) | 1) & (2**64 - 1)
-        if seed not in cls._powers or len(cls._powers[seed][0]) < n:
-            up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 2**64), np.uint64)
-            up[0] = down[0] = 1
-            cls._powers[seed] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return (*cls._powers[seed], mix64(np.arange(1, 257, dtype=np.uint64) * _SPLITMIX + np.uint64(seed)))
-
     def hashes(self, seed: int = 0, piece: int = 1 << 20) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial over its bytes, from running sums, so it costs a few operations a byte."""
-        out, i, data = np.empty(len(self.starts), np.uint64), 0, self.texts.data
-        while i < len(out):
-            at = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, at + piece, "right")))
-            s, e = self.starts[i:j] - at, self.ends[i:j] - at
-            up, down, table = self._tables(seed, max(piece, int(e[-1])))
-            sums = np.zeros(int(e[-1]) + 1, np.uint64)
-            np.cumsum(table[data[at : at + e[-1]]] * up[: e[-1]], out=sums[1:])
-            out[i:j] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _SPLITMIX)
-            i = j
+        """A 64-bit hash of each word, ``piece`` words at a time; other seeds give independent ones.
+
+        Eight bytes at a time go through a bijection, so words of up to eight bytes and of one length never share a
+        hash. The few words over ``LONG`` bytes go through BLAKE2b.
+        """
+        salt = int(mix64(np.array([seed + 1], np.uint64) * _SPLITMIX)[0])
+        # Any eight bytes as one number, wherever they start; the data ends in eight more.
+        eights = np.ndarray((len(self.texts.data) + 1,), "<u8", np.concatenate([self.texts.data, np.zeros(8, np.uint8)]), strides=(1,))
+        out = np.empty(len(self.starts), np.uint64)
+        for i in range(0, len(out), piece):
+            s, size = self.starts[i : i + piece], self.ends[i : i + piece] - self.starts[i : i + piece]
+            h = mix64(size.astype(np.uint64) * _SPLITMIX ^ np.uint64(salt))
+            live, at = np.flatnonzero(size <= LONG), 0
+            while len(live):
+                left = np.minimum(size[live] - at, 8)
+                h[live] = mix64(h[live] ^ (eights[s[live] + at] & _MASKS[left]))
+                at += 8
+                live = live[size[live] > at]
+            for x in np.flatnonzero(size > LONG).tolist():
+                digest = hashlib.blake2b(self.texts.data[s[x] : s[x] + size[x]], digest_size=8, key=salt.to_bytes(8, "little")).digest()
+                h[x] = int.from_bytes(digest, "little")
+            out[i : i + piece] = h
         return out
 
     def bytes_of(self, i: int, j: int) -> bytes:
@@ -137,15 +141,16 @@ class Words:
         return data[take], np.concatenate([[0], np.cumsum(take)])[self.texts.offsets]
 
 
-def windows(hashes: np.ndarray, bounds: np.ndarray, n: int, multiplier: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first word, hash) of every run of n words inside one text."""
+def windows(hashes: np.ndarray, bounds: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first word, hash) of every run of n words inside one text: the sum of the words' hashes, each times
+    a random odd number of its place."""
     if len(hashes) < n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    c, last = np.uint64(multiplier), len(hashes) - n + 1
-    h = hashes[:last].copy()
+    times = mix64(np.arange(1, n + 1, dtype=np.uint64) * _SPLITMIX + np.uint64(seed)) | np.uint64(1)
+    last = len(hashes) - n + 1
+    h = hashes[:last] * times[0]
     for k in range(1, n):
-        h *= c
-        h += hashes[k : k + last]
+        h += hashes[k : k + last] * times[k]
     room = np.repeat(bounds[1:], np.diff(bounds))[:last]
     whole = np.arange(last) + n <= room
     return np.flatnonzero(whole), mix64(h[whole])

@@ -54,11 +54,9 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, n):
         short = np.flatnonzero(size == k)
         if len(short):
-            first = words.bounds[short]
-            whole = hashes[first].copy()
-            for j in range(1, k):
-                whole = whole * np.uint64(0x9FB21C651E98DF25) + hashes[first + j]
-            h, doc = np.concatenate([h, mix64(whole ^ np.uint64(k))]), np.concatenate([doc, short])
+            words_of = hashes[words.bounds[short, None] + np.arange(k)]
+            whole = windows(words_of.ravel(), np.arange(len(short) + 1) * k, k, k)[1]
+            h, doc = np.concatenate([h, whole]), np.concatenate([doc, short])
     order = np.argsort(doc, kind="stable")
     h, doc = h[order], doc[order]
     edge = np.searchsorted(doc, np.arange(texts.n + 1))

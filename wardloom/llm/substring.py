@@ -1,14 +1,15 @@
 """Substring dedup with a count-min prefilter.
 
-A window is a run of ``n`` consecutive words. Documents are dealt into chunks of bounded size by a hash of their id.
+A window is a run of ``n`` consecutive words. Documents are dealt into chunks of bounded size by a hash of their id and text.
 
 1. Each chunk sketches its windows: for each of ``depth`` hash rows, the counters that its windows fall on. The sketches
    meet block by block (a block is a bounded slice of one row of counters); the counters are summed, saturating at two,
    and each chunk gets one bit back for each counter that it had touched: was the merged count two or more? The estimate
    of a window, the least over the rows, never falls below the number of chunks that hold it, so none is lost.
 2. Each chunk hashes its windows again and keeps only those estimated repeated (or held by two of its own documents).
-   These are grouped exactly, by 96 bits of hash, to find the smallest document that each starts in; each chunk gets one
-   bit for each of its windows: does it start in a document before all of the chunk's?
+   These are grouped exactly, by 96 bits of two independent hashes (over 100 TB of text two unlike windows of all share
+   them with a chance of about one in five hundred), to find the smallest document that each starts in; each chunk gets
+   one bit for each of its windows: does it start in a document before all of the chunk's?
 3. Each chunk marks the words that later occurrences cover and cuts them out.
 
 Nothing is collected to the driver; no task holds more than a chunk or a block, and a window that fills the corpus has
@@ -82,7 +83,7 @@ class _Chunk:
         known = np.asarray(self.ids.is_valid())[doc]
         self.at, h, doc = self.at[known], h[known], doc[known]
         self.id = np.asarray(self.ids.fill_null(0), np.int64)[doc]
-        _, low = windows(hashes, self.words.bounds, plan.n, 0xA3B195354A39B70D)
+        _, low = windows(self.words.hashes(2), self.words.bounds, plan.n, 2)
         low = (low[known] >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(h)
         a, b = h[order], low[order]
@@ -151,9 +152,8 @@ def dedup(docs: DataFrame, n: int = 13, depth: int = 2, load: float = 4.0, chunk
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text_bytes = source.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     plan = _Plan(n, depth, load, text_bytes, chunk_bytes, least_parts)
-    dealt = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(plan.chunks)).cast("int"))
-    # A null id has one hash: such rows, which join nothing, are dealt by their text.
-    dealt = dealt.withColumn("chunk", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(plan.chunks)).cast("int")).otherwise(F.col("chunk")))
+    # By the text as well, so that rows without an id, or with one id, are not dealt into one chunk.
+    dealt = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.chunks)).cast("int"))
 
     def sketch(table: pa.Table) -> pa.Table:
         chunk, number = _Chunk(table, plan), table.column("chunk")[0].as_py()
