@@ -1,22 +1,27 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
-Every document starts with a label, a shard that the hash of its id names. Documents with equal texts are linked. The
-law is ``rows``: the counts of the shards differ by one at most. All documents of a text have the same neighbours, so
-their labels are one histogram, and a text that a third of the corpus repeats is one row here. In a round of propagation
-
-1. each text that has no place yet asks for the shard that most of its documents are labelled with, of those with room;
-2. the shard grants requests, those of larger texts first, by running sums, up to its quota: what is left of its capacity;
-3. granted texts take the label and hold their room; the others see in the next round which shards have room.
-
-Texts that could fill a sixteenth of a shard are few, however large the corpus is, and go first: only these may be too
-large for any shard and be split. What no shard can take whole at the end is laid over the room that is left. Texts that
-occur once have no links: they fill the shards up. Ranks are made of counts by bucket and a window inside each bucket,
-so none is taken over a whole shard.
+Documents with equal texts are linked. Every document starts with a label, a shard; the linked ones are dealt evenly.
+The law is ``rows``: the counts of the shards differ by one at most. Documents of one text and label are alike, so the
+state is a row (text, shard, number of its documents there), and a text that a third of the corpus repeats is a few
+rows. In a round
+
+1. the state is joined with the labels of each text's neighbours, its documents counted by shard;
+2. documents ask to move to the shard that most of their neighbours are labelled with, if it holds no fewer of them than
+   their own, so that a move never cuts more links;
+3. quotas are set from the shards' room (capacity less linked documents) and from how many ask to move the other way, in
+   pairs or rings of shards; the requests of larger texts are granted first, by running sums, up to the quota;
+4. granted documents take the label, and the next round counts anew.
+
+Shards that nobody can enter are closed to the next rounds, until others have moved. When no such move is left, texts that
+are still cut may move as a whole into a shard with room for all of them. Each move lowers the number of cut links, so
+the rounds end by themselves. Texts that could fill a sixteenth of a shard go first, then the others in the room that
+these leave. Texts that occur once have no links: they fill the shards up. Ranks are made of counts by bucket and a window inside each bucket, so none is taken over a whole shard. The
+driver holds a number for each pair of shards.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,11 +29,11 @@ from pyspark.sql import functions as F
 from ._lineage import cut
 
 
-def _running(rows: DataFrame, group: str | None, size: str, order: list, buckets: int, first: Column | int = 0) -> DataFrame:
+def _running(rows: DataFrame, group: str | None, size: str, order: list, buckets: int, first: Column | int = 0, by: tuple[str, ...] = ("key",)) -> DataFrame:
     """Adds ``before``: the sum of ``size`` over the rows of the same group ahead: by ``first`` (a small number), by
-    bucket of the key, and then by ``order``."""
+    bucket of the columns ``by``, and then by ``order``."""
     first = first if isinstance(first, Column) else F.lit(first)
-    rows = rows.withColumn("bucket", (first * buckets + F.pmod(F.xxhash64("key", F.lit(31)), F.lit(buckets))).cast("long"))
+    rows = rows.withColumn("bucket", (first * buckets + F.pmod(F.xxhash64(*by, F.lit(31)), F.lit(buckets))).cast("long"))
     keys = ([group] if group else []) + ["bucket"]
     sums = rows.groupBy(*keys).agg(F.sum(size).alias("s"))
     by_group = Window.partitionBy(*([group] if group else [])).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,84 +46,154 @@ def _of(values: list, shard: str) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.col(shard) + 1)
 
 
-def _heavy(texts: list, room: list[int]) -> list[tuple]:
-    """Places the large texts, largest first: where most labels are of the shards that can hold them whole; if none can,
-    in as few parts as fill shards. Takes the room; returns (key, shard, n)."""
-    out = []
-    for text in sorted(texts, key=lambda t: (-t.n, t.key)):
-        left = text.n
-        while left:
-            whole = [s for s, r in enumerate(room) if r >= left]
-            to = max(whole, key=lambda s: (text.labels[s], -s)) if whole else max(range(len(room)), key=lambda s: (room[s], text.labels[s], -s))
-            n = min(left, room[to])
-            out.append((text.key, to, n))
-            room[to] -= n
-            left -= n
-    return out
-
-
-def _round(texts: DataFrame, room: list[int], buckets: int) -> DataFrame:
-    """Adds ``to``, the shard that a text asks for, and ``granted``."""
-    wish = lambda label, r, s: F.struct((r >= F.col("n")).alias("fits"), label.alias("label"), F.pmod(F.xxhash64("key", s), F.lit(1 << 20)).alias("tie"), s.alias("shard"))
-    asked = F.array_max(F.zip_with(F.arrays_zip(F.col("labels").alias("label"), F.array(*map(F.lit, room)).alias("room")), F.sequence(F.lit(0), F.lit(len(room) - 1)), lambda x, s: wish(x["label"], x["room"], s)))
-    rows = texts.withColumn("asked", asked).select("key", "n", "labels", F.col("asked.shard").alias("to"), F.col("asked.fits").alias("fits"))
-    rows = _running(rows, "to", "n", [F.desc("n"), "key"], buckets, 63 - F.floor(F.log2("n")))
-    return rows.select("key", "n", "labels", "to", (F.col("fits") & (F.col("before") + F.col("n") <= _of(room, "to"))).alias("granted"))
-
-
-def _laid(texts: DataFrame, room: list[int], buckets: int) -> DataFrame:
-    """(key, shard, n): the texts laid one after another over the room that is left."""
-    rows = _running(texts, None, "n", [F.desc("n"), "key"], buckets)
-    edges = [sum(room[:s]) for s in range(len(room) + 1)]
-    parts = F.array(*(F.struct(F.lit(s).alias("shard"), (F.least(F.col("before") + F.col("n"), F.lit(edges[s + 1])) - F.greatest("before", F.lit(edges[s]))).alias("m")) for s in range(len(room))))
-    return rows.select("key", F.inline(parts)).where("m > 0").select("key", "shard", F.col("m").alias("n"))
-
-
-def _propagated(texts: DataFrame, caps: list[int], rounds: int, buckets: int) -> tuple[DataFrame, list[int]]:
-    """The places of all linked texts, (key, shard, n), and how many documents each shard then holds. ``texts``: key, n
-    and labels, the number of its documents that start in each shard."""
-    spark, room = texts.sparkSession, list(caps)
-    large = F.col("n") * 16 >= min(caps)
-    placed = [spark.createDataFrame(_heavy(texts.where(large).collect(), room), "key binary, shard int, n long")]
-    left = texts.where(~large)
-    for _ in range(rounds):
-        asked = cut(_round(left, room, buckets))
-        got = {r.to: r.n for r in asked.where("granted").groupBy("to").agg(F.sum("n").alias("n")).collect()}
-        if got:
-            placed.append(asked.where("granted").select("key", F.col("to").alias("shard"), "n"))
-        room = [r - got.get(s, 0) for s, r in enumerate(room)]
-        left = asked.where("NOT granted").select("key", "n", "labels")
-        if not got or left.isEmpty():
-            break
-    if not left.isEmpty():
-        rest = cut(_laid(left, room, buckets))
-        got = {r.shard: r.n for r in rest.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = [r - got.get(s, 0) for s, r in enumerate(room)]
-        placed.append(rest)
-    return cut(reduce(DataFrame.unionByName, placed)), [cap - r for cap, r in zip(caps, room, strict=True)]
-
-
-def shard(docs: DataFrame, shards: int = 8, rounds: int = 12, bucket_rows: int = 20_000) -> DataFrame:
+def cut_links(state: DataFrame) -> int:
+    """The pairs of equal texts in different shards. ``state``: (key, shard, n), the documents of each text in each shard."""
+    n = F.sum("n").cast("decimal(38,0)")
+    pairs = state.groupBy("key").agg((n * n - F.sum(F.col("n").cast("decimal(19,0)") * F.col("n"))).alias("cut"))
+    return int(pairs.agg(F.sum("cut")).first()[0] or 0) // 2
+
+
+def _asked(state: DataFrame, eligible: list[bool], turn: int) -> DataFrame:
+    """Step 1 and 2: the state with ``to``, the shard of the most neighbours among the eligible, and ``there``, how many
+    they are; only the rows that ask to move. Ties are broken anew in each round."""
+    best = F.struct(F.col("n").alias("there"), F.pmod(F.xxhash64("key", "shard", F.lit(turn)), F.lit(1 << 20)).alias("tie"), F.col("shard").alias("to"))
+    votes = state.where(_of(eligible, "shard")).groupBy("key").agg(F.max(best).alias("best")).select("key", "best.*")
+    moves = (F.col("to") != F.col("shard")) & (F.col("there") >= F.col("n"))
+    return state.join(votes, "key").where(moves).select("key", "shard", "n", "to", "there")
+
+
+def _cycle(edges: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """A cycle of edges with something left, or none."""
+    after = {s: [t for (a, t), n in sorted(edges.items()) if a == s and n > 0] for s, _ in edges}
+    done: set[int] = set()
+
+    def walk(path: list[int]) -> list[int]:
+        for t in after.get(path[-1], []):
+            if t in path:
+                return [*path[path.index(t) :], t]
+            if t not in done and (found := walk([*path, t])):
+                return found
+        done.add(path[-1])
+        return []
+
+    for s in after:
+        if s not in done and (found := walk([s])):
+            return list(zip(found[:-1], found[1:], strict=True))
+    return []
+
+
+def _quotas(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """Step 3: how many may move from one shard to another, so that none is over its capacity afterwards: into room,
+    that of documents which leave too, and round cycles of shards."""
+    left, room = dict(asked), list(room)
+    while True:
+        into = max(((min(n, room[t]), s, t) for (s, t), n in left.items()), default=(0, 0, 0))
+        if into[0] > 0:
+            n, s, t = into
+            room[s], room[t] = room[s] + n, room[t] - n
+            left[s, t] -= n
+        elif cycle := _cycle(left):
+            n = min(left[e] for e in cycle)
+            for e in cycle:
+                left[e] -= n
+        else:
+            return {e: n - left[e] for e, n in asked.items()}
+
+
+def _exchanged(state: DataFrame, room: list[int], eligible: list[bool], turn: int, buckets: int) -> tuple[DataFrame, list[int], set[int]]:
+    """A round: the new state, the room after it (the same if nothing moved), and the shards that were asked for."""
+    shards = len(room)
+    asked = cut(_asked(state, eligible, turn).withColumn("pair", F.col("shard") * shards + F.col("to")))
+    wanted = {divmod(r.pair, shards): r.n for r in asked.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    quota = _quotas(wanted, room)
+    if not any(quota.values()):
+        return state, room, {t for _, t in wanted}
+    limit = F.element_at(F.array(*(F.lit(quota.get((s, t), 0)) for s in range(shards) for t in range(shards))), F.col("pair") + 1)
+    ranked = _running(asked, "pair", "n", [F.desc("n"), "key"], buckets, 63 - F.floor(F.log2("there")))
+    granted = cut(ranked.withColumn("m", F.greatest(F.lit(0), F.least(F.col("n"), limit - F.col("before"))).cast("long")).where("m > 0").select("key", "shard", "to", "m"))
+    moved = {(r.shard, r.to): r.m for r in granted.groupBy("shard", "to").agg(F.sum("m").alias("m")).collect()}
+    steps = granted.select("key", F.explode(F.array(F.struct(F.col("shard"), (-F.col("m")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("m").alias("n")))).alias("x")).select("key", "x.*")
+    state = cut(state.unionByName(steps).groupBy("key", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
+    return state, [r + sum(m for (s, _), m in moved.items() if s == i) - sum(m for (_, t), m in moved.items() if t == i) for i, r in enumerate(room)], set()
+
+
+def _whole(state: DataFrame, room: list[int], buckets: int) -> tuple[DataFrame, list[int], int]:
+    """Moves cut texts as a whole: each to the shard of most of its documents, of those with room for the others."""
+    own = [F.sum(F.when(F.col("shard") == s, F.col("n")).otherwise(0)) for s in range(len(room))]
+    texts = state.groupBy("key").agg(F.sum("n").alias("total"), F.array(*own).alias("own"), F.count("*").alias("parts")).where("parts > 1")
+    fits = F.array(*(F.struct(F.col("own")[s].alias("there"), F.pmod(F.xxhash64("key", F.lit(s)), F.lit(1 << 20)).alias("tie"), F.lit(s).alias("to")) for s in range(len(room))))
+    best = F.array_max(F.filter(fits, lambda x: F.col("total") - x["there"] <= F.element_at(F.array(*map(F.lit, room)), x["to"] + 1)))
+    asked = texts.withColumn("best", best).where("best IS NOT NULL").select("key", "own", "total", "best.to", (F.col("total") - F.col("best.there")).alias("n"))
+    # A text of many documents last: more are made whole.
+    ranked = _running(asked, "to", "n", ["n", "key"], buckets, F.floor(F.log2("n")))
+    granted = cut(ranked.where(F.col("before") + F.col("n") <= _of(room, "to")).select("key", "own", "total", "to", "n"))
+    gone = granted.agg(F.count("*").alias("texts"), *(F.sum(F.when(F.col("to") != s, F.col("own")[s]).otherwise(-F.col("n"))).alias(f"s{s}") for s in range(len(room)))).first()
+    if not gone.texts:
+        return state, room, 0
+    state = cut(state.join(granted.select("key"), "key", "left_anti").unionByName(granted.select("key", F.col("to").alias("shard"), F.col("total").alias("n"))))
+    return state, [r + gone[f"s{s}"] for s, r in enumerate(room)], gone.texts
+
+
+def propagate(state: DataFrame, caps: list[int], buckets: int = 16) -> DataFrame:
+    """The state (key, shard, n) when no round moves anything any more. ``caps``: the most documents of each shard; the
+    state given must keep to them. Sizes stay within the capacities in every round."""
+    state = cut(state)
+    loads = {r.shard: r.n for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    room, closed, moved = [cap - loads.get(s, 0) for s, cap in enumerate(caps)], set(), False
+    for turn in count():
+        before, in_vain = state, set()
+        if len(closed) < len(caps):
+            state, room, in_vain = _exchanged(state, room, [s not in closed for s in range(len(caps))], turn, buckets)
+        if state is not before:
+            moved = True
+        elif in_vain:
+            closed |= in_vain
+        elif moved and closed:
+            closed, moved = set(), False
+        else:
+            state, room, whole = _whole(state, room, buckets)
+            if not whole:
+                break
+            closed, moved = set(), False
+    return state
+
+
+def _dealt(cells: DataFrame, room: list[int], buckets: int) -> DataFrame:
+    """The first state (key, shard, n): the documents of the cells (key, cell, n) in no order, in proportion to the room."""
+    total, n = sum(room), cells.agg(F.sum("n")).first()[0] or 0
+    edges = [n * sum(room[:s]) // max(total, 1) for s in range(len(room) + 1)]
+    rows = _running(cells, None, "n", ["key", "cell"], buckets, by=("key", "cell"))
+    parts = F.array(*(F.struct(F.lit(s).alias("shard"), (F.least(F.col("before") + F.col("n"), F.lit(edges[s + 1])) - F.greatest("before", F.lit(edges[s]))).alias("n")) for s in range(len(room))))
+    return rows.select("key", F.inline(parts)).where("n > 0").groupBy("key", "shard").agg(F.sum("n").alias("n"))
+
+
+def shard(docs: DataFrame, shards: int = 8, bucket_rows: int = 20_000) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text plus one), text_crc32, shard (from 0) and slot (gapless from 0 in a shard).
 
-    ``docs`` needs doc_id and text; other columns are ignored. A null text has no bytes; null texts are equal to each
-    other and to no other text. Repeated rows and rows with a null doc_id each get a slot. Documents of one text are in
-    one shard unless its capacity, or the even counts, split them. Every row has a place; an empty table gives none.
+    ``docs`` needs doc_id and text; other columns, whatever their names, are ignored. A null text has no bytes; null
+    texts are equal to each other and to no other text. Repeated rows and rows with a null doc_id each get a slot.
+    Documents of one text are in one shard unless its capacity, or the even counts, split them. Every row has a place;
+    an empty table gives none. Texts are told apart by 128-bit digests.
     """
     text = F.col("text")
-    key = F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit(b"\0null\0"))))
+    key = F.when(text.isNull(), F.lit(b"")).otherwise(F.unhex(F.md5(text.cast("binary"))))
     rows = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), key.alias("key"))
-    rows = cut(rows)
+    # A row's number, fixed by the checkpoint, deals a text's documents into cells, so that no key holds them all.
+    rows = cut(rows.withColumn("cell", F.xxhash64(F.monotonically_increasing_id())))
     total = rows.count()
     buckets = max(16, -(-total // bucket_rows))
     caps = [total // shards + (s < total % shards) for s in range(shards)]
-    # A text's documents are dealt into cells, so that no key holds them all.
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(buckets)).cast("int"))
-    label = F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(shards))
-    cells = cut(rows.groupBy("key", "cell").agg(F.count("*").alias("n"), F.array(*(F.count_if(label == s) for s in range(shards))).alias("labels")))
-    labels = F.array(*(F.sum(F.element_at("labels", s + 1)) for s in range(shards)))
-    texts = cut(cells.groupBy("key").agg(F.sum("n").alias("n"), labels.alias("labels")).where("n > 1"))
-    pieces, loads = _propagated(texts, caps, rounds, buckets)
+    rows = rows.withColumn("cell", F.pmod("cell", F.lit(buckets)).cast("int"))
+    cells = rows.groupBy("key", "cell").agg(F.count("*").alias("n"))
+    texts = cells.groupBy("key").agg(F.sum("n").alias("of")).where("of > 1")
+    cells = cut(cells.join(texts, "key").select("key", "cell", "n", (F.col("of") * 16 >= min(caps)).alias("large")))
+    room, waves = list(caps), []
+    for wave in ("large", "NOT large"):
+        waves.append(propagate(_dealt(cells.where(wave).select("key", "cell", "n"), room, buckets), room, buckets))
+        used = {r.shard: r.n for r in waves[-1].groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        room = [r - used.get(s, 0) for s, r in enumerate(room)]
+    pieces = waves[0].unionByName(waves[1])
+    loads = [cap - r for cap, r in zip(caps, room, strict=True)]
 
     # Linked documents: a text's documents in order of cell go to its pieces in order of shard.
     placed = _running(pieces, "shard", "n", ["key"], buckets)
@@ -126,9 +201,9 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 12, bucket_rows: int =
     placed = placed.select("key", "shard", F.col("before").alias("slot"), "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("from"))
     lists = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("from", "n", "shard", "slot"))).alias("pieces"))
     in_text = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.withColumn("start", F.coalesce(F.sum("n").over(in_text), F.lit(0))).drop("n", "labels").join(lists, "key", "left")
+    starts = cells.withColumn("start", F.coalesce(F.sum("n").over(in_text), F.lit(0))).drop("n", "large").join(lists, "key")
     in_cell = Window.partitionBy("key", "cell").orderBy("doc_id")
-    rows = rows.join(starts, ["key", "cell"]).withColumn("rank", F.col("start") + F.row_number().over(in_cell) - 1)
+    rows = rows.join(starts, ["key", "cell"], "left").withColumn("rank", F.col("start") + F.row_number().over(in_cell) - 1)
     own = F.element_at(F.filter("pieces", lambda p: (p["from"] <= F.col("rank")) & (F.col("rank") < p["from"] + p["n"])), 1)
     linked = rows.where("pieces IS NOT NULL").withColumn("own", own).select("doc_id", "size", "text_crc32", F.col("own.shard").alias("shard"), (F.col("own.slot") + F.col("rank") - F.col("own.from")).alias("slot"))
 
