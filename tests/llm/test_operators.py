@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wardloom.llm import ann, components, decontaminate, jaccard, langid, secrets, sharding, substring, toxicity
+from wardloom.llm import ann, components, decontaminate, jaccard, langid, secrets, sharding, substring, toxicity, trigrams
 from wardloom.llm import _words as W
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -177,10 +177,11 @@ def test_secrets(spark):
 
 
 def test_trigram_queries_are_necessary():
+    """A query is true of every text that its expression matches in."""
     for rule in secrets.RULES:
-        if rule.literals:
-            hits = [t for t in SECRETS if t and re.search(rule.pattern, t, re.ASCII)]
-            assert all(any(all(g in t.lower() for g in c) for c in rule.clauses()) for t in hits)
+        hits = [t for t in SECRETS if t and re.search(rule.pattern, t, re.ASCII)]
+        assert all(trigrams.holds(rule.query, t.lower()) for t in hits)
+    assert [r.kind for r in secrets.RULES if r.query is True] == ["hex"]
 
 
 def brute_links(rows, n, num, den):

@@ -1,137 +1,167 @@
 """Secret scans with a trigram inverted index, in DataFrame operations only.
 
-Each rule is a regular expression. From its mandatory literals a Boolean trigram query is derived: an OR of clauses,
-each an AND of the trigrams of one literal. The index has a posting (trigram, document) for each trigram that a query
-names, over the lower-cased texts. Postings are intersected by counting the trigrams of a clause that a document has;
-the documents that satisfy a clause are the rule's candidates, and only these are verified with the expression. A rule
-without mandatory trigrams scans every text.
+Each rule is a regular expression. A Boolean query over trigrams is derived from the expression itself (``trigrams``).
+The index has a posting (trigram, row) for each trigram that a query names, from one pass over the lower-cased texts.
+Postings are intersected and united by row as the query says; the rows that satisfy it are the rule's candidates, and
+only these are verified with the expression. A rule without mandatory trigrams scans every text.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardloom.functions.scalars import bound
+
+from . import trigrams
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: its expression; ``kept``, a test of a match that drops it if false; and its literals.
-
-    A match holds one of ``literals`` whole, in either case; none: the rule has no mandatory trigram.
-    """
+    """A kind of secret: its expression, and ``kept``, a test of a match that drops it if false."""
 
     kind: str
     pattern: str
-    literals: tuple[str, ...] = ()
     kept: str | None = None
     base: bool = False
 
-    def clauses(self) -> list[list[str]]:
-        return [sorted({x[i : i + 3] for i in range(len(x) - 2)}) for x in (y.lower() for y in self.literals)]
+    @property
+    def query(self) -> trigrams.Query:
+        return trigrams.query(self.pattern)
 
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
 BASE = [
     # Matches whose value is too short are dropped, not sought further inside: so the length is a test of the match.
-    Rule("assign", ASSIGN + r"[A-Za-z0-9+/_.=-]+", ("password", "passwd", "secret", "token", "api_key", "apikey"), kept=rf"^{ASSIGN}[A-Za-z0-9+/_.=-]{{6,}}$", base=True),
+    Rule("assign", ASSIGN + r"[A-Za-z0-9+/_.=-]+", kept=rf"^{ASSIGN}[A-Za-z0-9+/_.=-]{{6,}}$", base=True),
     # A run of the class is one match, so here the length can be part of the expression.
-    Rule("access", r"AKIA[A-Z0-9]{16,}", ("AKIA",), base=True),
+    Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),
 ]
 MORE = [
     # To the END line, over the headers of an encrypted key and line ends that are spaces or escaped; else the BEGIN line.
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:[\\nr\x20\t\r\n]*Proc-Type:[^\r\n]*[\r\n]+DEK-Info:[^\r\n]*)?[A-Za-z0-9+/=\\\x20\t\r\n]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?", ("PRIVATE KEY-----",)),
-    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (".eyJ",)),
-    Rule("payment_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", ("k_live_", "k_test_")),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]+@", ("://",)),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:[\\nr\x20\t\r\n]*Proc-Type:[^\r\n]*[\r\n]+DEK-Info:[^\r\n]*)?[A-Za-z0-9+/=\\\x20\t\r\n]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
+    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("payment_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]+@"),
 ]
 RULES = [*BASE, *MORE]
 
 
-@dataclass
-class _Query:
-    clause: int
-    rule: str
-    trigrams: list[str] = field(default_factory=list)
+#: Matches or spans that are walked over at once: what is copied for each of them is no longer than this.
+BLOCK = 256
+
+
+def _alternatives(words: list[str]) -> str:
+    """An expression for any of some words of one length, which goes by their first letters."""
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        rest.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(re.escape(c) + (_alternatives(x) if x[0] else "") for c, x in sorted(rest.items())) + ")"
 
 
-def queries(rules: list[Rule]) -> list[_Query]:
-    return [_Query(n, kind, trigrams) for n, (kind, trigrams) in enumerate((r.kind, c) for r in rules for c in r.clauses())]
+def index(docs: DataFrame, wanted: set[str]) -> DataFrame:
+    """The postings (trigram, __key), each once for a row, of these trigrams over the lower-cased ``text``; in one pass."""
+    first = "".join(re.escape(c) for c in sorted({t[0] for t in wanted}))
+    everywhere = F.regexp_extract_all(F.lower("text"), F.lit(f"(?=[{first}])(?=({_alternatives(sorted(wanted))}))"), F.lit(1))
+    return docs.where("text IS NOT NULL").select("__key", F.explode(F.array_distinct(everywhere)).alias("trigram"))
 
 
-def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The postings (trigram, doc_id), each once for a row, of these trigrams over the lower-cased texts."""
-    low = F.lower("text")
-    found = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)))
-    return docs.where("text IS NOT NULL").select("doc_id", F.explode(found).alias("trigram"))
+def _satisfied(query: trigrams.Query, posted: Column) -> Column:
+    if isinstance(query, str):
+        return F.array_contains(posted, query)
+    parts = [_satisfied(x, posted) for x in query[1:]]
+    return reduce(Column.__and__ if query[0] == "and" else Column.__or__, parts)
 
 
 def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """doc_id and the kinds whose trigram queries the document satisfies; a row for each document with any."""
-    wanted = queries(rules)
-    clauses = docs.sparkSession.createDataFrame([(q.clause, q.rule, t, len(q.trigrams)) for q in wanted for t in q.trigrams], "clause int, kind string, trigram string, size int")
-    postings = index(docs, sorted({t for q in wanted for t in q.trigrams}))
-    # The clauses are as many as the rules name; a posting meets the few of its trigram before the shuffle by document.
-    met = postings.join(F.broadcast(clauses), "trigram").groupBy("doc_id").agg(F.collect_set(F.struct("clause", "trigram", "kind", "size")).alias("met"))
-    kinds = [F.when(_satisfied(q), F.lit(q.rule)) for q in wanted]
-    return met.select("doc_id", F.array_distinct(F.array_compact(F.array(*kinds))).alias("kinds")).where(F.size("kinds") > 0)
+    """__key and the kinds whose queries the postings of the row satisfy; a row for each with any."""
+    wanted = {r.kind: r.query for r in rules}
+    posted = index(docs, set().union(*map(trigrams.trigrams, wanted.values()))).groupBy("__key").agg(F.collect_set("trigram").alias("posted"))
+    kinds = F.array(*(F.when(_satisfied(q, F.col("posted")), F.lit(kind)) for kind, q in wanted.items()))
+    return posted.select("__key", F.array_compact(kinds).alias("kinds")).where(F.size("kinds") > 0)
 
 
-def _satisfied(q: _Query) -> Column:
-    return F.size(F.filter("met", lambda m: m["clause"] == q.clause)) == len(q.trigrams)
+def _blocks(array: Column, size: Column) -> Column:
+    """An array in arrays of ``BLOCK`` elements; at least one, which may be empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(size, F.lit(1)) - 1) / BLOCK).cast("int")), lambda b: F.slice(array, b * BLOCK + 1, BLOCK))
 
 
 def _spans(rule: Rule, text: Column) -> Column:
     """The matches of a rule in code points, from the lengths of what lies between them."""
     between = F.split(text, rule.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.char_length(b).alias("gap"), F.char_length(m).alias("size"), (m.rlike(rule.kept) if rule.kept else F.lit(True)).alias("kept")))
+    pairs = bound(
+        lambda v: F.zip_with(F.slice(v["between"], 1, F.size(v["found"])), v["found"], lambda b, m: F.struct(F.char_length(b).alias("gap"), F.char_length(m).alias("size"), (m.rlike(rule.kept) if rule.kept else F.lit(True)).alias("kept"))),
+        between=between, found=found,
+    )
     none = F.array().cast("array<struct<start:int,end:int,kind:string,kept:boolean>>")
-    start = lambda a, x: F.when(F.size(a) > 0, F.element_at(a, -1)["end"]).otherwise(F.lit(0)) + x["gap"]
-    walked = F.aggregate(pairs, none, lambda a, x: F.concat(a, F.array(F.struct(start(a, x).alias("start"), (start(a, x) + x["size"]).alias("end"), F.lit(rule.kind).alias("kind"), x["kept"].alias("kept")))))
-    return F.transform(F.filter(walked, lambda x: x["kept"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+
+    def walked(block: Column, at: Column) -> Column:
+        start = lambda a, x: F.when(F.size(a) > 0, F.element_at(a, -1)["end"]).otherwise(at) + x["gap"]
+        return F.aggregate(block, none, lambda a, x: F.concat(a, F.array(F.struct(start(a, x).alias("start"), (start(a, x) + x["size"]).alias("end"), F.lit(rule.kind).alias("kind"), x["kept"].alias("kept")))))
+
+    def whole(v: Column) -> Column:
+        lengths = F.transform(v["blocks"], lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+        starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.flatten(F.zip_with(v["blocks"], F.slice(starts, 1, F.size(v["blocks"])), walked))
+
+    every = bound(whole, blocks=bound(lambda v: _blocks(v["pairs"], F.size(v["pairs"])), pairs=pairs))
+    return F.transform(F.filter(every, lambda x: x["kept"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Adds ``spans``, array<struct<start, end, kind>> in code points: by start, then in the order of ``rules``.
 
-    ``docs`` needs doc_id and text and keeps its other columns but one named spans. Matches of one rule do not overlap; those of different
-    rules may. A null or empty text has none. Rows that share a doc_id, null ones too, are candidates together, and
-    each is verified by itself.
+    ``docs`` needs doc_id and text and keeps its other columns, whatever their names, but one named spans, which is
+    replaced. Matches of one rule do not overlap; those of different rules may. A null or empty text has none; an empty
+    table gives none. Each row is found by a hash of its id and text, so equal rows, and rows without an id, are judged
+    alike.
     """
-    docs = docs.drop("spans")
-    by_index, whole = [r for r in rules if r.literals], [r for r in rules if not r.literals]
+    by_index, whole = [r for r in rules if r.query is not True], [r for r in rules if r.query is True]
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    text = F.col("__docs.text")
-    found = docs.alias("__docs")
-    kinds = None
+    keyed = docs.drop("spans").select(F.struct("*").alias("__row"), F.xxhash64("doc_id", "text").alias("__key"))
+    text, kinds = F.col("__row.text"), F.array().cast("array<string>")
     if by_index:
-        chosen = candidates(docs, by_index).select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds")).alias("__chosen")
+        chosen = candidates(keyed.select("__key", text.alias("text")), by_index)
         # The candidates are small rows and the texts large ones: hash the former, do not sort the latter.
-        found = found.join(chosen.hint("shuffle_hash"), F.col("__docs.doc_id").eqNullSafe(F.col("__chosen.__id")), "left")
-        kinds = F.col("__chosen.__kinds")
-    lists = [F.when(F.array_contains(kinds, r.kind), _spans(r, text)).otherwise(none) if r.literals else F.when(text.rlike(r.pattern), _spans(r, text)).otherwise(none) for r in [*by_index, *whole]]
+        keyed, kinds = keyed.join(chosen.hint("shuffle_hash"), "__key", "left"), F.col("kinds")
+    is_candidate = {r.kind: F.array_contains(kinds, r.kind) for r in by_index} | {r.kind: text.rlike(r.pattern) for r in whole}
+    lists = [F.when(is_candidate[r.kind], _spans(r, text)).otherwise(none) for r in rules]
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    keyed = F.transform(F.flatten(F.array(*(F.coalesce(x, none) for x in lists))), lambda x: F.struct(x["start"].alias("start"), order[x["kind"]].alias("n"), x["end"].alias("end"), x["kind"].alias("kind")))
-    spans = F.transform(F.array_sort(keyed), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return found.select("__docs.*", spans.alias("spans"))
+    all_of = F.transform(F.flatten(F.array(*(F.coalesce(x, none) for x in lists))), lambda x: F.struct(x["start"].alias("start"), order[x["kind"]].alias("n"), x["end"].alias("end"), x["kind"].alias("kind")))
+    spans = F.transform(F.array_sort(all_of), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    return keyed.select("__row.*", spans.alias("spans"))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each run of overlapping spans, which are sorted by start, replaced by ``mark``."""
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    walked = F.aggregate(
-        spans, first,
-        lambda a, x: F.when(x["start"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], x["end"]).alias("at"))).otherwise(
-            F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mark)).alias("out"), x["end"].alias("at"))
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))),
-    )
-    return F.when(F.size(spans) > 0, walked).otherwise(text)
+    last = lambda a: F.coalesce(F.array_max(F.transform(a, lambda x: x["end"])), F.lit(0))
+
+    def walked(v: Column) -> Column:
+        """What stands before and instead of the spans of a block, cut from ``piece``, which begins at ``at``."""
+        return F.aggregate(
+            v["block"], F.struct(F.lit("").alias("out"), v["at"].alias("at")),
+            lambda a, x: F.when(x["start"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], x["end"]).alias("at"))).otherwise(
+                F.struct(F.concat(a["out"], F.substring(v["piece"], a["at"] - v["at"] + 1, x["start"] - a["at"]), F.lit(mark)).alias("out"), x["end"].alias("at"))
+            ),
+            lambda a: a["out"],
+        )
+
+    def of_block(block: Column, i: Column) -> Column:
+        at = last(F.slice(spans, 1, i * BLOCK))
+        piece = lambda v: F.substring(text, v["at"] + 1, F.greatest(last(v["block"]) - v["at"], F.lit(0)))
+        return bound(lambda v: bound(walked, block=v["block"], at=v["at"], piece=piece(v)), block=block, at=at)
+
+    done = F.transform(_blocks(spans, F.size(spans)), of_block)
+    rest = F.substring(text, last(spans) + 1, F.char_length(text))
+    return F.when(F.size(spans) > 0, F.array_join(F.concat(done, F.array(rest)), "")).otherwise(text)
 
 
 def digest(found: DataFrame) -> DataFrame:
