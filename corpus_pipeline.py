@@ -52,10 +52,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by a mark, and counts the characters again."""
-    found = secrets.scan(docs)
-    changed = {"text": secrets.redact(F.col("text"), F.col("spans")), "n_chars": F.when(F.size("spans") > 0, F.char_length(secrets.redact(F.col("text"), F.col("spans"))).cast("long")).otherwise(F.col("n_chars"))}
-    return found.withColumns(changed).select(*docs.columns)
+    """Replaces every secret by a mark, and counts the characters again. Each row is judged by itself and stays, with
+    its other columns, whatever their names; null and empty texts have no secrets."""
+    found = secrets.scan(docs.select("doc_id", "text", F.struct("*").alias("__columns")))
+    clean = found.select("__columns", (F.size("spans") > 0).alias("__found"), secrets.redact(F.col("text"), F.col("spans")).alias("__text"))
+    changed = {"text": F.col("__text"), "n_chars": F.when(F.col("__found"), F.char_length("__text").cast("long")).otherwise(F.col("__columns.n_chars")) if "n_chars" in docs.columns else None}
+    return clean.select(*(changed[c].alias(c) if c in changed else F.col(f"__columns.`{c}`").alias(c) for c in docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
