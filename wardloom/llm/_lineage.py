@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, or one of our own only where the session names none."""
+    """The shared folder: ``spark.checkpoint.dir``. In local mode, where one machine does all, one of our own if unset."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -23,7 +26,10 @@ def cut(frame: DataFrame) -> DataFrame:
 
 
 def written(frame: DataFrame) -> DataFrame:
-    """The same rows, read back from a Parquet table in the shared folder."""
-    path = f"{folder(frame.sparkSession)}/{uuid.uuid4()}"
+    """The same rows, read back from a Parquet table in the shared folder, which is removed when the application ends."""
+    spark = frame.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4()}"
     frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.parquet(path)

@@ -1,47 +1,55 @@
 """Benchmark decontamination by a broadcast hash set of normalised test n-grams.
 
 Text is normalised by lower-casing A-Z; words are runs of ASCII letters, digits and non-ASCII characters. The n-grams
-of the benchmark items go to every executor as one sorted hash array, in blocks of at most ``block_bytes`` of text, so
-what is broadcast has a fixed bound however large the benchmark is; each block makes one scan of the documents. A scan
-hashes all windows of a batch at once, looks them up, compares every hit word by word with the item, and marks the
-words that it covers.
+of the benchmark items go to every executor as a sorted hash array with the place of each in the items' text, in blocks
+of at most ``block_bytes`` of text (about five times that in memory). ``PASS`` blocks follow one another in one pass over
+the documents; a larger benchmark takes more passes, with what was found so far written between them, so what is held at
+once has a fixed bound however large the benchmark is. A scan hashes all windows of a batch at once, looks them up,
+compares every hit word by word with the item, and marks the words that it covers.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._lineage import written
 from ._words import Texts, pieces, separators, small_batches, windows
 
 WORD = separators("alnum")
 BITS = 22
+#: Blocks that are broadcast at once.
+PASS = 4
 
 
 class _Grams:
-    """The windows of some benchmark items: by length, the sorted hashes, and the exact words with their items."""
+    """The windows of some benchmark items: by length, their hashes in order, with the first word and item of each."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
-        ids = [i for i, _ in items]
+        self.ids = [i for i, _ in items]
         words = Texts(pa.array([t for _, t in items], pa.string()), lower=True).words(WORD)
-        hashes, self.exact, found = words.hashes(), defaultdict(lambda: defaultdict(set)), defaultdict(set)
-        for d in range(len(items)):
-            a, b = int(words.bounds[d]), int(words.bounds[d + 1])
-            if b == a:
-                continue
-            k = min(n, b - a)
-            at, h = windows(hashes[a:b], np.array([0, b - a]), k)
-            for i, x in zip(at.tolist(), h.tolist(), strict=True):
-                self.exact[x][words.bytes_of(a + i, a + i + k)].add(ids[d])
-                found[k].add(x)
-        self.exact = {h: {text: sorted(x) for text, x in v.items()} for h, v in self.exact.items()}
-        self.by_length = {k: np.array(sorted(v), np.uint64) for k, v in sorted(found.items())}
+        self.data, self.starts, self.ends = words.texts.data, words.starts.astype(np.int32), words.ends.astype(np.int32)
+        hashes, size = words.hashes(), np.diff(words.bounds)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in sorted(set(np.minimum(size, n).tolist()) - {0}):
+            at, h = windows(hashes, words.bounds, k)
+            item = np.searchsorted(words.bounds, at, "right") - 1
+            own = np.minimum(size[item], n) == k  # an item of fewer words than n is one window, of all of them
+            at, h, item = at[own], h[own], item[own]
+            order = np.lexsort((at, item, h))
+            self.by_length[k] = h[order], at[order].astype(np.int32), item[order].astype(np.int32)
+
+    def items(self, k: int, h: int, text: bytes) -> list[str]:
+        """The items that hold these words as a window of k words; ``h`` is their hash."""
+        hashes, at, item = self.by_length[k]
+        a, b = np.searchsorted(hashes, np.uint64(h), "left"), np.searchsorted(hashes, np.uint64(h), "right")
+        found = {self.ids[item[i]] for i in range(a, b) if b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[at[i] : at[i] + k], self.ends[at[i] : at[i] + k], strict=True)) == text}
+        return sorted(found)
 
 
 def _scan(grams: _Grams, batch: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray, np.ndarray, list[list[dict]], tuple]:
@@ -49,7 +57,8 @@ def _scan(grams: _Grams, batch: pa.RecordBatch) -> tuple[list[list[str]], np.nda
     words = texts.words(WORD)
     hashes, cover = words.hashes(), np.zeros(len(words.starts) + 1, np.int32)
     items: list[set[str]] = [set() for _ in range(texts.n)]
-    for k, wanted in grams.by_length.items():
+    known: dict[tuple[int, bytes], list[str]] = {}
+    for k, (wanted, _, _) in grams.by_length.items():
         at, h = windows(hashes, words.bounds, k)
         maybe = np.zeros(1 << BITS, bool)
         maybe[(wanted & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
@@ -59,7 +68,10 @@ def _scan(grams: _Grams, batch: pa.RecordBatch) -> tuple[list[list[str]], np.nda
             near = near[wanted[place] == h[near]]
         docs = np.searchsorted(words.bounds, at[near], "right") - 1
         for i, x, d in zip(at[near].tolist(), h[near].tolist(), docs.tolist(), strict=True):
-            if ids := grams.exact[x].get(words.bytes_of(i, i + k)):
+            text = words.bytes_of(i, i + k)
+            if (k, text) not in known:
+                known[k, text] = grams.items(k, x, text)
+            if ids := known[k, text]:
                 items[d].update(ids)
                 cover[i] += 1
                 cover[i + k] -= 1
@@ -103,55 +115,70 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
         yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def _over(frame: DataFrame, blocks: Iterator[list], n: int, step: Callable[[DataFrame, object], DataFrame]) -> DataFrame:
+    """``step`` for each block with its broadcast n-grams; after ``PASS`` of them the rows are written and read again."""
+    held = []
+    for i, block in enumerate(blocks):
+        if held and i % PASS == 0:
+            frame = written(frame)
+            for x in held:
+                x.destroy()
+            held = []
+        held.append(frame.sparkSession.sparkContext.broadcast(_Grams(block, n)))
+        frame = step(frame, held[-1])
+    return frame
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """Hits of the benchmark in each document: doc_id, n_words, n_hit, items (sorted) and spans (bytes).
 
-    ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored. An item of fewer than n
-    words, but not none, is one window. A null text, or one with no words, has no hits; a benchmark row with null id or
-    text takes no part; repeated items and rows count as they stand. Rows of ``docs`` are returned one for one, and each
-    is judged by itself. The blocks of a benchmark of more than ``block_bytes`` of text follow one another in one pass.
+    ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns, whatever their names, are ignored. An
+    item of fewer than n words, but not none, is one window. A null text, or one with no words, has no hits; a benchmark
+    row with null id or text takes no part; repeated items and rows count as they stand. Rows of ``docs`` are returned
+    one for one, and each is judged by itself, whatever its id and however many blocks the benchmark makes.
     """
-    source, spark = docs.select("doc_id", "text"), docs.sparkSession
-    small_batches(spark)
-    parts = [spark.sparkContext.broadcast(_Grams(block, n)) for block in _blocks(benchmark, block_bytes)]
+    source = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
+    blocks = _blocks(benchmark, block_bytes)
+    first, second = next(blocks), next(blocks, None)
 
-    def run(grams) -> DataFrame:
+    def one(frame: DataFrame, grams) -> DataFrame:
         def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text"):
                 items, n_words, n_hit, spans, _ = _scan(grams.value, batch)
                 yield _batch(batch, n_words, n_hit, pa.array(items, pa.list_(pa.string())), spans)
 
-        return source.mapInArrow(scanned, _schema(source))
+        return frame.mapInArrow(scanned, _schema(source))
 
-    if len(parts) == 1:
-        return run(parts[0])
+    if second is None:
+        return _over(source, iter([first]), n, one)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             n_words, n_hit, spans = _joined(batch)
             yield _batch(batch, n_words, n_hit, batch.column("__items"), spans)
 
-    return _carried(source, parts).mapInArrow(counted, _schema(source))
+    return _over(_carrying(source), chain([first, second], blocks), n, _carried).mapInArrow(counted, _schema(source))
 
 
-def _carried(docs: DataFrame, parts: list) -> DataFrame:
-    """Adds to each row the ``__items`` and ``__spans`` that the blocks find in its text, block after block."""
-    frame = docs.withColumns({"__items": F.array().cast("array<string>"), "__spans": F.array().cast("array<struct<start:long,end:long>>")})
+def _carrying(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"__items": F.array().cast("array<string>"), "__spans": F.array().cast("array<struct<start:long,end:long>>")})
 
-    def added(frame: DataFrame, grams) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, "text"):
-                items, _, n_hit, spans, _ = _scan(grams.value, batch)
-                if n_hit.any():
-                    items = [sorted({*x, *y}) for x, y in zip(batch.column("__items").to_pylist(), items, strict=True)]
-                    spans = [x + y for x, y in zip(batch.column("__spans").to_pylist(), spans, strict=True)]
-                    batch = batch.set_column(batch.schema.get_field_index("__items"), "__items", pa.array(items, pa.list_(pa.string())))
-                    batch = batch.set_column(batch.schema.get_field_index("__spans"), "__spans", pa.array(spans, SPANS))
-                yield batch
 
-        return frame.mapInArrow(run, frame.schema)
+def _carried(frame: DataFrame, grams) -> DataFrame:
+    """Adds to the ``__items`` and ``__spans`` of each row what a block finds in its text."""
 
-    return reduce(added, parts, frame)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            items, _, n_hit, spans, _ = _scan(grams.value, batch)
+            if n_hit.any():
+                items = [sorted({*x, *y}) for x, y in zip(batch.column("__items").to_pylist(), items, strict=True)]
+                spans = [x + y for x, y in zip(batch.column("__spans").to_pylist(), spans, strict=True)]
+                batch = batch.set_column(batch.schema.get_field_index("__items"), "__items", pa.array(items, pa.list_(pa.string())))
+                batch = batch.set_column(batch.schema.get_field_index("__spans"), "__spans", pa.array(spans, SPANS))
+            yield batch
+
+    return frame.mapInArrow(run, frame.schema)
 
 
 def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, list[int], list[list[dict]]]:
@@ -170,45 +197,34 @@ def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, list[int], list[list[dic
     return np.diff(words.bounds), n_hit, spans
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, how: str = "documents", block_bytes: int = 32 << 20) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, how: str = "documents", block_bytes: int = 8 << 20) -> DataFrame:
     """The documents without the benchmark, with all their columns: ``documents`` drops every document with a hit,
     ``spans`` cuts the hit words out of the texts, with what stands between them.
 
-    A null text has no hits and stays; a text that is cut to nothing stays as an empty one. Needs a column text.
+    A null text has no hits and stays; a text that is cut to nothing stays as an empty one. Needs a column text; each
+    row is judged by itself. Texts are cut at the end of the last pass, so each block judges them as they came.
     """
     if how not in ("documents", "spans"):
         raise ValueError(f"how must be documents or spans, not {how}")
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
+    blocks, names = _blocks(benchmark, block_bytes), docs.columns
 
-    def kept(frame: DataFrame, grams) -> DataFrame:
+    def clean(frame: DataFrame, grams) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text"):
-                _, _, n_hit, spans, _ = _scan(grams.value, batch)
-                if how == "documents":
-                    yield batch.filter(pa.array(n_hit == 0))
-                elif n_hit.any():
-                    texts = [_cut(t, x) for t, x in zip(batch.column("text").to_pylist(), spans, strict=True)]
-                    yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-                else:
-                    yield batch
+                yield batch.filter(pa.array(_scan(grams.value, batch)[2] == 0))
 
         return frame.mapInArrow(run, frame.schema)
 
-    # Blocks of a large benchmark follow one another in one pass; texts are cut at its end, so each judges them whole.
-    parts = [spark.sparkContext.broadcast(_Grams(block, n)) for block in _blocks(benchmark, block_bytes)]
-    if how == "documents" or len(parts) == 1:
-        return reduce(kept, parts, docs)
-
-    names = docs.columns
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             texts = [_cut(t, x) for t, x in zip(batch.column("text").to_pylist(), _joined(batch)[2], strict=True)]
             batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             yield batch.select(names)
 
-    return _carried(docs, parts).mapInArrow(cut, docs.schema)
+    if how == "documents":
+        return _over(docs, blocks, n, clean)
+    return _over(_carrying(docs), blocks, n, _carried).mapInArrow(cut, docs.schema)
 
 
 def _cut(text: str | None, spans: list[dict]) -> str | None:

@@ -3,8 +3,8 @@
 A text is a vector of hashed 2- and 3-grams of its bytes (A-Z lower-cased, other ASCII than letters as one kind of
 border), weighted 1 + log(tf) times idf and normalised. The vectors of each language are clustered by spherical
 k-means; a text gets the language of the centroid with the largest cosine. A text is rejected if its cosine is under
-``slack`` times that of the farthest training text of its centroid; texts of fewer than ``least_grams`` different
-n-grams are too short for that to mean anything and are kept.
+``slack`` times the least that training texts of its centroid have at its length. Lengths are powers of two of different
+n-grams; for those shorter than a training text as many of its n-grams are drawn.
 """
 
 from __future__ import annotations
@@ -61,8 +61,7 @@ class Model:
     languages: list[str]
     centroids: np.ndarray  # a row each
     language: np.ndarray  # of each centroid
-    radius: np.ndarray  # the cosine under which the nearest centroid rejects
-    least_grams: int
+    radius: np.ndarray  # of each centroid: the cosine under which it rejects a text of 2**i different n-grams or more
 
     def vectors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The unit vector of each text, and its number of different n-grams."""
@@ -79,7 +78,8 @@ class Model:
         cosine = vectors @ self.centroids.T
         best = cosine.argmax(axis=1)
         score = cosine[np.arange(len(best)), best]
-        return self.language[best], np.clip(score, 0, 1).astype(np.float64), (score < self.radius[best]) & (different >= self.least_grams)
+        length = np.clip(np.frexp(different)[1] - 1, 0, self.radius.shape[1] - 1)
+        return self.language[best], np.clip(score, 0, 1).astype(np.float64), score < self.radius[best, length]
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -108,10 +108,11 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nd
 
 def fit(docs: DataFrame, usable: Column, dims: int = 8192, per_language: int = 700, clusters: int = 4, slack: float = 0.5, least_grams: int = 50) -> Model | None:
     """Learns from the text and lang of the rows where ``usable``, of which it takes ``per_language`` for each language:
-    those whose ids hash lowest. That bounds what reaches the driver. None if there is nothing to learn from.
+    those whose ids hash lowest. That bounds what reaches the driver. Only texts of ``least_grams`` different n-grams or
+    more are clustered, if a language has any. None if there is nothing to learn from.
     """
     small_batches(docs.sparkSession)
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select("text", "lang", F.xxhash64("doc_id", F.lit(11)).alias("h"))
+    rows = docs.where(usable & F.col("lang").isNotNull() & _letter()).select("text", "lang", F.xxhash64("doc_id", F.lit(11)).alias("h"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
@@ -132,27 +133,52 @@ def fit(docs: DataFrame, usable: Column, dims: int = 8192, per_language: int = 7
     seen = np.zeros(dims)
     for dim, _ in lists:
         seen[dim] += 1
-    model = Model(dims, (np.log((1 + len(lists)) / (1 + seen)) + 1).astype(np.float32), sorted(sizes), np.zeros((0, dims)), np.zeros(0, int), np.zeros(0), least_grams)
+    model = Model(dims, (np.log((1 + len(lists)) / (1 + seen)) + 1).astype(np.float32), sorted(sizes), np.zeros((0, dims)), np.zeros(0, int), np.zeros((0, 1)))
     centroids, language, radius = [], [], []
+    lengths = int(np.frexp(max((x.shape[1] for x in lists), default=1))[1])
     for n, lang in enumerate(model.languages):
-        own = [x for (of, _, _), x in zip(sample, lists, strict=True) if of == lang]
-        # Texts too short to be rejected say nothing about distances either.
-        own = [x for x in own if x.shape[1] >= least_grams] or own
+        own = [x for (of, _, _), x in zip(sample, lists, strict=True) if of == lang and x.shape[1]]
         if not own:
             continue
-        x = np.zeros((len(own), dims), np.float32)
-        for i, (dim, count) in enumerate(own):
-            x[i, dim] = (1 + np.log(count)) * model.idf[dim]
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        c, of = _cluster(x, clusters)
-        near_by = (x @ c.T).max(axis=1)
+        c, _ = _cluster(_unit([x for x in own if x.shape[1] >= least_grams] or own, model), clusters)
         centroids.append(c)
         language += [n] * len(c)
-        radius += [slack * float(near_by[of == i].min()) if (of == i).any() else 0.0 for i in range(len(c))]
-    model.centroids, model.language, model.radius = np.concatenate(centroids), np.array(language), np.array(radius)
+        radius.append(slack * _least(own, c, model, lengths))
+    if not centroids:
+        return None
+    model.centroids, model.language, model.radius = np.concatenate(centroids), np.array(language), np.concatenate(radius)
     return model
 
 
+def _unit(lists: list[np.ndarray], model: Model) -> np.ndarray:
+    """The unit vectors of texts given as (dimension, count)."""
+    x = np.zeros((len(lists), model.dims), np.float32)
+    for i, (dim, count) in enumerate(lists):
+        x[i, dim] = (1 + np.log(count)) * model.idf[dim]
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _least(lists: list[np.ndarray], c: np.ndarray, model: Model, lengths: int) -> np.ndarray:
+    """Of each centroid of a language: the least cosine of its texts by how many n-grams are drawn of them. A centroid
+    that no text of a length is nearest to has the least of its language there, and lengths that none has are as the
+    longest before them."""
+    rng, out = np.random.default_rng(0), np.zeros((len(c), lengths))
+    for i in range(lengths):
+        some = [x[:, rng.permutation(x.shape[1])[: 2**i]] for x in lists if x.shape[1] >= 2**i]
+        if not some:
+            out[:, i] = out[:, max(i - 1, 0)]
+            continue
+        cosine = _unit(some, model) @ c.T
+        of, best = cosine.argmax(axis=1), cosine.max(axis=1)
+        out[:, i] = [best[of == k].min() if (of == k).any() else best.min() for k in range(len(c))]
+    # Shorter texts are never held to more than longer ones.
+    return np.minimum.accumulate(out[:, ::-1], axis=1)[:, ::-1]
+
+
+def _letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -> DataFrame:
     """Of each row: doc_id, lang_pred, score (the cosine, 0 to 1), rejected, and the ``extra`` columns as they are.
 
@@ -160,7 +186,7 @@ def predict(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -
     learned. Whole texts count. Nothing but the text is an input of a prediction. No shuffle; the model broadcast has
     a size fixed by its parameters.
     """
-    source = docs.select("doc_id", "text", *[c for c in extra if c not in ("doc_id", "text")], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    source = docs.select("doc_id", "text", *[c for c in extra if c not in ("doc_id", "text")], _letter().alias("__letter"))
     names = [c for c in source.columns if c != "__letter" and (c != "text" or "text" in extra)]
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -181,6 +207,22 @@ def predict(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -
     return source.mapInArrow(predicted, f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
+def keep(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows that ``predict`` does not reject, with all their columns, whatever their names. With nothing learned no
+    text can be told from junk: only those that are null or have no letter go."""
+    small_batches(docs.sparkSession)
+    some = docs.where(_letter())
+    if model is None:
+        return some
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 1 << 18, ROWS):
+            yield batch.filter(pa.array(~shared.value.predict(batch.column("text"))[2]))
+
+    return some.mapInArrow(kept, docs.schema)
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds

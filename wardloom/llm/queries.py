@@ -60,7 +60,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(_table(spark, sf_dir, "documents"))
+    return jaccard.join(_table(spark, sf_dir, "documents"), 3, 9, 10)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are classed by lexicons: insults, learned from labelled texts as words and stems; threats, targets, negations and
-reported speech, given as short lists. Three transducers read the classed words of a clause:
-
-* negation: a negation word opens a state that lasts a few words, in which a match is marked negated;
-* reported speech: a verb of saying, or an open quotation, marks the matches of its clause as reported;
-* target: a word for a person marks the matches within a few words of it, on either side, as targeted.
-
-Their composition turns each insult or threat into one event, of a kind that is the product of the marks, with the
-weight of its lexicon entry. A text is scored by a logistic model over the summed weights of its events of each kind and
-the share of its clauses that hold one, fitted on the same labelled texts; isolated words have no weight but through the
-clause they are matched in.
+reported speech, given as short lists. The transducers of ``grammar`` are composed and read the classed words of a
+clause; the best path turns each insult or threat into one event, with the marks that it got on the way (targeted,
+negated, reported), and gives the clause its weight. A text is scored by a logistic model over the summed weights of its
+events of each kind, the weight of its strongest clause, and the weight of its clauses for each that it has, fitted on
+the same labelled texts; isolated words have no weight but through the clause they are matched in.
 """
 
 from __future__ import annotations
@@ -26,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import grammar
 from ._words import pieces, small_batches
+from .grammar import EVENTS
 
 #: Lower-case words of English, German, French and Spanish.
 TARGETS = frozenset("you your yours u he she they him her them we everyone people du dich dir ihr euch sie er tu te toi vous il elle ils usted ustedes él ella ellos".split())
@@ -35,9 +32,10 @@ REPORTS = frozenset("said says say wrote writes quoted reported called claims cl
 THREATS = frozenset("kill hurt destroy shoot stab murder töten umbringen tuer frapper matar golpear".split())
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-EVENTS = [f"{kind}{mark}" for kind in ("insult", "threat") for mark in ("", "_targeted", "_negated", "_reported")]
-FEATURES = [*EVENTS, "clauses"]
+FEATURES = [*EVENTS, "strongest", "clauses"]
 STEM = range(4, 9)
+#: The symbol of each listed word; of a word in two lists the first counts.
+CLASSES = {w: c for c, words in ((grammar.HARM, THREATS), (grammar.REPORT, REPORTS), (grammar.NEGATION, NEGATIONS), (grammar.TARGET, TARGETS)) for w in words}
 
 
 def lexicon_keys(word: str) -> list[str]:
@@ -45,29 +43,25 @@ def lexicon_keys(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in STEM if k <= len(word))]
 
 
-def events(text: str, insult: dict[str, float]) -> list[tuple[str, int, float]]:
-    """The events of a text with the clause and weight of each, by a run of the composed transducers over each clause."""
-    out = []
+def clauses(text: str, insult: dict[str, float], cascade: grammar.Cascade) -> Iterator[tuple[int, float, list[tuple[str, float]]]]:
+    """Of each clause with an event: its number, the weight of its best path, and the kind and weight of each event."""
     for n, clause in enumerate(CLAUSE.split(text)):
-        words, weights, quoted = [], [], clause.count('"') >= 2 or clause.count("“") >= 1
+        symbols, weights = [], []
+        if clause.count('"') >= 2 or clause.count("“") >= 1:
+            symbols, weights = [grammar.REPORT], [0.0]
         for w in WORD.findall(clause.lower()):
             weight = max((insult[k] for k in lexicon_keys(w) if k in insult), default=0.0)
-            words.append("T" if w in TARGETS else "N" if w in NEGATIONS else "R" if w in REPORTS else "V" if w in THREATS else "I" if weight else ".")
+            symbols.append(CLASSES.get(w) or (grammar.INSULT if weight else grammar.OTHER))
             weights.append(weight or 1.0)
-        if "I" not in words and "V" not in words:
-            continue
-        reported, negation, last_target = quoted or "R" in words, 0, -99
-        for i, kind in enumerate(words):
-            negation = 4 if kind == "N" else max(0, negation - 1)
-            last_target = i if kind == "T" else last_target
-            if kind not in "IV":
-                continue
-            targeted = i - last_target <= 4 or "T" in words[i + 1 : i + 4]
-            if kind == "V" and not targeted:
-                continue  # a threat is against someone
-            mark = "_negated" if negation else "_reported" if reported else "_targeted" if targeted else ""
-            out.append((("insult" if kind == "I" else "threat") + mark, n, weights[i]))
-    return out
+        if grammar.INSULT in symbols or grammar.HARM in symbols:
+            strength, found = cascade.best(symbols, weights)
+            if found:
+                yield n, strength, [(grammar.name(y), weights[i]) for i, y in found]
+
+
+def events(text: str, insult: dict[str, float]) -> list[tuple[str, int, float]]:
+    """The events of a text with the clause and weight of each."""
+    return [(kind, n, weight) for n, _, found in clauses(text, insult, grammar.abuse()) for kind, weight in found]
 
 
 @dataclass
@@ -84,16 +78,16 @@ class Model:
         finder.make_automaton()
         return finder if words else None
 
-    def features(self, text: str | None, finder: ahocorasick.Automaton) -> tuple[np.ndarray, list[tuple[str, int, float]]]:
-        out, found = np.zeros(len(FEATURES)), []
+    def features(self, text: str | None, finder: ahocorasick.Automaton, cascade: grammar.Cascade) -> tuple[np.ndarray, list[tuple[str, int]]]:
+        out, found, total = np.zeros(len(FEATURES)), [], 0.0
         if text and next(finder.iter(text.lower()), None) is not None:
-            found = events(text, self.insult)
-            clauses: dict[int, float] = {}
-            for kind, n, weight in found:
-                out[EVENTS.index(kind)] += weight
-                clauses[n] = max(clauses.get(n, 0.0), weight)
+            for n, strength, matched in clauses(text, self.insult, cascade):
+                for kind, weight in matched:
+                    out[EVENTS.index(kind)] += weight
+                    found.append((kind, n))
+                out[-2], total = max(out[-2], strength), total + max(strength, 0.0)
             out = np.log1p(out)
-            out[-1] = sum(clauses.values()) / max(1, sum(bool(c.strip()) for c in CLAUSE.split(text)))
+            out[-1] = total / max(1, sum(bool(c.strip()) for c in CLAUSE.split(text)))
         return out, found
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -114,11 +108,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 3
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 16_000, least: int = 3, margin: float = 2.5, ratio: float = 24.0, most_keys: int = 5_000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 16_000, least: int = 3, margin: float = 2.5, ratio: float = 24.0) -> Model | None:
     """Learns the insults and the weights from ``labels.toxic`` of the rows where ``usable``.
 
-    ``sample`` bounds the labelled rows used, those whose ids hash lowest; ``most_keys`` bounds the lexicon. A key is a
-    word or stem that at least ``least`` toxic texts hold and whose smoothed log-odds of toxic against other texts are
+    ``sample`` bounds the labelled rows used, those whose ids hash lowest, and so the lexicon too. A key is a word
+    or stem that at least ``least`` toxic texts hold and whose smoothed log-odds of toxic against other texts are
     ``margin`` or more, with a likelihood ratio (G squared) of at least ``ratio``, which few of a million keys without any link
     to the label reach by chance. A document with several labels counts as toxic if one says so. None without labels.
     """
@@ -149,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 16_000
     if 0 < share < 1:  # the likelihood ratio that a key is as frequent in other texts
         sums = sums.where(surprise("toxic", share) + surprise("other", 1 - share) >= ratio)
     scored = sums.where((F.col("toxic") >= least) & (F.col("odds") >= margin))
-    kept = scored.orderBy(F.desc("odds"), "key").limit(most_keys).collect()
+    kept = scored.collect()
     # A stem or word is enough once: drop those that a shorter stem of at least the same odds covers.
     # Odds that few texts speak for are shrunk; five, which holds of a word hardly met elsewhere, weighs one.
     best = {r.key: r.odds / 5 * r.toxic / (r.toxic + 20) for r in kept}
@@ -158,9 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 16_000
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = shared.value.finder()
+        finder, cascade = shared.value.finder(), grammar.abuse()
         for batch in batches:
-            x = [shared.value.features(t, finder)[0].tolist() for t in batch.column("text").to_pylist()]
+            x = [shared.value.features(t, finder, cascade)[0].tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
 
     # Texts without events all have the same features: one row with a count stands for them.
@@ -185,16 +179,16 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        finder = model.finder() if model else None
+        finder, cascade = model.finder() if model else None, grammar.abuse()
         for batch in pieces(batches, "text"):
             texts = batch.column("text").to_pylist()
             if model is None:
                 y, found = np.zeros(len(texts)), [[]] * len(texts)
             else:
-                both = [model.features(t, finder) for t in texts]
+                both = [model.features(t, finder, cascade) for t in texts]
                 y, found = model.score(np.stack([x for x, _ in both])), [x for _, x in both]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(y), pa.array((y >= 0.5).astype(np.int32)), pa.array([[{"kind": k, "clause": n} for k, n, _ in x] for x in found], pa.list_(pa.struct([("kind", pa.string()), ("clause", pa.int32())])))],
+                [batch.column("doc_id"), pa.array(y), pa.array((y >= 0.5).astype(np.int32)), pa.array([[{"kind": k, "clause": n} for k, n in x] for x in found], pa.list_(pa.struct([("kind", pa.string()), ("clause", pa.int32())])))],
                 ["doc_id", "score", "predicted", "events"],
             )
 
