@@ -11,16 +11,16 @@ from wardloom.llm.queries import tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents without any letter and those far from every learned language."""
-    model = langid.fit(docs, F.coalesce(langid.fold("doc_id", 3) != 1, F.lit(True)))
-    found = langid.predict(docs, model, tuple(docs.columns))
-    # With nothing to learn from no text can be told from junk: only those without a letter go.
-    keep = ~F.col("rejected") if model else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return found.where(keep).select(*docs.columns)
+    """Drops the documents without any letter (null and empty ones too) and those far from every learned language.
+
+    It learns from the rows with a lang whose id's fold is not 1. Each row is judged by its text alone; equal rows go or
+    stay together, and columns of any name stay as they are. An empty table gives an empty one.
+    """
+    return langid.keep(docs, langid.fit(docs, F.coalesce(langid.fold("doc_id", 3) != 1, F.lit(True))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each group that links of similarity 0.9 on 3-word shingles connect.
+    """Keeps the smallest document of each group that links of similarity 0.8 on 5-word shingles connect.
 
     A document is a doc_id and a text. Of its rows one stays, with the smallest of the other columns. One without an id,
     and each of an id but that of one text, stands by a number from its hash, from 2^62 up, so mostly after those with ids.
@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         other = other | F.coalesce(h != F.col("__first"), F.lit(False))
     number = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     rows = rows.select(*docs.columns, F.when(other, number).otherwise(F.col("doc_id").cast("long")).alias("__id"))
-    found = jaccard.join(rows.select(F.col("__id").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("__id"))
+    found = jaccard.join(rows.select(F.col("__id").alias("doc_id"), "text"), 5, 8, 10).groupBy(F.col("doc_id").alias("__id"))
     marks = cut(found.agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), (F.count("*") > 1).alias("many")).where("gone OR many"))
     # Only ids are hashed; the texts stream by.
     kept = rows.join(marks.hint("shuffle_hash"), "__id", "left_anti").select(*docs.columns)
