@@ -9,9 +9,10 @@
    ``a`` and ``d`` are allocated for each band by cost: signatures written against false candidates expected.
 3. Sets that share a signature are candidates. Only a star is kept of each signature: the sets of a piece of the corpus
    meet its smallest there, and these meet across pieces. The components of the stars are clusters.
-4. Inside a cluster, tiles of bounded size compare all sets: by size, then by parity sketches, whose distance is never
-   above the real one, and at last exactly, but for pairs that verified links already connect. The verified links give
-   the components of the result.
+4. Inside a cluster of up to a tile's size all sets are compared: by size, then by parity sketches, whose distance is
+   never above the real one, and at last exactly, but for pairs that verified links already connect. In a larger one
+   each set meets a few representatives first; those that these links connect need not be compared with each other, and
+   only the rest meets the whole cluster, block by block. The verified links give the components of the result.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._lineage import cut
+from ._lineage import cut, written
 from ._words import Texts, mix64, pieces, release, separators, small_batches, windows
 from .components import components
 
 WORD = separators("space")
 RATIO = 1.25
+#: The sets that all others of a large cluster meet first.
+REPRESENTATIVES = 8
 
 
 def _bounds(most: int) -> list[int]:
@@ -179,13 +182,15 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, numerato
     return out
 
 
-def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10, tile_rows: int = 2048, tile_bytes: int = 32 << 20, least_parts: int = 48) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10, tile_rows: int = 512, tile_bytes: int = 16 << 20, least_parts: int = 48) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each document.
 
     Two documents link when the Jaccard similarity of their sets of n-word shingles is numerator / denominator or more.
     ``docs`` needs an integer doc_id and text; other columns are ignored. A text of fewer than n words has one shingle
-    of all of them; a null or blank text has none and is its own component. Rows that share a doc_id share its links.
-    Rows with a null doc_id take no part: their component is null. Shingles are compared by 64-bit hashes.
+    of all of them; a null or blank text has none and is its own component. A doc_id stands for all its rows: what one
+    of them links with is linked with the id, so each row gets the component of its own text. Rows with a null doc_id
+    take no part: their component is null; an empty table gives none. Shingles are compared by 64-bit hashes, whole sets by
+    128 bits of theirs.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -246,7 +251,8 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
     edges = salted.groupBy("shard", "salt").applyInArrow(meet, "a long, b long")
     clusters = cut(components(edges))
     member = classes.select(F.col("class").alias("doc_id"), "n").join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-    members = cut(_tiles(member, bounds, numerator, denominator, tile_rows, tile_bytes, max(256, n_docs // 1000)))
+    small, large = _dealt_members(member, bounds, numerator, denominator, tile_rows, tile_bytes)
+    parts = max(256, n_docs // 1000)
 
     def compared(table: pa.Table) -> pa.Table:
         """Links inside the tiles of a group; a tile's rows say on which side they stand."""
@@ -265,8 +271,20 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
         release()
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    chosen = source.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "text", F.inline("tiles"))
-    links = chosen.groupBy("part").applyInArrow(compared, "a long, b long")
+    def met(texts: DataFrame, tiles: DataFrame) -> DataFrame:
+        """The verified links of tiles (doc_id, tile, side, part)."""
+        lists = tiles.groupBy("doc_id").agg(F.collect_list(F.struct("part", "tile", "side")).alias("tiles"))
+        return texts.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", F.inline("tiles")).groupBy("part").applyInArrow(compared, "a long, b long")
+
+    name = F.xxhash64("cluster", "band")
+    links = met(source, small.select("doc_id", name.alias("tile"), F.lit(0).alias("side"), F.pmod(name, F.lit(parts)).alias("part")))
+    if not large.isEmpty():
+        texts = written(source.join(large.select("doc_id").distinct().hint("shuffle_hash"), "doc_id"))
+        stars = cut(met(texts, _stars_of(large)))
+        rest = cut(_rest(large, components(stars)))
+        links = links.unionByName(stars)
+        if not rest.isEmpty():
+            links = links.unionByName(met(texts, _rest_tiles(large, rest, tile_rows)))
     found = components(links)
     answer = cut(classes.join(found.select(F.col("node").alias("class"), "component"), "class", "left").select("fa", "fb", F.coalesce("component", "class").alias("component_id")))
     done = sets.join(answer, ["fa", "fb"], "left")
@@ -291,20 +309,39 @@ def _stars(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return edges, key[first], who[first]
 
 
-def _tiles(member: DataFrame, bounds: list[int], numerator: int, denominator: int, tile_rows: int, tile_bytes: int, parts: int) -> DataFrame:
-    """doc_id and its ``tiles``: (part, tile, side). A cluster's sets of a band are one tile or, if many, blocks that
-    meet two by two; side 0 stands with itself, 1 and 2 against each other. Small tiles share a part, a task's group."""
+def _dealt_members(member: DataFrame, bounds: list[int], numerator: int, denominator: int, tile_rows: int, tile_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of each cluster by band, (doc_id, cluster, band, k, blocks, block): those that fit one tile, and the others."""
     band = lambda n: sum((F.when(n >= b, 1).otherwise(0) for b in bounds), F.lit(0)) - 1
     wide = F.sequence(band(F.col("n")), band(F.floor(F.col("n") * denominator / numerator)))
     dealt = cut(member.select("doc_id", "n", "cluster", F.explode(wide).alias("band")))
-    sizes = cut(dealt.groupBy("cluster", "band").agg(F.count("*").alias("k"), F.sum("n").alias("shingles")).where("k > 1"))
+    sizes = dealt.groupBy("cluster", "band").agg(F.count("*").alias("k"), F.sum("n").alias("shingles")).where("k > 1")
     blocks = F.ceil(F.greatest(F.col("k") / tile_rows, F.col("shingles") * 8 / tile_bytes)).cast("int")
-    placed = dealt.join(sizes, ["cluster", "band"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(41)), F.col("blocks")).cast("int"))
-    tile = lambda x, y: F.xxhash64("cluster", "band", x, y)
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(tile(F.least("block", o), F.greatest("block", o)).alias("tile"), F.when(o == F.col("block"), 0).when(o > F.col("block"), 1).otherwise(2).alias("side")),
-    )
-    rows = placed.select("doc_id", "k", F.explode(meets).alias("m"))
-    total = F.when(F.col("k") * 8 > tile_rows, F.col("m.tile")).otherwise(F.pmod(F.col("m.tile"), F.lit(parts)))
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct(total.alias("part"), F.col("m.tile").alias("tile"), F.col("m.side").alias("side"))).alias("tiles"))
+    placed = cut(dealt.drop("n").join(sizes.withColumn("blocks", blocks).drop("shingles"), ["cluster", "band"]))
+    return placed.where("blocks <= 1"), placed.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(41)), F.col("blocks")).cast("int"))
+
+
+def _stars_of(large: DataFrame) -> DataFrame:
+    """Tiles in which each block meets the representatives of its cluster: the smallest set, and some by hash."""
+    by_hash = [F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"] for i in range(REPRESENTATIVES - 1)]
+    chosen = large.groupBy("cluster", "band", "blocks").agg(F.array_distinct(F.array(F.min("doc_id"), *by_hash)).alias("ids"))
+    chosen = chosen.withColumn("doc_id", F.explode("ids")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = chosen.select("doc_id", "cluster", "band", "block", F.lit(1).alias("side")).unionByName(large.select("doc_id", "cluster", "band", "block", F.lit(2).alias("side")))
+    tile = F.xxhash64("cluster", "band", "block", F.lit("star"))
+    return rows.select("doc_id", tile.alias("tile"), "side", tile.alias("part"))
+
+
+def _rest(large: DataFrame, found: DataFrame) -> DataFrame:
+    """The sets of each cluster that are outside its largest connected part."""
+    known = cut(large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    most = known.groupBy("cluster", "band", "component").count().groupBy("cluster", "band").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
+    return known.join(most, ["cluster", "band"]).where("component <> main").select("doc_id", "cluster", "band", "blocks")
+
+
+def _rest_tiles(large: DataFrame, rest: DataFrame, tile_rows: int) -> DataFrame:
+    """Tiles in which the rest of each cluster, in blocks, meets all blocks of it."""
+    sizes = cut(rest.groupBy("cluster", "band").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("turns")))
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(43)), F.col("turns")).cast("int")
+    left = rest.join(sizes, ["cluster", "band"]).select("doc_id", "cluster", "band", turn.alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
+    right = large.join(sizes, ["cluster", "band"]).select("doc_id", "cluster", "band", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "block", F.lit(2).alias("side"))
+    tile = F.xxhash64("cluster", "band", "block", "turn", F.lit("rest"))
+    return left.unionByName(right).select("doc_id", tile.alias("tile"), "side", tile.alias("part"))
