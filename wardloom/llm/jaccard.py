@@ -280,9 +280,9 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
     links = met(source, small.select("doc_id", name.alias("tile"), F.lit(0).alias("side"), F.pmod(name, F.lit(parts)).alias("part")))
     if not large.isEmpty():
         texts = written(source.join(large.select("doc_id").distinct().hint("shuffle_hash"), "doc_id"))
-        stars = cut(met(texts, _stars_of(large)))
-        rest = cut(_rest(large, components(stars)))
-        links = links.unionByName(stars)
+        found = cut(components(met(texts, _stars_of(large))))
+        rest = cut(_rest(large, found))
+        links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         if not rest.isEmpty():
             links = links.unionByName(met(texts, _rest_tiles(large, rest, tile_rows)))
     found = components(links)
