@@ -271,20 +271,28 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
         release()
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    def met(texts: DataFrame, tiles: DataFrame) -> DataFrame:
-        """The verified links of tiles (doc_id, tile, side, part)."""
+    def met(rows: DataFrame) -> DataFrame:
+        """The verified links of tiles (doc_id, text, tile, side, part)."""
+        return rows.groupBy("part").applyInArrow(compared, "a long, b long")
+
+    def tiled(tiles: DataFrame) -> DataFrame:
+        """The texts of the large clusters in these tiles."""
         lists = tiles.groupBy("doc_id").agg(F.collect_list(F.struct("part", "tile", "side")).alias("tiles"))
-        return texts.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", F.inline("tiles")).groupBy("part").applyInArrow(compared, "a long, b long")
+        return texts.where("large").select("doc_id", "text").join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", F.inline("tiles"))
 
     name = F.xxhash64("cluster", "band")
-    links = met(source, small.select("doc_id", name.alias("tile"), F.lit(0).alias("side"), F.pmod(name, F.lit(parts)).alias("part")))
+    own = F.struct(F.pmod(name, F.lit(parts)).alias("part"), name.alias("tile"), F.lit(0).alias("side"))
+    placed = small.select("doc_id", own.alias("own")).unionByName(large.select("doc_id", F.lit(None).cast("struct<part:bigint,tile:bigint,side:int>").alias("own")))
+    placed = placed.groupBy("doc_id").agg(F.collect_list("own").alias("tiles"), F.max(F.col("own").isNull()).alias("large"))
+    # The corpus is dealt by id once; of it only the members of clusters go on.
+    texts = written(source.join(placed.hint("shuffle_hash"), "doc_id"))
+    links = met(texts.select("doc_id", "text", F.inline("tiles")))
     if not large.isEmpty():
-        texts = written(source.join(large.select("doc_id").distinct().hint("shuffle_hash"), "doc_id"))
-        found = cut(components(met(texts, _stars_of(large))))
-        rest = cut(_rest(large, found))
-        links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        reached = cut(components(met(tiled(_stars_of(large)))))
+        rest = cut(_rest(large, reached))
+        links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
         if not rest.isEmpty():
-            links = links.unionByName(met(texts, _rest_tiles(large, rest, tile_rows)))
+            links = links.unionByName(met(tiled(_rest_tiles(large, rest, tile_rows))))
     found = components(links)
     answer = cut(classes.join(found.select(F.col("node").alias("class"), "component"), "class", "left").select("fa", "fb", F.coalesce("component", "class").alias("component_id")))
     done = sets.join(answer, ["fa", "fb"], "left")
