@@ -16,13 +16,20 @@ VIEW_UNKNOWN = ("", "unknown", "unk", "n/a", "exclude", "none")
 AGE_DIVISORS = {"years": 1.0, "days": 365.25, "months": 12.0}
 AGE_CODES = {"D": 1.0 / 365.25, "W": 7.0 / 365.25, "M": 1.0 / 12.0, "Y": 1.0}
 AGE_MOST = 130.0
+# White space, with the four separators below the space.
+SPACES = r"[\s\x1c-\x1f]+"
 # Words that do not count in an answer.
 ARTICLES = ("a", "an", "the")
 
 
+def strip(c: Column) -> Column:
+    """Without the white space at both ends: spaces, tabs, line ends and those of Unicode."""
+    return F.regexp_replace(c, f"(?U)^{SPACES}|{SPACES}$", "")
+
+
 def is_blank(c: Column) -> Column:
     """Null, or nothing but white space."""
-    return c.isNull() | (F.trim(c) == "")
+    return c.isNull() | (strip(c) == "")
 
 
 def no_nan(c: Column) -> Column:
@@ -58,6 +65,15 @@ def first_parts(c: Column, separator: str, n: int) -> Column:
     return F.array_join(F.slice(F.split(c, separator, -1), 1, n), separator)
 
 
+def without_prefix(c: Column, prefix: str) -> Column:
+    return F.when(F.startswith(c, F.lit(prefix)), F.substring(c, len(prefix) + 1, 1 << 30)).otherwise(c)
+
+
+def min_max(c: Column, low: Column, high: Column) -> Column:
+    """From 0 at the lowest to 1 at the highest; null where these are equal."""
+    return ((c - low) / F.nullif(high - low, F.lit(0))).cast("double")
+
+
 def base_name(c: Column) -> Column:
     return F.regexp_replace(c, "^.*/", "")
 
@@ -86,19 +102,19 @@ def age_plausible(c: Column, low: float = 0.0, high: float = 120.0) -> Column:
 
 def sex(c: Column) -> Column:
     """M, F or null."""
-    return lookup(F.lower(F.trim(c)), SEX_VALUES)
+    return lookup(F.lower(strip(c)), SEX_VALUES)
 
 
 def sex_is_odd(c: Column) -> Column:
     """A value that is neither a known sex nor a word for unknown."""
-    low = F.lower(F.trim(c))
+    low = F.lower(strip(c))
     return F.coalesce(lookup(low, SEX_VALUES).isNull() & ~low.isin(*SEX_UNKNOWN), F.lit(False))
 
 
 def view(c: Column) -> Column:
     """The shared name of a view; null for a word that means unknown; else the value in upper case."""
-    low = F.lower(F.trim(c))
-    return F.when(~low.isin(*VIEW_UNKNOWN), F.coalesce(lookup(low, VIEW_VALUES), F.upper(F.trim(c))))
+    low = F.lower(strip(c))
+    return F.when(~low.isin(*VIEW_UNKNOWN), F.coalesce(lookup(low, VIEW_VALUES), F.upper(strip(c))))
 
 
 def uncertain(c: Column, policy: str) -> Column:
@@ -137,7 +153,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 def bound(f: Callable[[Column], Column], **values: Column) -> Column:
     """``f`` of a struct of values, each computed once however often ``f`` names it, also inside its lambdas."""
-    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), f), F.lit(0))
+    return F.get(F.transform(F.array(F.named_struct(*(x for k, v in values.items() for x in (F.lit(k), v)))), f), F.lit(0))
 
 
 def token_f1(answer: Column, reference: Column) -> Column:
@@ -159,36 +175,79 @@ def yes_no(c: Column) -> Column:
 
 def is_closed(c: Column) -> Column:
     """The reference answer is yes or no and nothing else."""
-    return F.coalesce(F.lower(F.trim(c)).isin("yes", "no"), F.lit(False))
+    return F.coalesce(F.lower(strip(c)).isin("yes", "no"), F.lit(False))
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"(?U){SPACES}", " "))
+
+
+# The section headers of a report in the singular, and those that open and that end each section.
+HEADERS = (
+    "FINDING", "IMPRESSION", "CONCLUSION", "RECOMMENDATION", "SUMMARY", "NOTIFICATION", "END OF IMPRESSION", "COMPARISON", "TECHNIQUE", "INDICATION", "HISTORY", "EXAMINATION",
+    "CLINICAL INDICATION", "CLINICAL HISTORY", "REASON FOR EXAM", "REASON FOR THE EXAM", "REASON FOR EXAMINATION", "REASON FOR THE EXAMINATION",
+)
+_CONTEXT = ("COMPARISON", "TECHNIQUE", "INDICATION", "HISTORY", "EXAMINATION", "CLINICAL INDICATION", "CLINICAL HISTORY", "REASON FOR EXAMINATION", "REASON FOR THE EXAMINATION")
+SECTIONS = {
+    "findings": (("FINDING",), ("IMPRESSION", "CONCLUSION", "RECOMMENDATION", "SUMMARY", "NOTIFICATION", "END OF IMPRESSION", *_CONTEXT)),
+    "impression": (("IMPRESSION", "CONCLUSION", "END OF IMPRESSION"), ("FINDING", "RECOMMENDATION", "NOTIFICATION", "END OF IMPRESSION", *_CONTEXT)),
+    "indication": (("INDICATION", "HISTORY", "CLINICAL INDICATION", "CLINICAL HISTORY", "REASON FOR EXAM", "REASON FOR THE EXAM", "REASON FOR EXAMINATION", "REASON FOR THE EXAMINATION"), ("FINDING", "IMPRESSION", "CONCLUSION", "RECOMMENDATION", "NOTIFICATION", "END OF IMPRESSION", *_CONTEXT)),
+}
+# Control characters that set the pieces of a note apart while it is cut.
+_PIECE, _BODY = "\x01", "\x02"
 
 
-def _header(names: str) -> str:
-    return rf"(?:^[ \t]*(?i:(?:{names})S?)|\b(?:{names})S?)[ \t]*:"
+def pieces(note: Column) -> Column:
+    """A note cut at its headers: array<struct<header, raw, body>>, first what stands before any (header '').
 
+    A header opens a line, in any case, or stands in capitals anywhere, and is followed by a colon; ``header`` is in
+    capitals and in the singular, ``raw`` has the header too.
+    """
+    plain = F.translate(note, _PIECE + _BODY, "")
+    longest = "|".join(sorted(HEADERS, key=len, reverse=True))
+    at_line = F.regexp_replace(plain, rf"(?im)^[ \t]*(?:{longest})S?[ \t]*:", _PIECE + "$0" + _BODY)
+    marked = F.regexp_replace(at_line, rf"\b(?<!{_PIECE})(?:{longest})S?[ \t]*:(?!{_BODY})", _PIECE + "$0" + _BODY)
+
+    def cut(piece: Column) -> Column:
+        named = F.contains(piece, F.lit(_BODY))
+        header = F.regexp_replace(F.upper(F.split(piece, _BODY, 2)[0]), r"^\s+|S?\s*:$", "")
+        return F.struct(F.when(named, header).otherwise("").alias("header"), F.translate(piece, _BODY, "").alias("raw"), F.when(named, F.get(F.split(piece, _BODY, 2), F.lit(1))).otherwise(piece).alias("body"))
+
+    return F.transform(F.split(marked, _PIECE, -1), cut)
 
-# The section headers of a report, and those at which each section ends.
-HEADERS = {
-    "findings": ("FINDING", "IMPRESSION|CONCLUSION|RECOMMENDATION|SUMMARY|NOTIFICATION|COMPARISON|TECHNIQUE|INDICATION|HISTORY|EXAMINATION"),
-    "impression": ("IMPRESSION|CONCLUSION", "FINDING|RECOMMENDATION|NOTIFICATION|END OF IMPRESSION|COMPARISON|TECHNIQUE|INDICATION|HISTORY|EXAMINATION"),
-}
+
+def _section(cut: Column, section: str) -> Column:
+    """The first piece with a header of the section and all that follows, up to a header that ends it; '' without one."""
+    opens, ends = SECTIONS[section]
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    walked = F.aggregate(
+        cut, state(F.lit(0), F.lit("")),
+        lambda s, p: F.when((s["at"] == 0) & p["header"].isin(*opens), state(F.lit(1), p["body"]))
+        .when((s["at"] == 1) & p["header"].isin(*ends), state(F.lit(2), s["out"]))
+        .when(s["at"] == 1, state(F.lit(1), F.concat(s["out"], p["raw"]))).otherwise(s),
+        lambda s: s["out"],
+    )
+    return F.regexp_replace(walked, r"(?s)\n[ \t]*\n.*", "") if section == "indication" else walked
 
 
 def report_section(c: Column, section: str) -> Column:
     """A section of a report as one line. findings and impression stand in for each other, both joins them, full is the
-    whole note. Without headers: the note. A blank note gives ''."""
+    whole note; without these headers they are the note. indication, up to a blank line, stands alone. A blank note and
+    a missing indication give ''."""
+    if section not in (*SECTIONS, "both", "full"):
+        raise ValueError(f"section must be findings, impression, both, indication or full, not {section!r}")
     text = F.coalesce(c, F.lit(""))
     if section == "full":
         return squeeze(text)
-    found = {k: squeeze(F.regexp_extract(text, rf"(?ms){_header(own)}(.*?)(?={_header(ends)}|\z)", 1)) for k, (own, ends) in HEADERS.items()}
-    if section == "both":
-        chosen = F.trim(F.concat_ws(" ", found["findings"], found["impression"]))
-    elif section in found:
-        other = found["impression" if section == "findings" else "findings"]
-        chosen = F.when(found[section] != "", found[section]).otherwise(other)
-    else:
-        raise ValueError(f"section must be findings, impression, both or full, not {section!r}")
-    return F.when(chosen != "", chosen).otherwise(squeeze(text))
+
+    def chosen(p: Column) -> Column:
+        found = lambda name: squeeze(_section(p["cut"], name))
+        if section == "indication":
+            return found(section)
+        if section == "both":
+            got = squeeze(F.concat_ws(" ", found("findings"), found("impression")))
+            return F.when(got != "", got).otherwise(squeeze(text))
+        other = "impression" if section == "findings" else "findings"
+        return F.coalesce(F.nullif(found(section), F.lit("")), F.nullif(found(other), F.lit("")), squeeze(text))
+
+    return bound(chosen, cut=pieces(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import squeeze
+from .scalars import bound, is_blank, squeeze
 
 # A modality and the pattern of a caption that names it; earlier ones win.
 MODALITIES = [
@@ -18,6 +18,16 @@ MODALITIES = [
     ("ultrasound", r"ultrasound|ultrasonograph|\bUS image\b|sonogra|echocardiogra|\bdoppler\b"),
     ("xray", r"\bx-?ray\b|radiograph|\bCXR\b|\bKUB\b|fluoroscop|orthopantomogram|\bOPG\b"),
 ]
+# The other specialties and the pattern of a caption that names each; earlier ones win.
+SPECIALTIES = [
+    ("pathology", r"histopatholog|histolog|\bH&E\b|haematoxylin|hematoxylin|immunohistochem|\bIHC\b|cytolog|biopsy specimen|\bgross (?:specimen|pathology)|microscopic examination|magnification\s*[x×]?\s*\d+|\b\d+\s*[x×]\s*magnif"),
+    ("ophthalmology", r"fundus|retinal? (?:image|photograph|scan)|\bOCT\b|slit[- ]lamp|optic (?:disc|nerve head)|fluorescein angiogra|cornea|anterior segment"),
+    ("endoscopy", r"endoscop|colonoscop|gastroscop|bronchoscop|laparoscop|arthroscop|cystoscop|hysteroscop|\bEGD\b|capsule endoscop"),
+    ("dermatology", r"dermoscop|dermatoscop|skin lesion|cutaneous|\brash\b|erythema|papule|plaque|pustule|clinical photograph of the skin"),
+    ("physiological_signals", r"\bECG\b|\bEKG\b|electrocardiogra|\bEEG\b|electroencephalogra|\bEMG\b|spirometr|waveform|polysomnogra"),
+    ("microscopy_nonpathology", r"electron microscop|\bSEM\b|\bTEM\b|confocal|fluorescence microscop|immunofluorescen|scanning electron|transmission electron|\bDAPI\b|\bGFP\b|\bmCherry\b|phalloidin|\bDIC\b|bright[- ]?field|phase[- ]contrast|scale bar|\bum\b scale|stained with|counterstain|cell culture|cultured cells|\bin vitro\b|transfected|knockdown|immunostain|\bWB\b|colony formation|flow cytometr"),
+    ("clinical_photography", r"intraoperative photograph|clinical photograph|gross appearance|surgical (?:field|specimen|photograph|view)|pre-?operative photograph|post-?operative photograph|intra-?operative (?:view|image|finding)|occlusal view|intra-?oral|extra-?oral|clinical (?:image|view|appearance|photo)|macroscopic (?:view|appearance)|resected specimen|excised specimen|operative field|photograph of the (?:patient|lesion|wound|limb|face)|wound|prosthes[ie]s in place|cast|physical examination"),
+]
 # A sure sign of radiology without a modality, and of something that is not medical.
 GENERIC = r"\bradiolog|\bimaging (?:study|studies|finding)|axial|coronal|sagittal|contrast[- ]enhanc|\bmyelogra|\burogra|\bcholangiogra"
 NOT_MEDICAL = r"\b(?:flow ?chart|flowchart|schematic|study design|consort diagram|bar (?:chart|graph)|scatter ?plot|kaplan[- ]meier|forest plot|box ?plot|histogram|western blot|gel electrophoresis)\b"
@@ -29,21 +39,19 @@ def _found(text: Column, pattern: str) -> Column:
 
 def tag(text: Column) -> Column:
     """specialty, modality, confidence and evidence of a caption, or null; the first lexicon that matches wins."""
-    entry = lambda specialty, modality, sure, pattern: F.when(
-        _found(text, pattern).isNotNull(),
-        F.struct(F.lit(specialty).alias("specialty"), F.lit(modality).cast("string").alias("modality"), F.lit(sure).alias("confidence"), F.substring(_found(text, pattern), 1, 40).alias("evidence")),
-    )
-    known = [entry("radiology", name, "high", pattern) for name, pattern in MODALITIES]
-    return F.coalesce(*known, entry("radiology", "radiology_other", "low", GENERIC), entry("non_medical", None, "low", NOT_MEDICAL))
+    entry = lambda specialty, modality, sure, pattern: F.struct(F.lit(specialty).alias("specialty"), F.lit(modality).cast("string").alias("modality"), F.lit(sure).alias("confidence"), F.substring(_found(text, pattern), 1, 40).alias("evidence"))
+    known = [entry("radiology", name, "high", pattern) for name, pattern in MODALITIES] + [entry(name, None, "high", pattern) for name, pattern in SPECIALTIES]
+    known += [entry("radiology", "radiology_other", "low", GENERIC), entry("non_medical", None, "low", NOT_MEDICAL)]
+    return F.get(F.filter(F.array(*known), lambda x: x["evidence"].isNotNull()), F.lit(0))
 
 
 def tag_caption(own: Column, parent: Column) -> Column:
     """The tag of a caption or, at low confidence, of its parent's; ``source`` says which. Without either: unknown."""
-    mine, theirs = tag(own), tag(parent)
     fields = lambda t, sure, source: F.struct(t["specialty"].alias("specialty"), t["modality"].alias("modality"), sure.alias("confidence"), t["evidence"].alias("evidence"), F.lit(source).alias("source"))
     none = F.lit(None).cast("string")
     unknown = F.struct(F.lit("unknown").alias("specialty"), none.alias("modality"), none.alias("confidence"), none.alias("evidence"), none.alias("source"))
-    return F.when(mine.isNotNull(), fields(mine, mine["confidence"], "own")).when(theirs.isNotNull(), fields(theirs, F.lit("low"), "parent")).otherwise(unknown)
+    chosen = lambda p: F.when(p["mine"].isNotNull(), fields(p["mine"], p["mine"]["confidence"], "own")).when(p["theirs"].isNotNull(), fields(p["theirs"], F.lit("low"), "parent")).otherwise(unknown)
+    return bound(chosen, mine=tag(own), theirs=tag(parent))
 
 
 def one_modality(found: Column) -> Column:
@@ -65,7 +73,7 @@ def clean_generated(text: Column) -> Column:
 
 def usable_pair(reference: Column, hypothesis: Column) -> Column:
     """Both texts have something to score."""
-    return F.coalesce((F.trim(reference) != "") & (F.trim(hypothesis) != ""), F.lit(False))
+    return ~is_blank(reference) & ~is_blank(hypothesis)
 
 
 def shingles(words: Column, n: int) -> Column:

@@ -12,17 +12,27 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bound
+
 RESERVED = ("label", "n_train", "fold", "seed", "bootstrap")
 PANEL = ("f1", "accuracy", "balanced_accuracy", "tpr", "tnr", "ppv", "npv", "mcc")
 
 
-def by_score(scored: DataFrame, keys: list[str]) -> DataFrame:
+def by_score(scored: DataFrame, keys: list[str], ranges: int = 64) -> DataFrame:
     """Positives and negatives at each distinct score, and those at or above it (tp, fp), with the totals."""
     clean = scored.where(F.col("y").isin(0, 1) & F.col("score").isNotNull())
     counts = clean.groupBy(*keys, "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Scores are dealt by ranges and summed up inside each, after what the ranges above hold, so that no task sorts a
+    # whole group; approximate bounds only change how even the ranges are.
+    marks = sorted(set(scored.approxQuantile("score", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
+    counts = counts.withColumn("__r", F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < F.col("score"))) if marks else F.lit(0))
+    higher = Window.partitionBy(*keys).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    return counts.select(*keys, "score", "pos", "neg", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(whole).alias("n_pos"), F.sum("neg").over(whole).alias("n_neg"))
+    parts = counts.groupBy(*keys, "__r").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    parts = parts.select(*keys, "__r", *(F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"__{c}") for c in "pq"), F.sum("p").over(whole).alias("n_pos"), F.sum("q").over(whole).alias("n_neg"))
+    above = Window.partitionBy(*keys, "__r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = counts.select(*keys, "__r", "score", "pos", "neg", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp")).join(parts, [*keys, "__r"])
+    return summed.select(*keys, "score", "pos", "neg", (F.col("tp") + F.col("__p")).alias("tp"), (F.col("fp") + F.col("__q")).alias("fp"), "n_pos", "n_neg")
 
 
 def ranking(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -281,8 +291,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Divided by its length; a zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
+    norm = lambda p: F.sqrt(dot(p["v"], p["v"]))
+    divided = lambda p: F.transform(p["v"], lambda x: x.cast("double") / F.when(p["norm"] > 0, p["norm"]).otherwise(1.0))
+    return bound(lambda p: bound(divided, v=p["v"], norm=norm(p)), v=v)
 
 
 def centroids(df: DataFrame, vector: str, keys: list[str]) -> DataFrame:

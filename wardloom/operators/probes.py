@@ -30,8 +30,8 @@ def knn_scores(train: DataFrame, test: DataFrame, vector: str, key: str, labels:
     """
     pairs = F.map_from_arrays(F.array(*map(F.lit, labels)), F.array(*(F.when(F.col(c).isin(0, 1), F.col(c).cast("int")) for c in labels)))
     rows = train.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), pairs.alias("y"))
-    n = test.count()
-    groups = max(1, -(-n // block_rows))
+    # A slice stays of one size however large the table is.
+    groups, slices = max(1, -(-test.count() // block_rows)), max(slices, -(-train.count() // (2 * block_rows)))
     queries = test.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("grp"))
     sliced = rows.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(slices)).cast("int"))
     left = queries.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
@@ -69,6 +69,7 @@ def fit_linear(train: DataFrame, vector: str, labels: list[str], kind: str = "lo
     counts = {(r.label, r.y): r.n for r in long.groupBy("label", "y").agg(F.count("*").alias("n")).collect()}
     usable = [x for x in labels if counts.get((x, 0)) and counts.get((x, 1))]
     if not usable:
+        long.unpersist()
         return {}
     dim = len(long.first().v)
     weights = {x: np.zeros(dim + 1) for x in usable}

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StructType
 
 from ..functions.scalars import is_blank
 
@@ -172,3 +173,35 @@ def pivot_complete(df: DataFrame, row: str, column: str, value: str, names: list
     wide = df.groupBy(row).pivot(column, names).agg(F.first(value, ignorenulls=True))
     holes = wide.agg(*(F.count_if(F.col(f"`{n}`").isNull()).alias(n) for n in names)).first()
     return wide.select(row, *(n for n in names if not holes[n]))
+
+
+def left_join_once(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """A left join that keeps the number of rows: a key that stands twice on the right, and is met, stops the query."""
+    many = F.count(F.lit(1)).over(Window.partitionBy(*on))
+    once = right.withColumn("__n", many)
+    guard = F.when(F.col("__n") > 1, F.raise_error(F.concat_ws(" ", F.lit("the right side has a key twice:"), *on))).otherwise(F.lit(True))
+    return left.join(once, on, "left").where(guard).drop("__n")
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """The same rows; none at all raise."""
+    if df.isEmpty():
+        raise ValueError(f"{what}: 0 rows")
+    return df
+
+
+def side_by_side(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Two tables row by row, in the order of a number each, as long as both last."""
+    a, b = (places(df, [F.asc(key)], [], key) for df, key in ((left, left_key), (right, right_key)))
+    return a.join(b, "place")
+
+
+def flat_numbers(value: Column, kind: StructType, prefix: str = "") -> list[Column]:
+    """The numeric leaves of nested structs, named by their path joined with ``_``; other leaves are left out."""
+    out: list[Column] = []
+    for f in kind:
+        if isinstance(f.dataType, StructType):
+            out += flat_numbers(value[f.name], f.dataType, f"{prefix}{f.name}_")
+        elif isinstance(f.dataType, NumericType):
+            out.append(value[f.name].alias(prefix + f.name))
+    return out

@@ -299,14 +299,14 @@ def sc17_json_field(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("SELECT p_partkey, p_name FROM part ORDER BY try_cast(regexp_extract(p_brand, '(\\d+)', 1) AS INT), p_partkey LIMIT 50")
+@query("SELECT p_partkey, p_name FROM part ORDER BY try_cast(regexp_extract(p_brand, '(\\d+)', 1) AS INT), p_partkey")
 def st05_natural_sort(spark, d):
-    return table(spark, d, "part").orderBy(S.extract(F.col("p_brand"), r"(\d+)").cast("int"), "p_partkey").limit(50).select("p_partkey", "p_name")
+    return table(spark, d, "part").orderBy(S.extract(F.col("p_brand"), r"(\d+)").cast("int"), "p_partkey").select("p_partkey", "p_name")
 
 
-@query("SELECT s_suppkey, s_acctbal FROM supplier ORDER BY nullif(s_nationkey, 3) DESC NULLS LAST, s_suppkey LIMIT 30")
+@query("SELECT s_suppkey, s_acctbal FROM supplier ORDER BY nullif(s_nationkey, 3) DESC NULLS LAST, s_suppkey")
 def st04_sort_nulls_last(spark, d):
-    return table(spark, d, "supplier").orderBy(F.desc_nulls_last(F.nullif("s_nationkey", F.lit(3))), "s_suppkey").limit(30).select("s_suppkey", "s_acctbal")
+    return table(spark, d, "supplier").orderBy(F.desc_nulls_last(F.nullif("s_nationkey", F.lit(3))), "s_suppkey").select("s_suppkey", "s_acctbal")
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY try_cast(regexp_extract(p_brand, '(\\d+)', 1) AS INT) NULLS FIRST, p_partkey) AS place FROM part")

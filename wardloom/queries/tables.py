@@ -180,9 +180,9 @@ def wn08_average_rank(spark, d):
     return e.join(ranks, ["event_type", "v"]).select("event_id", "rank")
 
 
-@query("SELECT o_orderdate, o_orderpriority AS model, row_number() OVER (PARTITION BY o_orderdate ORDER BY sum(o_totalprice) DESC, o_orderpriority)::INT AS rank FROM orders WHERE o_orderdate < DATE '1996-03-01' GROUP BY 1, 2")
+@query("SELECT o_orderdate, o_orderpriority AS model, row_number() OVER (PARTITION BY o_orderdate ORDER BY sum(o_totalprice) DESC, o_orderpriority)::INT AS rank FROM orders GROUP BY 1, 2")
 def wn10_ranks_of_draws(spark, d):
-    scores = table(spark, d, "orders").where("o_orderdate < DATE '1996-03-01'").groupBy("o_orderdate", F.col("o_orderpriority").alias("model")).agg(F.sum("o_totalprice").alias("score"))
+    scores = table(spark, d, "orders").groupBy("o_orderdate", F.col("o_orderpriority").alias("model")).agg(F.sum("o_totalprice").alias("score"))
     return E.ranks_by_draw(scores, ["o_orderdate"]).drop("score")
 
 
@@ -204,9 +204,9 @@ def wn14_groups_by_first_appearance(spark, d):
     return R.number_groups(table(spark, d, "events", "user_id", "event_id"), "user_id", "event_id")
 
 
-@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice > 200000 DESC, o_totalprice, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice > 200000 DESC, o_totalprice, o_orderkey")
 def st03_mixed_sort(spark, d):
-    return table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_totalprice").orderBy("o_orderpriority", F.desc(F.col("o_totalprice") > 200000), "o_totalprice", "o_orderkey").limit(100)
+    return table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_totalprice").orderBy("o_orderpriority", F.desc(F.col("o_totalprice") > 200000), "o_totalprice", "o_orderkey")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice > 200000 DESC, o_totalprice, o_orderkey) AS place FROM orders")

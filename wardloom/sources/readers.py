@@ -22,21 +22,32 @@ from pyspark.sql import types as T
 from ..functions.scalars import no_nan
 
 
+# The words of a text table that stand for nothing.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 def clean(df: DataFrame) -> DataFrame:
     """Null for each NaN of a floating column."""
     return df.select(*(no_nan(F.col(f"`{c}`")).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in df.dtypes))
 
 
-def csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None, columns: list[str] | None = None, sep: str = ",", names: list[str] | None = None) -> DataFrame:
+def csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None, columns: list[str] | None = None, sep: str = ",", names: list[str] | None = None, lines: bool = False) -> DataFrame:
     """CSV or TSV with a header, also gzip and many files as one scan. Without a schema every column is text.
 
-    ``names`` replaces the header by position; ``columns`` prunes the scan.
+    Fields may be quoted, with quotes doubled inside and line breaks in them; the words in ``MISSING`` are null, quoted
+    or not, and so is what cannot be read as the declared type. ``names`` replaces the header by position; ``columns``
+    prunes the scan. A file with line breaks in its fields cannot be split: without any, ``lines=True`` reads it in parts.
     """
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", False).option("enforceSchema", True)
-    if names is not None and schema is None:
-        schema = ", ".join(f"`{n}` string" for n in names)
-    df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
-    return clean(df.select(*columns) if columns else df)
+    reader = spark.read.options(header=True, sep=sep, multiLine=not lines, quote='"', escape='"', enforceSchema=True, inferSchema=False)
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if names is None and schema is not None:
+        names = schema.names
+    df = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path) if names is not None else reader.csv(path)
+    kinds = {f.name: f.dataType for f in schema} if schema is not None else {}
+    chosen = columns or df.columns
+    known = {c: F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")) for c in chosen}
+    return clean(df.select(*((x.try_cast(kinds[c]) if c in kinds and kinds[c] != T.StringType() else x).alias(c) for c, x in known.items())))
 
 
 def ragged_tsv(spark: SparkSession, path: str, least: int) -> DataFrame:
