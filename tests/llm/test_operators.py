@@ -205,7 +205,7 @@ def brute_links(rows, n, num, den):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("options", [{"numerator": 9, "denominator": 10, "n": 3}, {"numerator": 9, "denominator": 10, "n": 3, "tile_rows": 4, "tile_bytes": 4000}, {"numerator": 9, "denominator": 10, "n": 3, "tile_rows": 12}, {}])
+@pytest.mark.parametrize("options", [{"numerator": 9, "denominator": 10, "n": 3}, {"numerator": 9, "denominator": 10, "n": 3, "tile_rows": 4, "tile_bytes": 4000}, {"numerator": 9, "denominator": 10, "n": 3, "tile_rows": 6, "block_rows": 7}, {}])
 def test_jaccard(docs, rows, options):
     got = jaccard.join(docs, **options).collect()
     want = brute_links(rows, options.get("n", 5), options.get("numerator", 8), options.get("denominator", 10))

@@ -12,7 +12,8 @@
 4. Inside a cluster of up to a tile's size all sets are compared: by size, then by parity sketches, whose distance is
    never above the real one, and at last exactly, but for pairs that verified links already connect. In a larger one
    each set meets a few representatives first; those that these links connect need not be compared with each other, and
-   only the rest meets the whole cluster, block by block. The verified links give the components of the result.
+   only the rest meets the whole cluster. There the sketches alone are dealt into blocks, some bytes for each set; the
+   pairs that these leave are verified exactly. The verified links give the components of the result.
 """
 
 from __future__ import annotations
@@ -158,11 +159,16 @@ def _parities(sets: list[np.ndarray], words: int) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8).reshape(len(sets), -1), axis=1).view(np.uint64)
 
 
+def _width(top: int, numerator: int, denominator: int) -> int:
+    """How many words a sketch has for sets of up to ``top`` shingles: eight bits for each difference allowed."""
+    allowed = 2 * top * (denominator - numerator) // (denominator + numerator)
+    return max(2, 1 << (max(1, allowed * 8 // 64) - 1).bit_length())
+
+
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, numerator: int, denominator: int) -> list[tuple[int, int]]:
     """Links between sets i of ``left`` and j of ``right`` that connect all that are connected by such links."""
     size = np.array([len(x) for x in sets])
-    allowed = int(2 * size.max() * (denominator - numerator) // (denominator + numerator))
-    sketch = _parities(sets, max(2, 1 << (max(1, allowed * 8 // 64) - 1).bit_length()))
+    sketch = _parities(sets, _width(int(size.max()), numerator, denominator))
     forest, out = _Forest(len(sets)), []
     for i in left.tolist():
         others = right[right > i] if left is right else right
@@ -182,7 +188,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, numerato
     return out
 
 
-def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10, tile_rows: int = 512, tile_bytes: int = 16 << 20, least_parts: int = 48) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10, tile_rows: int = 512, tile_bytes: int = 16 << 20, block_rows: int = 2048, least_parts: int = 48) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each document.
 
     Two documents link when the Jaccard similarity of their sets of n-word shingles is numerator / denominator or more.
@@ -245,13 +251,38 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
             edges = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 2) for d in read])
         return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
 
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The size and sketch of each set in each band that it is dealt into."""
+        for batch in pieces(batches, "text", 2 << 20):
+            h, edge = shingle_sets(batch.column("text"), n)
+            ids, size, rows = np.asarray(batch.column("doc_id"), np.int64), np.diff(edge), []
+            for band, these in _dealt(size, bounds, numerator, denominator):
+                top = (bounds[band + 1] if band + 1 < len(bounds) else bounds[band] + 1) - 1
+                sketch = _parities([h[edge[i] : edge[i + 1]] for i in these], _width(top, numerator, denominator))
+                rows += [(ids[i], band, size[i], x.tobytes()) for i, x in zip(these.tolist(), sketch, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "band", "n", "sketch"])
+
+    def possible(table: pa.Table) -> pa.Table:
+        """The pairs of sets, of unlike components, that sizes and sketches do not rule out."""
+        ids, side, size, component = (np.asarray(table.column(c)) for c in ("doc_id", "side", "n", "component"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+        right, out = np.flatnonzero(side == 2), [np.zeros((0, 2), np.int64)]
+        for i in np.flatnonzero(side == 1).tolist():
+            near = np.minimum(size[right], size[i]) * denominator >= np.maximum(size[right], size[i]) * numerator
+            others = right[near & (component[right] != component[i])]
+            distance = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            others = others[distance * (denominator + numerator) <= (size[others] + size[i]) * (denominator - numerator)]
+            out.append(np.stack([np.full(len(others), ids[i]), ids[others]], axis=1))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
     entries = source.mapInArrow(signed, "shard int, entries binary")
     # The stars of pieces go with a salt each; a shard meets as one group.
     salted = entries.withColumn("salt", F.when(F.col("shard") < 0, F.pmod(F.xxhash64("entries"), F.lit(shards))).otherwise(F.lit(0)))
     edges = salted.groupBy("shard", "salt").applyInArrow(meet, "a long, b long")
     clusters = cut(components(edges))
     member = classes.select(F.col("class").alias("doc_id"), "n").join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-    small, large = _dealt_members(member, bounds, numerator, denominator, tile_rows, tile_bytes)
+    small, large = _dealt_members(member, bounds, numerator, denominator, tile_rows, tile_bytes, block_rows)
     parts = max(256, n_docs // 1000)
 
     def compared(table: pa.Table) -> pa.Table:
@@ -275,11 +306,6 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
         """The verified links of tiles (doc_id, text, tile, side, part)."""
         return rows.groupBy("part").applyInArrow(compared, "a long, b long")
 
-    def tiled(tiles: DataFrame) -> DataFrame:
-        """The texts of the large clusters in these tiles."""
-        lists = tiles.groupBy("doc_id").agg(F.collect_list(F.struct("part", "tile", "side")).alias("tiles"))
-        return texts.where("large").select("doc_id", "text").join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", F.inline("tiles"))
-
     name = F.xxhash64("cluster", "band")
     own = F.struct(F.pmod(name, F.lit(parts)).alias("part"), name.alias("tile"), F.lit(0).alias("side"))
     placed = small.select("doc_id", own.alias("own")).unionByName(large.select("doc_id", F.lit(None).cast("struct<part:bigint,tile:bigint,side:int>").alias("own")))
@@ -288,11 +314,20 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
     texts = written(source.join(placed.hint("shuffle_hash"), "doc_id"))
     links = met(texts.select("doc_id", "text", F.inline("tiles")))
     if not large.isEmpty():
-        reached = cut(components(met(tiled(_stars_of(large)))))
-        rest = cut(_rest(large, reached))
-        links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        if not rest.isEmpty():
-            links = links.unionByName(met(tiled(_rest_tiles(large, rest, tile_rows))))
+        few = texts.where("large").select("doc_id", "text")
+        sketches = cut(few.mapInArrow(sketched, "doc_id long, band int, n long, sketch binary"))
+
+        def verified(tiles: DataFrame) -> DataFrame:
+            """The links among the sets that meet in tiles (doc_id, band, part, side, component)."""
+            pairs = cut(tiles.join(sketches.hint("shuffle_hash"), ["doc_id", "band"]).groupBy("tile").applyInArrow(possible, "a long, b long").distinct())
+            # One set meets those that it may link with, dealt into as many tiles as keep each small.
+            tile = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16)))
+            sides = pairs.select(F.col("a").alias("doc_id"), tile.alias("tile"), F.lit(1).alias("side")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id"), tile.alias("tile"), F.lit(2).alias("side")))
+            return met(few.join(sides, "doc_id").withColumn("part", F.pmod("tile", F.lit(parts))))
+
+        reached = cut(components(verified(_stars_of(large))))
+        known = cut(large.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+        links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(verified(_rest_tiles(known, _rest(known), block_rows)))
     found = components(links)
     answer = cut(classes.join(found.select(F.col("node").alias("class"), "component"), "class", "left").select("fa", "fb", F.coalesce("component", "class").alias("component_id")))
     done = sets.join(answer, ["fa", "fb"], "left")
@@ -317,15 +352,16 @@ def _stars(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return edges, key[first], who[first]
 
 
-def _dealt_members(member: DataFrame, bounds: list[int], numerator: int, denominator: int, tile_rows: int, tile_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """The sets of each cluster by band, (doc_id, cluster, band, k, blocks, block): those that fit one tile, and the others."""
+def _dealt_members(member: DataFrame, bounds: list[int], numerator: int, denominator: int, tile_rows: int, tile_bytes: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of each cluster by band, (doc_id, cluster, band): those that fit one tile, and the others, with blocks."""
     band = lambda n: sum((F.when(n >= b, 1).otherwise(0) for b in bounds), F.lit(0)) - 1
     wide = F.sequence(band(F.col("n")), band(F.floor(F.col("n") * denominator / numerator)))
     dealt = cut(member.select("doc_id", "n", "cluster", F.explode(wide).alias("band")))
     sizes = dealt.groupBy("cluster", "band").agg(F.count("*").alias("k"), F.sum("n").alias("shingles")).where("k > 1")
-    blocks = F.ceil(F.greatest(F.col("k") / tile_rows, F.col("shingles") * 8 / tile_bytes)).cast("int")
-    placed = cut(dealt.drop("n").join(sizes.withColumn("blocks", blocks).drop("shingles"), ["cluster", "band"]))
-    return placed.where("blocks <= 1"), placed.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(41)), F.col("blocks")).cast("int"))
+    fits = (F.col("k") <= tile_rows) & (F.col("shingles") * 8 <= tile_bytes)
+    sizes = sizes.select("cluster", "band", fits.alias("fits"), F.ceil(F.col("k") / block_rows).cast("int").alias("blocks"))
+    placed = cut(dealt.drop("n").join(sizes, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(41)), F.col("blocks")).cast("int")))
+    return placed.where("fits"), placed.where("NOT fits").drop("fits")
 
 
 def _stars_of(large: DataFrame) -> DataFrame:
@@ -334,22 +370,20 @@ def _stars_of(large: DataFrame) -> DataFrame:
     chosen = large.groupBy("cluster", "band", "blocks").agg(F.array_distinct(F.array(F.min("doc_id"), *by_hash)).alias("ids"))
     chosen = chosen.withColumn("doc_id", F.explode("ids")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = chosen.select("doc_id", "cluster", "band", "block", F.lit(1).alias("side")).unionByName(large.select("doc_id", "cluster", "band", "block", F.lit(2).alias("side")))
-    tile = F.xxhash64("cluster", "band", "block", F.lit("star"))
-    return rows.select("doc_id", tile.alias("tile"), "side", tile.alias("part"))
+    return rows.select("doc_id", "band", F.xxhash64("cluster", "band", "block", F.lit("star")).alias("tile"), "side", F.col("doc_id").alias("component"))
 
 
-def _rest(large: DataFrame, found: DataFrame) -> DataFrame:
+def _rest(known: DataFrame) -> DataFrame:
     """The sets of each cluster that are outside its largest connected part."""
-    known = cut(large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     most = known.groupBy("cluster", "band", "component").count().groupBy("cluster", "band").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
-    return known.join(most, ["cluster", "band"]).where("component <> main").select("doc_id", "cluster", "band", "blocks")
+    return known.join(most, ["cluster", "band"]).where("component <> main").drop("main", "block")
 
 
-def _rest_tiles(large: DataFrame, rest: DataFrame, tile_rows: int) -> DataFrame:
+def _rest_tiles(known: DataFrame, rest: DataFrame, block_rows: int) -> DataFrame:
     """Tiles in which the rest of each cluster, in blocks, meets all blocks of it."""
-    sizes = cut(rest.groupBy("cluster", "band").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("turns")))
+    sizes = cut(rest.groupBy("cluster", "band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("turns")))
     turn = F.pmod(F.xxhash64("doc_id", F.lit(43)), F.col("turns")).cast("int")
-    left = rest.join(sizes, ["cluster", "band"]).select("doc_id", "cluster", "band", turn.alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
-    right = large.join(sizes, ["cluster", "band"]).select("doc_id", "cluster", "band", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "block", F.lit(2).alias("side"))
-    tile = F.xxhash64("cluster", "band", "block", "turn", F.lit("rest"))
-    return left.unionByName(right).select("doc_id", tile.alias("tile"), "side", tile.alias("part"))
+    columns = ("doc_id", "cluster", "band", "component")
+    left = rest.join(sizes, ["cluster", "band"]).select(*columns, turn.alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
+    right = known.join(sizes, ["cluster", "band"]).select(*columns, F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "block", F.lit(2).alias("side"))
+    return left.unionByName(right).select("doc_id", "band", F.xxhash64("cluster", "band", "block", "turn", F.lit("rest")).alias("tile"), "side", "component")
