@@ -33,6 +33,8 @@ from .components import components
 
 WORD = separators("space")
 RATIO = 1.25
+#: What the comparison of two sketches costs, in signatures written.
+PAIR = 0.02
 #: The sets that all others of a large cluster meet first.
 REPRESENTATIVES = 8
 
@@ -113,8 +115,10 @@ def allocate(number: int, top: int, sets: int, numerator: int, denominator: int)
         written = sets * (exact + loose * (1 + 2 * unit))
         # Unlike sets meet in a segment that is empty in both or, with a deletion, holds at most one shingle of both.
         false = sets**2 * (exact * math.exp(-2 * unit) + loose * math.exp(-4 * unit) * (1 + 4 * unit))
-        if best is None or written + 4 * false < best[0]:
-            best = (written + 4 * false, exact, loose)
+        # Once most sets have a false candidate their clusters grow into one, in which all sketches are compared.
+        compared = false + (sets**2 / 2 if false > sets else 0)
+        if best is None or written + PAIR * compared < best[0]:
+            best = (written + PAIR * compared, exact, loose)
     return Band(number, allowed, best[1], best[2])
 
 
