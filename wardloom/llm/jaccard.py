@@ -192,7 +192,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, numerato
     return out
 
 
-def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10, tile_rows: int = 512, tile_bytes: int = 16 << 20, block_rows: int = 2048, least_parts: int = 48) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10, tile_rows: int = 512, tile_bytes: int = 16 << 20, block_rows: int = 8192, least_parts: int = 48) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each document.
 
     Two documents link when the Jaccard similarity of their sets of n-word shingles is numerator / denominator or more.
