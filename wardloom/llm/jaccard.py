@@ -239,17 +239,17 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
             if not keys:
                 continue
             stars, key, who = _stars(np.concatenate(keys), np.concatenate(who))
-            shard = ((key >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
+            shard = ((key >> np.uint64(48) ^ key >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((who, shard))
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(k, key[x].tobytes() + who[x].tobytes()) for k in range(shards) if len(x := order[cuts[k] : cuts[k + 1]])]
+            rows = [(k, _packed(key[x], who[x])) for k in range(shards) if len(x := order[cuts[k] : cuts[k + 1]])]
             rows.append((-1, stars.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["shard", "entries"])
 
     def meet(table: pa.Table) -> pa.Table:
         read = table.column("entries").to_pylist()
         if table.column("shard")[0].as_py() >= 0:
-            key, who = (np.concatenate(x) for x in zip(*((np.frombuffer(d, np.uint64, len(d) // 16), np.frombuffer(d, np.int64, -1, len(d) // 2)) for d in read), strict=True))
+            key, who = (np.concatenate(x) for x in zip(*map(_unpacked, read), strict=True))
             edges, _, _ = _stars(key, who)
         else:
             edges = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 2) for d in read])
@@ -356,6 +356,24 @@ def _stars(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return edges, key[first], who[first]
 
 
+def _packed(key: np.ndarray, who: np.ndarray) -> bytes:
+    """Entries in the order of their documents: how many documents, each one's id and entries, and 48 bits of each
+    signature. Signatures that agree in these only bring sets together that are then compared in vain."""
+    first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+    counts = np.diff(np.append(first, len(who))).astype(np.uint32)
+    parts = np.array([len(first)], np.int64), who[first], counts, key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint16)
+    return b"".join(x.tobytes() for x in parts)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of ``_packed`` entries and their documents."""
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    ids, counts = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.uint32, n, 8 + 8 * n)
+    k = int(counts.sum())
+    low, high = np.frombuffer(data, np.uint32, k, 8 + 12 * n), np.frombuffer(data, np.uint16, k, 8 + 12 * n + 4 * k)
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), np.repeat(ids, counts)
+
+
 def _dealt_members(member: DataFrame, bounds: list[int], numerator: int, denominator: int, tile_rows: int, tile_bytes: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """The sets of each cluster by band, (doc_id, cluster, band): those that fit one tile, and the others, with blocks."""
     band = lambda n: sum((F.when(n >= b, 1).otherwise(0) for b in bounds), F.lit(0)) - 1
