@@ -192,6 +192,32 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, numerato
     return out
 
 
+def near_sketches(sketch: np.ndarray, size: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a set of ``left`` and one of ``right``, of unlike components, that sizes and sketches do not rule out.
+
+    The sketches of ``right`` lie word by word, by size, so that those of fitting size are one stretch of each word. Half
+    of the words is compared first; it rules out almost all unlike sets.
+    """
+    right = right[np.argsort(size[right], kind="stable")]
+    sizes, columns = size[right], np.ascontiguousarray(sketch[right].T)
+    half, found = max(1, len(columns) // 2), [np.zeros((2, 0), np.int64)]
+    for i in left.tolist():
+        n, own = int(size[i]), sketch[i]
+        lo, hi = np.searchsorted(sizes, -(-n * numerator // denominator)), np.searchsorted(sizes, n * denominator // numerator, "right")
+        if lo >= hi:
+            continue
+        distance = np.zeros(hi - lo, np.uint32)
+        for word, x in zip(columns[:half], own, strict=False):
+            distance += np.bitwise_count(word[lo:hi] ^ x)
+        most = (n + int(sizes[hi - 1])) * (denominator - numerator) // (denominator + numerator)
+        others = lo + np.flatnonzero(distance <= most)
+        total = distance[others - lo] + np.bitwise_count(columns[half:, others] ^ own[half:, None]).sum(axis=0, dtype=np.int64)
+        others = others[(total * (denominator + numerator) <= (sizes[others] + n) * (denominator - numerator)) & (component[right[others]] != component[i])]
+        found.append(np.stack([np.full(len(others), i), right[others]]))
+    pairs = np.concatenate(found, axis=1)
+    return pairs[0], pairs[1]
+
+
 def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10, tile_rows: int = 512, tile_bytes: int = 16 << 20, block_rows: int = 8192, least_parts: int = 48) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each document.
 
@@ -270,15 +296,8 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
         """The pairs of sets, of unlike components, that sizes and sketches do not rule out."""
         ids, side, size, component = (np.asarray(table.column(c)) for c in ("doc_id", "side", "n", "component"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-        right, out = np.flatnonzero(side == 2), [np.zeros((0, 2), np.int64)]
-        for i in np.flatnonzero(side == 1).tolist():
-            near = np.minimum(size[right], size[i]) * denominator >= np.maximum(size[right], size[i]) * numerator
-            others = right[near & (component[right] != component[i])]
-            distance = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            others = others[distance * (denominator + numerator) <= (size[others] + size[i]) * (denominator - numerator)]
-            out.append(np.stack([np.full(len(others), ids[i]), ids[others]], axis=1))
-        pairs = np.concatenate(out)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        left, right = near_sketches(sketch, size, component, np.flatnonzero(side == 1), np.flatnonzero(side == 2), numerator, denominator)
+        return pa.table({"a": pa.array(ids[left]), "b": pa.array(ids[right])})
 
     entries = source.mapInArrow(signed, "shard int, entries binary")
     # The stars of pieces go with a salt each; a shard meets as one group.
