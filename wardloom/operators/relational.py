@@ -205,3 +205,51 @@ def flat_numbers(value: Column, kind: StructType, prefix: str = "") -> list[Colu
         elif isinstance(f.dataType, NumericType):
             out.append(value[f.name].alias(prefix + f.name))
     return out
+
+
+def visits(df: DataFrame, patient: str, date: str) -> DataFrame:
+    """Adds ``visit_number``, from 1 by distinct dates of the patient, and ``days_from_first``; null without a date.
+
+    The dates of a patient are numbered, not the rows, so a patient with very many images is no large group.
+    """
+    dates = df.where(F.col(date).isNotNull()).groupBy(patient, date).agg(F.lit(1).alias("__one")).drop("__one")
+    w = Window.partitionBy(patient).orderBy(date)
+    numbered = dates.select(patient, date, F.row_number().over(w).alias("visit_number"), F.datediff(date, F.min(date).over(w)).alias("days_from_first"))
+    return df.join(numbered, [patient, date], "left")
+
+
+def label_columns(columns: Iterable[str]) -> list[str]:
+    """Label names in the order of their snake-case form, ties by name: the order of a class vector."""
+    return sorted(columns, key=lambda c: (c.lower().replace(" ", "_"), c))
+
+
+def renamed_labels(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Label columns of one release under the names of another; a name that is taken already raises."""
+    own = {a: b for a, b in names.items() if a in df.columns}
+    taken = sorted(set(own.values()) & set(df.columns))
+    if taken:
+        raise ValueError(f"columns that exist already: {taken}")
+    return df.withColumnsRenamed(own)
+
+
+def folder_status(expected: DataFrame, listing: DataFrame, path: str, size: str = "length") -> DataFrame:
+    """``folder`` and ``status`` of each parent folder of the expected paths: missing, empty (no file with bytes) or ok."""
+    parent = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    there = listing.groupBy(parent(F.col(path)).alias("folder")).agg(F.max(size).alias("__most"))
+    status = F.when(F.col("__most").isNull(), "missing").when(F.col("__most") == 0, "empty").otherwise("ok")
+    return expected.select(parent(F.col(path)).alias("folder")).distinct().join(there, "folder", "left").select("folder", status.alias("status"))
+
+
+def file_status(expected: DataFrame, files: DataFrame, key: str, readable: Column) -> DataFrame:
+    """``key`` and ``status`` of each expected file: missing, unreadable (``readable`` is not true) or ok.
+
+    ``files`` has a row for each file that is there; of a file listed twice, one that can be read is enough.
+    """
+    there = files.groupBy(key).agg(F.max(F.coalesce(readable, F.lit(False))).alias("__ok"))
+    status = F.when(F.col("__ok").isNull(), "missing").when(F.col("__ok"), "ok").otherwise("unreadable")
+    return expected.join(there, key, "left").select(key, status.alias("status"))
+
+
+def keep_positives(df: DataFrame, finding: str, controls: Iterable[str] = ("no finding", "normal")) -> DataFrame:
+    """Rows with a finding that is not a control; the number of boxes says nothing about that."""
+    return df.where(F.col(finding).isNotNull() & ~F.lower(F.trim(finding)).isin(*controls))
