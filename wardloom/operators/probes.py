@@ -10,11 +10,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import dot, unit
 
+#: Values of a block of sums, and groups in which blocks are added up first.
+BLOCK, SALTS = 8192, 64
+SUMS = "label string, block int, salt int, sums array<double>"
+
 
 def long_labels(df: DataFrame, vector: str, labels: list[str]) -> DataFrame:
     """A row for each usable label of a row: label, y and the vector."""
@@ -58,11 +63,16 @@ def knn_scores(train: DataFrame, test: DataFrame, vector: str, key: str, labels:
     return near.select(F.col("id").alias(key), "label", (F.aggregate(best, F.lit(0.0), lambda s, x: s + x["y"]) / F.size(best)).alias("score"))
 
 
+def _added(table: pa.Table) -> pa.Table:
+    """One row for the rows of a block: the sums of its places."""
+    return table.slice(0, 1).set_column(3, "sums", pa.array([np.sum(np.stack(table.column("sums").to_numpy()), axis=0)], pa.list_(pa.float64())))
+
+
 def fit_linear(train: DataFrame, vector: str, labels: list[str], kind: str = "logistic", c: float = 1.0, most_rounds: int = 100) -> dict[str, np.ndarray]:
     """Weights and intercept of each label, with balanced classes; a label with one class only has none.
 
-    Each round is one pass over the rows: partitions send sums of gradients and second derivatives, whose size is that
-    of the features squared, never rows. ``logistic`` is fitted by Newton's method, ``squared_hinge`` likewise with the
+    Each round is one pass over the rows: partitions send sums of gradients and of one half of the symmetric second
+    derivatives, in blocks, never rows. ``logistic`` is fitted by Newton's method, ``squared_hinge`` likewise with the
     active rows.
     """
     long = long_labels(train.select(unit(F.col(vector)).alias("v"), *labels), "v", labels).persist()
@@ -72,6 +82,7 @@ def fit_linear(train: DataFrame, vector: str, labels: list[str], kind: str = "lo
         long.unpersist()
         return {}
     dim = len(long.first().v)
+    upper = np.triu_indices(dim + 1)
     weights = {x: np.zeros(dim + 1) for x in usable}
     share = {(x, y): sum(counts[x, z] for z in (0, 1)) / (2 * counts[x, y]) for x in usable for y in (0, 1)}
     left = list(usable)
@@ -101,21 +112,30 @@ def fit_linear(train: DataFrame, vector: str, labels: list[str], kind: str = "lo
                         g, h = weight * active * 2 * (z - sign), weight * active * 2.0
                     part = [a.T @ g, (a.T * h) @ a]
                     total[name] = part if name not in total else [u + v for u, v in zip(total[name], part, strict=True)]
+            salt = TaskContext.get().partitionId() % SALTS
             for name, (g, h) in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([np.concatenate([g, h.ravel()])], pa.list_(pa.float64()))], ["label", "sums"])
-
-        flat = long.mapInArrow(sums, "label string, sums array<double>").select("label", F.posexplode("sums").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"))
-        got = flat.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).collect()
+                flat = np.concatenate([g, h[upper]])
+                blocks = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
+                columns = pa.array([name] * len(blocks)), pa.array(range(len(blocks)), pa.int32()), pa.array([salt] * len(blocks), pa.int32()), pa.array(blocks, pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays(list(columns), ["label", "block", "salt", "sums"])
+
+        # Blocks are added up first within a salt, then over all: no group holds a row of each partition.
+        parts = long.mapInArrow(sums, SUMS).groupBy("label", "block", "salt").applyInArrow(_added, SUMS).groupBy("label", "block").applyInArrow(_added, SUMS).collect()
+        got: dict[str, dict[int, list[float]]] = {}
+        for r in parts:
+            got.setdefault(r.label, {})[r.block] = r.sums
         penalty = np.diag([*[1.0] * dim, 1e-8 if kind == "logistic" else 1.0])
         left = []
-        for r in got:
-            s = np.array([x.x for x in r.s])
-            g, h = s[: dim + 1], s[dim + 1 :].reshape(dim + 1, dim + 1)
-            w = weights[r.label]
+        for label, blocks in got.items():
+            s = np.concatenate([blocks[i] for i in range(len(blocks))])
+            g, h = s[: dim + 1], np.zeros((dim + 1, dim + 1))
+            h[upper] = s[dim + 1 :]
+            h = h + np.triu(h, 1).T
+            w = weights[label]
             step = np.linalg.solve(c * h + penalty + 1e-12 * np.eye(dim + 1), c * g + penalty @ w)
-            weights[r.label] = w - step
+            weights[label] = w - step
             if np.abs(step).max() > 1e-8:
-                left.append(r.label)
+                left.append(label)
         if not left:
             break
     long.unpersist()
