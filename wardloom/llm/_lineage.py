@@ -25,11 +25,11 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def written(frame: DataFrame) -> DataFrame:
+def written(frame: DataFrame, compression: str | None = None) -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder, which is removed when the application ends."""
     spark = frame.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4()}"
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.parquet(path)

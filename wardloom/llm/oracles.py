@@ -78,10 +78,16 @@ c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 """
 
+OP11 = f"""
+WITH t AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM t WINDOW w AS (PARTITION BY t)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3,
     "op4_substring_dedup": OP4,
     "op5_secrets": OP5,
     "op9_jaccard_join": OP9,
+    "op11_exact_dedup": OP11,
     "op7_nearest_neighbours": OP7,
 }
