@@ -121,7 +121,8 @@ def dedup(docs: DataFrame, block_bytes: int = 1024) -> DataFrame:
     rows = written(parts.where("nth = 0").select("row", "doc_id", "text_sha256").join(names(parts), "row"))
     # Nulls come before all ids in the order of structs.
     best = F.max(F.struct(F.col("doc_id").alias("id"), F.col("row").alias("at"))).alias("best")
-    groups = rows.groupBy("round", "name").agg(best, F.count("*").alias("group_size"))
+    # Written, so that the join has a shuffle of its own on both sides and the rows of a large group can be split.
+    groups = written(rows.groupBy("round", "name").agg(best, F.count("*").alias("group_size")))
     return rows.join(groups, ["round", "name"]).select(
         "doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.at")).alias("kept"), "text_sha256",
     )
