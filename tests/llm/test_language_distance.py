@@ -70,3 +70,13 @@ def test_columns_of_any_name(spark):
     assert langid.predict(frame, model).count() == frame.count()
     empty = frame.where("false")
     assert langid.fit(empty, F.lit(True)) is None and langid.keep(empty, None).count() == 0 == langid.predict(empty, model).count()
+
+
+def test_every_language_is_learned_from_null_and_repeated_ids(spark):
+    rows = [(t, x) for _, t, x in texts() if x and t] * 3
+    frame = spark.createDataFrame([(None, t, x) for t, x in rows] + [(None, "kala mira", "aa")] * 3000, "doc_id long, text string, lang string").repartition(4)
+    for docs in (frame, frame.withColumn("doc_id", F.lit(7))):
+        model = langid.fit(docs, F.lit(True), per_language=20)
+        assert {model.languages[i] for i in model.language} == {"aa", "bb", "cc"}
+        got = langid.predict(docs.where("length(text) > 60"), model, ("lang",)).collect()
+        assert sum(r.lang_pred == r.lang for r in got) > 0.95 * len(got)

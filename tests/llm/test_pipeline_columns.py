@@ -4,6 +4,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from wardloom.llm import decontaminate
+
 PROSE = "the quick brown fox jumps over the lazy dog while the old house stands near the quiet river and waits for rain"
 
 
@@ -32,3 +34,31 @@ def test_columns_stay(spark, tmp_path, name):
     else:
         assert ids.count(0) == 1
     assert stage(spark, frame.where(F.lit(False)), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["language_id", "near_duplicates", "decontamination", "secrets", "bpe"])
+def test_dotted_map_and_inner_names(spark, tmp_path, name):
+    spark.createDataFrame([("b1", "one two three four five six seven eight nine ten eleven")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = "`a.b` string, m map<string,int>, rest string, id long, `order` string, `of` string, first string, row string, text_sha256 string, __items string, __spans string"
+    odd = ("dot", {"k": 1}, "r", 5, "o", "f", "1", "w", "t", "i", "s")
+    rows = [(i, f"{PROSE} {i} {'x' * (i + 1)} word{i} and more of it{i}", "en", "s", 10, *odd) for i in range(6)]
+    rows += [(6, None, None, None, None, *odd), (7, "", "en", None, 0, *odd), (None, PROSE[::-1] + " nothing", "en", None, 0, *odd)]
+    frame = spark.createDataFrame(rows + rows[:2] + rows[-1:], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    got = dict(corpus_pipeline.STAGES)[name](spark, frame, str(tmp_path))
+    if name == "bpe":
+        assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(str(r[0]) for r in rows + rows[:2] + rows[-1:])
+        return
+    assert got.dtypes == frame.dtypes
+    kept = got.collect()
+    assert kept and all(tuple(r)[5:] == odd for r in kept)
+    ids = [r.doc_id for r in kept]
+    assert ids.count(0) == (1 if name == "near_duplicates" else 2)
+
+
+def test_spans_are_cut_whatever_the_columns(spark):
+    bench = spark.createDataFrame([("b1", "one two three four five six seven eight nine ten")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "aa one two three four five six seven eight nine ten zz", "i", "s", {"k": 1}, "d")], "doc_id long, text string, __items string, __spans string, m map<string,int>, `a.b` string")
+    got = decontaminate.remove(docs, bench, how="spans")
+    assert got.columns == docs.columns
+    assert [tuple(r) for r in got.collect()] == [(1, "aa  zz", "i", "s", {"k": 1}, "d")]
+    assert decontaminate.remove(docs.select("text"), bench, how="spans").collect()[0].text == "aa  zz"

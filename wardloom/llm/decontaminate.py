@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._columns import packed, unpacked
 from ._lineage import written
 from ._words import Texts, pieces, separators, small_batches, windows
 
@@ -219,12 +220,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, how: str = "docum
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             texts = [_cut(t, x) for t, x in zip(batch.column("text").to_pylist(), _joined(batch)[2], strict=True)]
-            batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-            yield batch.select(names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("rest")], ["text", "rest"])
 
     if how == "documents":
-        return _over(docs, blocks, n, clean)
-    return _over(_carrying(docs), blocks, n, _carried).mapInArrow(cut, docs.schema)
+        return unpacked(_over(packed(docs), blocks, n, clean), names)
+    rows = packed(docs)
+    return unpacked(_over(_carrying(rows), blocks, n, _carried).mapInArrow(cut, rows.schema), names)
 
 
 def _cut(text: str | None, spans: list[dict]) -> str | None:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._columns import packed, unpacked
 from ._words import Texts, pieces, small_batches
 
 BORDER = 0x20
@@ -108,17 +109,18 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nd
 
 def fit(docs: DataFrame, usable: Column, dims: int = 8192, per_language: int = 700, clusters: int = 4, slack: float = 0.5, least_grams: int = 50) -> Model | None:
     """Learns from the text and lang of the rows where ``usable``, of which it takes ``per_language`` for each language:
-    those whose ids hash lowest. That bounds what reaches the driver. Only texts of ``least_grams`` different n-grams or
+    those whose ids and texts hash lowest, rows that are equal in both counting once. That bounds what reaches the driver, and
+    holds for null and repeated ids as well. Only texts of ``least_grams`` different n-grams or
     more are clustered, if a language has any. None if there is nothing to learn from.
     """
     small_batches(docs.sparkSession)
-    rows = docs.where(usable & F.col("lang").isNotNull() & _letter()).select("text", "lang", F.xxhash64("doc_id", F.lit(11)).alias("h"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.where(usable & F.col("lang").isNotNull() & _letter()).select("text", "lang", F.xxhash64("doc_id", "text", F.lit(11)).alias("h"))
+    sizes = {r.lang: r.n for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     # A share of each language that gives about twice the rows wanted; the lowest of these are then taken exactly.
     share = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, 2 * per_language / n)))])
-    near = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) <= share[F.col("lang")])
+    near = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) <= share[F.col("lang")]).dropDuplicates(["lang", "h"])
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_language)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,13 +216,14 @@ def keep(docs: DataFrame, model: Model | None) -> DataFrame:
     some = docs.where(_letter())
     if model is None:
         return some
+    rows = packed(some)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 18, ROWS):
             yield batch.filter(pa.array(~shared.value.predict(batch.column("text"))[2]))
 
-    return some.mapInArrow(kept, docs.schema)
+    return unpacked(rows.mapInArrow(kept, rows.schema), docs.columns)
 
 
 def fold(doc_id: str, folds: int) -> Column:
