@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardloom.llm import bpe, decontaminate, jaccard, langid, secrets
 from wardloom.llm._lineage import cut, written
@@ -19,35 +20,48 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep(docs, langid.fit(docs, F.coalesce(langid.fold("doc_id", 3) != 1, F.lit(True))))
 
 
+def _ordered(kind: T.DataType) -> bool:
+    """Whether Spark can order values of a type: none with a map or a variant in it."""
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind)
+    return _ordered(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest document of each group that links of similarity 0.8 on 5-word shingles connect.
 
-    A document is a doc_id and a text. Of its rows one stays, with the smallest of the other columns. One without an id,
-    and each of an id but that of one text, stands by a number from its hash, from 2^62 up, so mostly after those with ids.
+    A document is a doc_id and a text. Of its rows one stays, with the smallest of the other columns (in their order; those
+    that have none, as maps, come last, as JSON). One without an id, and each of an id but that of one text, stands by a
+    number from its hash, from 2^62 up, so mostly after those with ids. Columns of any name and type stay as they are.
     """
+    rest = [f for f in docs.schema if f.name not in ("doc_id", "text")]
+    own = lambda fields: F.struct(*(F.col(f"`{f.name}`") for f in fields), F.lit(0).alias("none"))
+    plain, other = ([f for f in rest if _ordered(f.dataType) == wanted] for wanted in (True, False))
+    # All names but doc_id and text are ours from here.
+    source = docs.select("doc_id", "text", own(rest).alias("rest"), F.struct(own(plain), F.to_json(own(other))).alias("order"))
     h = F.xxhash64("text")
     # Ids of several texts, which have none as a rule.
-    shared = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__of")).agg(F.min(h).alias("__first"), F.max(h).alias("__last")).where("__first <> __last")
-    shared, rows, other = cut(shared), docs, F.col("doc_id").isNull()
+    shared = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.min(h).alias("first"), F.max(h).alias("last")).where("first <> last")
+    shared, rows, unnamed = cut(shared), source, F.col("doc_id").isNull()
     if not shared.isEmpty():
-        rows = docs.join(shared.hint("shuffle_hash"), F.col("doc_id") == F.col("__of"), "left")
-        other = other | F.coalesce(h != F.col("__first"), F.lit(False))
+        rows = source.join(shared.hint("shuffle_hash"), F.col("doc_id") == F.col("of"), "left")
+        unnamed = unnamed | F.coalesce(h != F.col("first"), F.lit(False))
     number = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    rows = rows.select(*docs.columns, F.when(other, number).otherwise(F.col("doc_id").cast("long")).alias("__id"))
-    found = jaccard.join(rows.select(F.col("__id").alias("doc_id"), "text"), 5, 8, 10).groupBy(F.col("doc_id").alias("__id"))
+    rows = rows.select(*source.columns, F.when(unnamed, number).otherwise(F.col("doc_id").cast("long")).alias("id"))
+    found = jaccard.join(rows.select(F.col("id").alias("doc_id"), "text"), 5, 8, 10).groupBy(F.col("doc_id").alias("id"))
     marks = cut(found.agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), (F.count("*") > 1).alias("many")).where("gone OR many"))
     # Only ids are hashed; the texts stream by.
-    kept = rows.join(marks.hint("shuffle_hash"), "__id", "left_anti").select(*docs.columns)
-    many = marks.where("NOT gone").select("__id")
-    if many.isEmpty():
-        return kept
-    rest = F.min(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("__none"))).alias("__rest")
-    one = rows.join(many.hint("shuffle_hash"), "__id", "left_semi").groupBy("doc_id", "text").agg(rest).select("doc_id", "text", "__rest.*")
-    return kept.unionByName(one.select(*docs.columns))
+    kept = rows.join(marks.hint("shuffle_hash"), "id", "left_anti").select("doc_id", "text", "rest")
+    many = marks.where("NOT gone").select("id")
+    if not many.isEmpty():
+        one = rows.join(many.hint("shuffle_hash"), "id", "left_semi").groupBy("doc_id", "text").agg(F.min_by("rest", "order").alias("rest"))
+        kept = kept.unionByName(one)
+    return kept.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold ten words in a row, or all, of a benchmark item."""
+    """Drops the documents that hold ten words in a row, or all, of a benchmark item. Each row is judged by itself, with
+    columns of any name; null and empty texts hold none and stay, and so does all of a corpus without benchmark items."""
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -61,7 +75,8 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, with the digests of the ids and of the text decoded from them."""
+    """The token ids of each row, repeated ones too, with the digests of the ids and of the text decoded from them: those of
+    the empty text for a null. Other columns are left out."""
     return bpe.digest(bpe.round_trip(docs, tokenizer()), "ids")
 
 
