@@ -168,8 +168,9 @@ def test_manifest(spark, tmp_path):
         manifest, found = stores.refreshed(readers.listing(spark, path, "*.x").select("path", "length", "modified"), kept, parse)
         return {os.path.basename(r.path): bytes(r.head) for r in manifest.collect()}, {os.path.basename(r.path): r.status for r in found.collect()}
 
-    write({"a.x": b"aaaa", "b.x": b"", "c.x": b"c"})
-    assert refresh() == ({"a.x": b"aaa", "b.x": b"", "c.x": b"c"}, {"a.x": "added", "b.x": "added", "c.x": "added"}) and read.value == 3
+    write({"a.x": b"aaaa", "b.x": b"b", "c.x": b"c", "empty.x": b""})
+    # An empty file is in no listing.
+    assert refresh() == ({"a.x": b"aaa", "b.x": b"b", "c.x": b"c"}, {"a.x": "added", "b.x": "added", "c.x": "added"}) and read.value == 3
     write({"b.x": b"bb"}, again=True)
     write({"d.x": b"d"})
     os.remove(f"{path}/c.x")

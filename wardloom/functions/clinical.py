@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import extract, lookup
+from .scalars import extract, lookup, strip
 
 # The code of a progression, the planes by the axis of a slice's normal, and the verdicts on a figure.
 PROGRESSION = {"improving": -1, "stable": 0, "worsening": 1}
@@ -48,7 +48,7 @@ def sex_of_flag(male: Column) -> Column:
 
 def view_of_parts(side: Column, projection: Column) -> Column:
     """LATERAL for a lateral side. Else AP or PA as the projection says, ``Frontal`` without one; null where they clash."""
-    known = F.upper(F.trim(projection)).isin("AP", "PA")
+    known = F.upper(strip(projection)).isin("AP", "PA")
     return F.when(F.lower(side) == "lateral", "LATERAL").when(F.coalesce(projection, F.lit("")) == "", "Frontal").when(known, projection)
 
 
@@ -113,7 +113,7 @@ def list_or_scalar(values: Column, scalar: Column) -> Column:
 
 def split_list(c: Column, separator: str = ";") -> Column:
     """The trimmed parts of a text that are not blank."""
-    return F.filter(F.transform(F.split(c, separator, -1), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, separator, -1), strip), lambda x: x != "")
 
 
 def findings(tokens: Column, wanted: str = "yes") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,50 @@ def bounds(r: Column, height: int, width: int) -> Column:
     bottom = F.array_max(F.transform(r, lambda x: F.when(spans(x), F.lit(height - 1).cast("long")).otherwise(x["last"] % height)))
     left, right = F.array_min(F.transform(r, lambda x: column(x["first"]))), F.array_max(F.transform(r, lambda x: column(x["last"])))
     return F.when(F.size(r) > 0, F.array(top / height, (bottom + 1) / height, left / width, (right + 1) / width))
+
+
+def runs_of_gaps(text: Column) -> Column:
+    """The runs of a text whose starts count from the end of the run before, from 0: ``encode(..., gaps=True)`` undone."""
+    numbers = F.transform(F.filter(F.split(text, r"\s+"), lambda x: x != ""), lambda x: x.cast("long"))
+    step = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("runs"))
+    pairs = F.transform(F.sequence(F.lit(1), (F.size(numbers) / 2).cast("int")), lambda i: F.struct(F.get(numbers, 2 * i - 2).alias("gap"), F.get(numbers, 2 * i - 1).alias("n")))
+
+    def add(s: Column, x: Column) -> Column:
+        first = s["at"] + x["gap"]
+        end = first + x["n"]
+        return F.struct(end.alias("at"), F.concat(s["runs"], F.array(F.struct(first.alias("first"), (end - 1).alias("last")))).alias("runs"))
+
+    return F.when(F.coalesce(F.size(numbers) >= 2, F.lit(False)), F.aggregate(pairs, step, add, lambda s: s["runs"])).otherwise(step["runs"])
+
+
+def pixel_runs(pixels: DataFrame, key: list[str], pixel: str = "pixel", stretch: int = 1 << 16) -> DataFrame:
+    """key, first and last of every run of adjacent pixels, from 0. Null pixels and repeated ones do not count.
+
+    Pixels are dealt by key and stretch of the mask: in each, a pixel less its place is the same along a run. Runs of
+    stretches that meet at a border are then joined, so what one task sorts of a mask is a stretch, or its runs.
+    """
+    rows = pixels.where(F.col(pixel).isNotNull()).select(*key, F.col(pixel).cast("long").alias("__p"), F.floor(F.col(pixel) / stretch).alias("__s")).distinct()
+    island = F.col("__p") - F.row_number().over(Window.partitionBy(*key, "__s").orderBy("__p"))
+    parts = rows.withColumn("__i", island).groupBy(*key, "__s", "__i").agg(F.min("__p").alias("first"), F.max("__p").alias("last"))
+    along = Window.partitionBy(*key).orderBy("first")
+    begins = F.coalesce(F.col("first") != F.lag("last").over(along) + 1, F.lit(True)).cast("int")
+    nth = parts.withColumn("__b", begins).withColumn("__r", F.sum("__b").over(along))
+    return nth.groupBy(*key, "__r").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("__r")
+
+
+def encode(pixels: DataFrame, keys: DataFrame, key: list[str], pixel: str = "pixel", gaps: bool = False, stretch: int = 1 << 16) -> DataFrame:
+    """key and ``mask`` of every row of ``keys`` (one for each mask): the runs of its pixels as text, ``-1`` without any.
+
+    Pixels count from 0, column by column. A run is its first pixel, from 1, and its length, as ``runs`` reads them; with
+    ``gaps``, the pixels since the end of the run before, from 0, as ``runs_of_gaps`` does. Null is a key like others.
+    """
+    found = pixel_runs(pixels, key, pixel, stretch)
+    if gaps:
+        before = F.coalesce(F.lag("last").over(Window.partitionBy(*key).orderBy("first")) + 1, F.lit(0))
+        found = found.withColumn("start", F.col("first") - before)
+    else:
+        found = found.withColumn("start", F.col("first") + 1)
+    item = F.struct("first", F.concat_ws(" ", F.col("start").cast("string"), (F.col("last") - F.col("first") + 1).cast("string")).alias("run"))
+    texts = found.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key))).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["run"]), " ").alias("mask"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
+    return keys.join(texts, same, "left").select(*(F.col(k) for k in key), F.coalesce("mask", F.lit("-1")).alias("mask"))

@@ -48,7 +48,7 @@ def snake(c: Column) -> Column:
 
 def box_label(c: Column) -> Column:
     """Lower case, trimmed, each run of white space one underscore."""
-    return F.regexp_replace(F.trim(F.lower(c)), r"\s+", "_")
+    return F.regexp_replace(strip(F.lower(c)), f"(?U){SPACES}", "_")
 
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
@@ -230,10 +230,21 @@ def _section(cut: Column, section: str) -> Column:
     return F.regexp_replace(walked, r"(?s)\n[ \t]*\n.*", "") if section == "indication" else walked
 
 
+def _body(cut: Column, note: Column) -> Column:
+    """What follows the first header of findings or impression; without one the note."""
+    main = lambda p: p["header"].isin("FINDING", "IMPRESSION", "CONCLUSION")
+    rest = F.aggregate(
+        cut, F.struct(F.lit(False).alias("on"), F.lit("").alias("out")),
+        lambda s, p: F.when(s["on"], F.struct(F.lit(True).alias("on"), F.concat(s["out"], p["raw"]).alias("out"))).when(main(p), F.struct(F.lit(True).alias("on"), p["body"].alias("out"))).otherwise(s),
+        lambda s: s["out"],
+    )
+    return F.when(F.exists(cut, main), rest).otherwise(note)
+
+
 def report_section(c: Column, section: str) -> Column:
     """A section of a report as one line. findings and impression stand in for each other, both joins them, full is the
-    whole note; without these headers they are the note. indication, up to a blank line, stands alone. A blank note and
-    a missing indication give ''."""
+    whole note; without these headers they are the note, and where these are there with nothing to say, what follows the
+    first of them. indication, up to a blank line, stands alone. A blank note and a missing indication give ''."""
     if section not in (*SECTIONS, "both", "full"):
         raise ValueError(f"section must be findings, impression, both, indication or full, not {section!r}")
     text = F.coalesce(c, F.lit(""))
@@ -246,8 +257,8 @@ def report_section(c: Column, section: str) -> Column:
             return found(section)
         if section == "both":
             got = squeeze(F.concat_ws(" ", found("findings"), found("impression")))
-            return F.when(got != "", got).otherwise(squeeze(text))
+            return F.when(got != "", got).otherwise(squeeze(_body(p["cut"], text)))
         other = "impression" if section == "findings" else "findings"
-        return F.coalesce(F.nullif(found(section), F.lit("")), F.nullif(found(other), F.lit("")), squeeze(text))
+        return F.coalesce(F.nullif(found(section), F.lit("")), F.nullif(found(other), F.lit("")), squeeze(_body(p["cut"], text)))
 
     return bound(chosen, cut=pieces(text))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
-from ..functions.scalars import is_blank
+from ..functions.scalars import is_blank, strip
 
 # The order of a contract table.
 REQUIRED = ["patient_id", "study_id", "image_path"]
@@ -87,9 +87,14 @@ def first_row(df: DataFrame, keys: list[str], order: list[Column | str]) -> Data
 
 
 def first_known(df: DataFrame, keys: list[str], order: list[Column | str], column: str, name: str) -> DataFrame:
-    """Adds the first value of the key that is not null."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumn(name, F.first(column, ignorenulls=True).over(w))
+    """Adds the first value of the key that is not null; a key without one has null. Null is a key of its own.
+
+    Each task finds its own first rows before the shuffle, so a key with very many rows is no large group.
+    """
+    first = first_row(df.where(F.col(column).isNotNull()).select(*keys, *(c for c in df.columns if c not in keys)), keys, order)
+    first = first.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(column).alias(name))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    return df.drop(name).join(first, same, "left").drop(*(f"__k{i}" for i in range(len(keys))))
 
 
 def star(fact: DataFrame, dimensions: Iterable[tuple[DataFrame, str]]) -> DataFrame:
@@ -151,13 +156,15 @@ def number_groups(df: DataFrame, group: str, position: str, ranges: int = 64) ->
 
 def places(df: DataFrame, order: list[Column], lead: list[str], position: str, ranges: int = 64) -> DataFrame:
     """Adds ``place``, from 1, of each row in ``order``: the columns ``lead``, in any direction, then ``position``, a number
-    that rises, then what breaks ties.
+    that rises, then what breaks ties. Nulls of the position come first or last, as its order says.
 
     Rows are dealt by lead and ranges of position and numbered inside each, after the counts of what comes before, so that
     no task sorts them all. Bounds from approximate quantiles only change how even the ranges are.
     """
     marks = sorted(set(df.approxQuantile(position, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
     at = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < F.col(position))) if marks else F.lit(0)
+    last = "NULLS LAST" in str(order[len(lead)]).upper()
+    at = F.when(F.col(position).isNull(), len(marks) + 1 if last else -1).otherwise(at)
     rows, keys = df.withColumn("__r", at), [*lead, "__r"]
     before = F.sum("__n").over(Window.orderBy(*order[: len(lead)], "__r").rowsBetween(Window.unboundedPreceding, -1))
     # A row for each lead and range is what goes through one task here.
@@ -165,7 +172,7 @@ def places(df: DataFrame, order: list[Column], lead: list[str], position: str, r
     parts = parts.select("__before", *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)))
     rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
-    return rows.join(parts, same).select(*df.columns, (F.col("__before") + F.col("__i")).cast("long").alias("place"))
+    return rows.join(parts, same).select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__before") + F.col("__i")).cast("long").alias("place"))
 
 
 def pivot_complete(df: DataFrame, row: str, column: str, value: str, names: list[str]) -> DataFrame:
@@ -208,7 +215,7 @@ def flat_numbers(value: Column, kind: StructType, prefix: str = "") -> list[Colu
 
 
 def visits(df: DataFrame, patient: str, date: str) -> DataFrame:
-    """Adds ``visit_number``, from 1 by distinct dates of the patient, and ``days_from_first``; null without a date.
+    """Adds ``visit_number``, from 1 by distinct dates of the patient, and ``days_from_first``; null without a date or without a patient.
 
     The dates of a patient are numbered, not the rows, so a patient with very many images is no large group.
     """
@@ -252,4 +259,4 @@ def file_status(expected: DataFrame, files: DataFrame, key: str, readable: Colum
 
 def keep_positives(df: DataFrame, finding: str, controls: Iterable[str] = ("no finding", "normal")) -> DataFrame:
     """Rows with a finding that is not a control; the number of boxes says nothing about that."""
-    return df.where(F.col(finding).isNotNull() & ~F.lower(F.trim(finding)).isin(*controls))
+    return df.where(F.col(finding).isNotNull() & ~F.lower(strip(F.col(finding))).isin(*controls))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes, scalars
+from ..operators import guards
 from ..operators import relational as R
 
 Hook = Callable[[DataFrame], DataFrame]
@@ -50,7 +51,8 @@ class Spec:
 
 
 def harmonize(source: DataFrame, spec: Spec, studies: Iterable | DataFrame | None = None, patients: Iterable | DataFrame | None = None) -> DataFrame:
-    """The contract table of a source: a lazy plan in which filters by id reach the scan."""
+    """The contract table of a source: a lazy plan in which filters by id reach the scan. No job runs while it is built; a
+    key that a joined table has twice stops the query."""
     df = source
     for hook in spec.hooks:
         df = hook(df)
@@ -60,7 +62,7 @@ def harmonize(source: DataFrame, spec: Spec, studies: Iterable | DataFrame | Non
     if patients is not None:
         df = R.keep_ids(df, "patient_id", patients)
     for j in spec.joins:
-        df = R.join_unique(df, j.table, list(j.on), j.how, j.what)
+        df = guards.join_unique(df, j.table, list(j.on), j.how, j.what)
     new: dict[str, Column] = {}
     if spec.series:
         new["series_id"] = F.col(spec.series).cast("string")

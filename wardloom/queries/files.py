@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as X
 from ..operators import evaluation as E
+from ..operators import guards as G
 from ..operators import relational as R
 from ..sources import readers, scratch
 from .base import query, r6, table
@@ -104,7 +105,7 @@ def jn06_left_join_of_same_length(spark, d):
 @query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def jn09_mapping_with_rows(spark, d):
     joined = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return R.require_rows(joined.select("s_suppkey", "n_name"), "suppliers by nation")
+    return G.require_rows(joined.select("s_suppkey", "n_name"), "suppliers by nation")
 
 
 @query("SELECT doc_id, l.toxic = l.quality AS agree, b.item_id IS NOT NULL AS has_item FROM documents JOIN labels l USING (doc_id) LEFT JOIN (SELECT DISTINCT item_id FROM benchmark) b ON b.item_id::VARCHAR = doc_id::VARCHAR")
@@ -165,3 +166,42 @@ def sb02_question_samples(spark, d):
 def sk13_failures_by_label(spark, d):
     v = F.col("value")
     return table(spark, d, "events").groupBy(F.col("event_type").alias("label")).agg(F.count("*").alias("n"), F.count_if(v > 10).alias("n_failed"), F.count_if(v > 50).alias("n_hard"))
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_brand END AS p_brand, p_size::BIGINT AS p_size FROM part")
+def sc07_csv_files_united_by_name(spark, d):
+    """Files of one table whose columns stand in three orders, one of them with a column less."""
+    path, p = scratch.folder(spark), table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_size")
+    for i, columns in enumerate((["p_size", "p_partkey", "p_name"], ["p_name", "p_brand", "p_partkey", "p_size"], ["p_partkey", "p_size", "p_brand", "p_name"])):
+        p.where(F.col("p_size") % 3 == i).select(columns).write.mode("append").options(**CSV).csv(path)
+    return readers.csv_by_name(spark, path, "p_partkey long, p_name string, p_brand string, p_size long", lines=True)
+
+
+@query("""SELECT event_id, regexp_replace(regexp_replace(lower(t), '^\\s+|\\s+$', '', 'g'), '\\s+', '_', 'g') AS label FROM
+  (SELECT event_id, chr(9) || ' ' || event_type || chr(10) || ' ' || event_id || chr(13) || chr(10) AS t FROM events)""")
+def fs02_box_labels(spark, d):
+    label = F.concat(F.lit("\t "), "event_type", F.lit("\n "), F.col("event_id").cast("string"), F.lit("\r\n"))
+    return table(spark, d, "events").select("event_id", S.box_label(label).alias("label"))
+
+
+@query("""SELECT doc_id, CASE WHEN n % 3 = 0 THEN '' ELSE x END AS findings, CASE WHEN n % 3 = 0 THEN '' ELSE x END AS impression FROM
+  (SELECT doc_id, length(text) AS n, 'n' || length(text) || ' ' || coalesce(lang, 'none') AS x FROM documents)""")
+def fs20_empty_sections(spark, d):
+    """Notes whose sections are there with nothing in them, which give no text, beside notes with one."""
+    x, n = F.concat(F.lit("n"), F.char_length("text").cast("string"), F.lit(" "), F.coalesce("lang", F.lit("none"))), F.char_length("text")
+    note = F.when(n % 3 == 0, F.lit("TECHNIQUE: one view.\nFINDINGS:\n \n")).when(n % 3 == 1, F.concat(F.lit("HISTORY: none\nFINDINGS:  "), x, F.lit("\n"))).otherwise(F.concat(F.lit("EXAMINATION: a\nFINDINGS:\nIMPRESSION:\n"), x))
+    return table(spark, d, "documents").select("doc_id", note.alias("t")).select("doc_id", *(S.report_section(F.col("t"), s).alias(s) for s in ("findings", "impression")))
+
+
+@query("""SELECT count(*) AS n_rows, count(o_clerk_of) AS known_customer, count(*) FILTER (l_linenumber = 1) AS known_first, 'column ''l_comment'' was asked for and is not there' AS warning
+  FROM (SELECT l_linenumber, o_custkey AS o_clerk_of FROM lineitem JOIN orders ON o_orderkey = l_orderkey)""")
+def qg04_counts_while_a_query_runs(spark, d):
+    """Lines with their order, each of which must be there; what is counted comes from the one run that writes them."""
+    orders = table(spark, d, "orders", F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer"))
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber").withColumn("first", F.when(F.col("l_linenumber") == 1, F.lit(True)))
+    joined = G.join_required(lines, orders, ["l_orderkey"], "orders")
+    missing, metrics = G.warnings(joined, ["customer", "first", "l_comment"])
+    rows, seen = G.observed(joined, **metrics)
+    rows.write.parquet(scratch.folder(spark))
+    found = seen.get
+    return spark.createDataFrame([(*(found[k] for k in ("n_rows", "known_customer", "known_first")), missing[0])], "n_rows long, known_customer long, known_first long, warning string")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import guards as G
 from ..operators import relational as R
 from ..plans import harmonizer as H
 from .base import query, table
@@ -135,13 +136,13 @@ def jn02_duplicate_keys(spark, d):
 @query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
 def jn01_guarded_inner_joins(spark, d):
     people = table(spark, d, "customer", F.col("c_custkey").alias("o_custkey"), "c_name", F.col("c_nationkey").alias("n_nationkey"))
-    df = R.join_unique(table(spark, d, "orders", "o_orderkey", "o_custkey"), people, ["o_custkey"], what="customers")
-    return R.join_unique(df, table(spark, d, "nation", "n_nationkey", "n_name"), ["n_nationkey"], what="nations").select("o_orderkey", "c_name", "n_name")
+    df = G.join_unique(table(spark, d, "orders", "o_orderkey", "o_custkey"), people, ["o_custkey"], what="customers")
+    return G.join_unique(df, table(spark, d, "nation", "n_nationkey", "n_name"), ["n_nationkey"], what="nations").select("o_orderkey", "c_name", "n_name")
 
 
 @query("SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
 def jn04_left_label_join(spark, d):
-    return R.join_unique(table(spark, d, "documents", "doc_id", "lang"), table(spark, d, "labels", "doc_id", "quality", "toxic"), ["doc_id"], "left")
+    return G.join_unique(table(spark, d, "documents", "doc_id", "lang"), table(spark, d, "labels", "doc_id", "quality", "toxic"), ["doc_id"], "left")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

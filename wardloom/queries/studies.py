@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import masks
 from ..operators import relational as R
+from ..operators import stratify
 from .base import query, table
 
 
@@ -88,3 +90,37 @@ def fa13_label_for_each_box(spark, d):
     n = F.coalesce(F.size("boxes"), F.lit(0))
     rows = table(spark, d, "orders", "o_orderkey").join(lines, "o_orderkey", "left").select("o_orderkey", F.greatest(n, F.lit(0)).alias("n"))
     return rows.select("o_orderkey", F.concat_ws("", F.array_repeat(F.lit("lung_opacity;"), F.col("n"))).alias("labels"), "n")
+
+
+_FLAGS = "(SELECT doc_id, quality, toxic, (lang = 'en')::INT AS en, (source = (SELECT min(source) FROM documents))::INT AS own FROM labels LEFT JOIN documents USING (doc_id))"
+
+
+@query(f"""SELECT part, label, n_all, true AS near FROM (SELECT unnest(range(4))::INT AS part), (
+  SELECT label, coalesce(sum(v) FILTER (v = 1), 0)::BIGINT AS n_all FROM (UNPIVOT {_FLAGS} ON quality, toxic, en, own INTO NAME label VALUE v) GROUP BY 1)""")
+def st13_stratified_parts(spark, d):
+    """Labelled documents in four parts of 10, 20, 30 and 40 percent: the labels' rows of each part are within two of their share."""
+    docs = table(spark, d, "documents", "doc_id", "lang", "source")
+    least = docs.agg(F.min("source").alias("least"))
+    flags = table(spark, d, "labels").join(docs, "doc_id", "left").join(F.broadcast(least))
+    labels, shares = ["quality", "toxic", "en", "own"], [0.1, 0.2, 0.3, 0.4]
+    flags = flags.select("doc_id", "quality", "toxic", (F.col("lang") == "en").cast("int").alias("en"), (F.col("source") == F.col("least")).cast("int").alias("own"))
+    parts = stratify.stratified(flags, "doc_id", labels, shares)
+    counts = parts.groupBy("part").agg(*(F.count_if(F.col(c) == 1).alias(c) for c in labels)).unpivot("part", labels, "label", "n")
+    totals = counts.groupBy("label").agg(F.sum("n").alias("n_all"))
+    share = F.get(F.array(*map(F.lit, shares)), "part")
+    return counts.join(totals, "label").select("part", "label", "n_all", (F.abs(F.col("n") - F.col("n_all") * share) <= 2).alias("near"))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey, (l_partkey % 40) * 30 + unnest(range(l_linenumber, l_linenumber + 1 + l_suppkey % 50)) AS p FROM lineitem),
+r AS (SELECT l_orderkey, p, p - row_number() OVER (PARTITION BY l_orderkey ORDER BY p) AS i FROM p),
+s AS (SELECT l_orderkey, min(p) AS a, count(*) AS n FROM r GROUP BY l_orderkey, i),
+m AS (SELECT l_orderkey, string_agg((a + 1) || ' ' || n, ' ' ORDER BY a) AS mask, sum(n)::BIGINT AS area FROM s GROUP BY 1)
+SELECT o_orderkey, coalesce(mask, '-1') AS mask, coalesce(area, 0) AS area, true AS same FROM orders LEFT JOIN m ON l_orderkey = o_orderkey""")
+def ud04_masks_encoded(spark, d):
+    """Lines as runs of pixels, drawn and encoded, and decoded again in both forms."""
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders", "o_orderkey")
+    first = (F.col("l_partkey") % 40) * 30 + F.col("l_linenumber")
+    pixels = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.explode(F.sequence(first, first + F.col("l_suppkey") % 50)).alias("pixel"))
+    plain, gaps = masks.encode(pixels, orders, ["o_orderkey"]), masks.encode(pixels, orders, ["o_orderkey"], gaps=True, stretch=64)
+    both = plain.join(gaps.withColumnRenamed("mask", "gaps"), "o_orderkey").select("o_orderkey", "mask", masks.runs(F.col("mask")).alias("a"), masks.runs_of_gaps(F.col("gaps")).alias("b"))
+    return both.select("o_orderkey", "mask", masks.area(F.col("a")).alias("area"), (F.col("a") == F.col("b")).alias("same"))

@@ -9,6 +9,7 @@ from ..functions import boxes as B
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import evaluation as E
+from ..operators import guards as G
 from ..operators import relational as R
 from .base import query, r6, table
 
@@ -111,7 +112,7 @@ def jn03_sub_tables(spark, d):
     views = people.join(table(spark, d, "nation", F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
     df = table(spark, d, "orders", "o_orderkey", "o_custkey")
     for part in (people.select(key, F.col("c_mktsegment").alias("label")), people.where("c_acctbal > 0").select(key, F.col("c_acctbal").alias("age")), views.select(key, F.col("n_name").alias("view"))):
-        df = R.join_unique(df, part, ["o_custkey"])
+        df = G.join_unique(df, part, ["o_custkey"])
     return df.drop("o_custkey")
 
 
@@ -119,19 +120,19 @@ def jn03_sub_tables(spark, d):
 def jn05_reports_of_what_is_left(spark, d):
     left = table(spark, d, "labels").where("quality = 1").select("doc_id")
     reports = table(spark, d, "documents", "doc_id", "text").join(left, "doc_id", "left_semi").select("doc_id", F.when(F.trim("text") != "", F.char_length("text")).alias("n"))
-    return R.join_unique(left, reports, ["doc_id"], "left", "reports")
+    return G.join_unique(left, reports, ["doc_id"], "left", "reports")
 
 
 @query("SELECT s_suppkey, s_name, c_name FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey AND c_nationkey < 20")
 def jn07_one_to_one(spark, d):
     other = table(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("s_suppkey"), "c_name")
-    return R.join_one_to_one(table(spark, d, "supplier", "s_suppkey", "s_name"), other, ["s_suppkey"], "customers")
+    return G.join_one_to_one(table(spark, d, "supplier", "s_suppkey", "s_name"), other, ["s_suppkey"], "customers")
 
 
 @query("SELECT c_custkey, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def jn14_required_lookup(spark, d):
     nations = table(spark, d, "nation", F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return R.join_required(table(spark, d, "customer", "c_custkey", "c_nationkey"), nations, ["c_nationkey"], "nations").drop("c_nationkey")
+    return G.join_required(table(spark, d, "customer", "c_custkey", "c_nationkey"), nations, ["c_nationkey"], "nations").drop("c_nationkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem f WHERE EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = f.l_orderkey AND b.l_quantity > 30) AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = f.l_orderkey AND b.l_linenumber = f.l_linenumber AND b.l_quantity > 30)")

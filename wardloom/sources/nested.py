@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import strip
+
 
 def object_rows(df: DataFrame, column: str, value: str) -> DataFrame:
     """A row for each entry of a JSON object: the other columns, ``key`` and the fields of the record."""
@@ -41,8 +43,8 @@ def name_fields(path: Column, pattern: str, names: list[str]) -> Column:
 
 def clinical_note(text: Column) -> Column:
     """sex (M, F), age (years) and finding of a note such as ``male 45yrs`` over lines of findings; what is not there is null."""
-    first = F.lower(F.get(F.split(F.trim(text), r"\s*\n\s*"), F.lit(0)))
+    first = F.lower(F.get(F.split(strip(text), r"\s*\n\s*"), F.lit(0)))
     age = F.nullif(F.regexp_extract(first, r"(\d{1,3})\s*(?:yrs?|years?|y)\b", 1), F.lit("")).cast("double")
-    rest = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^[^\n]*\n?", ""), r"\s+", " "))
+    rest = F.trim(F.regexp_replace(F.regexp_replace(strip(text), r"^[^\n]*\n?", ""), r"\s+", " "))
     sex = F.when(first.rlike(r"\bfemale\b"), "F").when(first.rlike(r"\bmale\b"), "M")
     return F.struct(sex.alias("sex"), age.alias("age"), F.nullif(rest, F.lit("")).alias("finding"))

@@ -6,12 +6,14 @@ what Spark's readers can open is read, so an input may be in any store.
 
 from __future__ import annotations
 
+import csv as csv_module
 import io
 import json
 import os
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import no_nan
+from ..functions.scalars import no_nan, strip
 
 
 # The words of a text table that stand for nothing.
@@ -36,9 +38,10 @@ def csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType |
 
     Fields may be quoted, with quotes doubled inside and line breaks in them; the words in ``MISSING`` are null, quoted
     or not, and so is what cannot be read as the declared type. ``names`` replaces the header by position; ``columns``
-    prunes the scan. A file with line breaks in its fields cannot be split: without any, ``lines=True`` reads it in parts.
+    prunes the scan. Without ``names`` all files must have one header (that of the schema, if there is one), or the query
+    stops; ``csv_by_name`` unites files of several. A file with line breaks in its fields cannot be split: without any, ``lines=True`` reads it in parts.
     """
-    reader = spark.read.options(header=True, sep=sep, multiLine=not lines, quote='"', escape='"', enforceSchema=True, inferSchema=False)
+    reader = spark.read.options(header=True, sep=sep, multiLine=not lines, quote='"', escape='"', enforceSchema=names is not None, inferSchema=False)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     if names is None and schema is not None:
@@ -50,6 +53,34 @@ def csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType |
     return clean(df.select(*((x.try_cast(kinds[c]) if c in kinds and kinds[c] != T.StringType() else x).alias(c) for c, x in known.items())))
 
 
+def csv_by_name(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None, columns: list[str] | None = None, sep: str = ",", lines: bool = False) -> DataFrame:
+    """Many CSV files whose headers differ in order, or have more or fewer columns, united by name.
+
+    The headers are read first, in one pass over the first lines; files of one header are one scan. A column that a file does
+    not have is null there; without ``columns`` or a schema, columns come in the order of their first header, headers by path.
+    Types are those of the schema, else text. Values of equal names in two columns of a file cannot be told apart: it raises.
+    """
+    first = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    heads = first.where("at = 0").groupBy("file").agg(F.min_by("line", "row").alias("line"))
+    # What comes here is a row for each header, with the names of its files, which a scan lists on the driver anyway.
+    groups = heads.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    parts, names = [], list(columns or (kinds.names if kinds is not None else []))
+    for g in sorted(groups, key=lambda g: g.files[0]):
+        own = next(csv_module.reader([g.line.removeprefix("\ufeff")], delimiter=sep))
+        if len(set(own)) < len(own):
+            raise ValueError(f"{g.files[0]} has a column twice: {own}")
+        names += [] if columns or kinds is not None else [c for c in own if c not in names]
+        part = csv(spark, g.files, names=own, columns=[c for c in own if not names or c in names], sep=sep, lines=lines)
+        parts.append(part)
+    if not parts:
+        return spark.createDataFrame([], kinds if kinds is not None else T.StructType([T.StructField(c, T.StringType()) for c in names]))
+    cast = {f.name: f.dataType for f in kinds} if kinds is not None else {}
+    shaped = [p.select(*((F.col(f"`{c}`") if c in p.columns else F.lit(None).cast("string")).alias(c) for c in names)) for p in parts]
+    whole = reduce(DataFrame.unionByName, shaped)
+    return clean(whole.select(*(F.col(f"`{c}`").try_cast(cast[c]).alias(c) if c in cast and cast[c] != T.StringType() else F.col(f"`{c}`") for c in names)))
+
+
 def ragged_tsv(spark: SparkSession, path: str, least: int) -> DataFrame:
     """Lines with at least so many fields, as ``fields`` array<string>."""
     return spark.read.text(path).select(F.split("value", "\t", -1).alias("fields")).where(F.size("fields") >= least)
@@ -87,11 +118,11 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 
 def lines(spark: SparkSession, path: str, name: str = "id") -> DataFrame:
     """An allow-list, an id in each line that is not blank."""
-    return spark.read.text(path).select(F.trim("value").alias(name)).where(F.col(name) != "")
+    return spark.read.text(path).select(strip(F.col("value")).alias(name)).where(F.col(name) != "")
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """Files as rows: path, name, folder, length, modified. No content is read."""
+    """Files as rows: path, name, folder, length, modified. No content is read. Empty files are left out, as Spark plans no read of them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(path)
     name = F.regexp_replace("path", "^.*/", "")
     return files.select("path", name.alias("name"), F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "length", F.col("modificationTime").alias("modified"))
