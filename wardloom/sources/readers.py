@@ -103,7 +103,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def json_object(spark: SparkSession, path: str, value: str) -> DataFrame:
     """A file that holds one JSON object of records: ``key`` and ``value`` of each."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", f"map<string,{value}>"))).select("key", "value")
 
 
@@ -111,9 +111,9 @@ def xml(spark: SparkSession, path: str, row_tag: str, schema: str | T.StructType
     return clean(spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path))
 
 
-def texts(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files: path and text."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def texts(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """Whole files: path and text; with ``recursive`` those of all folders below too."""
+    return spark.read.option("recursiveFileLookup", recursive).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def lines(spark: SparkSession, path: str, name: str = "id") -> DataFrame:
