@@ -31,3 +31,33 @@ def test_packed_signatures():
     key = r.integers(0, 1 << 63, len(who)).astype(np.uint64) * np.uint64(2)
     got, ids = jaccard._unpacked(jaccard._packed(key, who))
     assert (ids == who).all() and (got == key % np.uint64(1 << 48)).all()
+
+
+def test_small_tiles_and_narrow_blocks(spark):
+    """A cluster that falls into many blocks of bytes, and sets that meet many others in several tiles."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for k in rng.sample(range(60), rng.randrange(0, 4)):
+            words[k] = f"x{rng.randrange(5)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"y{rng.randrange(30)}" for _ in range(60)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs, 3, 9, 10, tile_rows=5, block_bytes=1, block_rows=200).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j]):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in range(len(sets))}

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._lineage import cut, written
@@ -218,7 +218,7 @@ def near_sketches(sketch: np.ndarray, size: np.ndarray, component: np.ndarray, l
     return pairs[0], pairs[1]
 
 
-def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10, tile_rows: int = 512, tile_bytes: int = 16 << 20, block_rows: int = 8192, least_parts: int = 48) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10, tile_rows: int = 512, tile_bytes: int = 16 << 20, block_rows: int = 8192, block_bytes: int = 32 << 20, least_parts: int = 48) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each document.
 
     Two documents link when the Jaccard similarity of their sets of n-word shingles is numerator / denominator or more.
@@ -297,7 +297,7 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
         ids, side, size, component = (np.asarray(table.column(c)) for c in ("doc_id", "side", "n", "component"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
         left, right = near_sketches(sketch, size, component, np.flatnonzero(side == 1), np.flatnonzero(side == 2), numerator, denominator)
-        return pa.table({"a": pa.array(ids[left]), "b": pa.array(ids[right])})
+        return pa.table({"a": pa.array(ids[left]), "b": pa.array(ids[right]), "n": pa.array(size[right])})
 
     entries = source.mapInArrow(signed, "shard int, entries binary")
     # The stars of pieces go with a salt each; a shard meets as one group.
@@ -305,7 +305,10 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
     edges = salted.groupBy("shard", "salt").applyInArrow(meet, "a long, b long")
     clusters = cut(components(edges))
     member = classes.select(F.col("class").alias("doc_id"), "n").join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-    small, large = _dealt_members(member, bounds, numerator, denominator, tile_rows, tile_bytes, block_rows)
+    # A block of sketches is held to rows and to bytes: sketches are wider in the bands of larger sets.
+    tops = [(bounds[b + 1] if b + 1 < len(bounds) else bounds[b] + 1) - 1 for b in range(len(bounds))]
+    rows_of = F.get(F.array(*(F.lit(max(64, min(block_rows, block_bytes // (8 * _width(t, numerator, denominator))))) for t in tops)), "band")
+    small, large = _dealt_members(member, bounds, numerator, denominator, tile_rows, tile_bytes, rows_of)
     parts = max(256, n_docs // 1000)
 
     def compared(table: pa.Table) -> pa.Table:
@@ -342,15 +345,18 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
 
         def verified(tiles: DataFrame) -> DataFrame:
             """The links among the sets that meet in tiles (doc_id, band, part, side, component)."""
-            pairs = cut(tiles.join(sketches.hint("shuffle_hash"), ["doc_id", "band"]).groupBy("tile").applyInArrow(possible, "a long, b long").distinct())
-            # One set meets those that it may link with, dealt into as many tiles as keep each small.
-            tile = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16)))
-            sides = pairs.select(F.col("a").alias("doc_id"), tile.alias("tile"), F.lit(1).alias("side")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id"), tile.alias("tile"), F.lit(2).alias("side")))
+            pairs = cut(tiles.join(sketches.hint("shuffle_hash"), ["doc_id", "band"]).groupBy("tile").applyInArrow(possible, "a long, b long, n long").distinct())
+            # One set meets those that it may link with, dealt into as many tiles as keep each small, by number and by shingles.
+            most = F.greatest(F.count("*") / tile_rows, F.sum("n") * 8 / tile_bytes)
+            tiles_of = cut(pairs.groupBy("a").agg(F.ceil(most).alias("tiles")))
+            tile = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("tiles")))
+            dealt = pairs.join(tiles_of.hint("shuffle_merge"), "a")
+            sides = dealt.select(F.col("a").alias("doc_id"), tile.alias("tile"), F.lit(1).alias("side")).distinct().unionByName(dealt.select(F.col("b").alias("doc_id"), tile.alias("tile"), F.lit(2).alias("side")))
             return met(few.join(sides, "doc_id").withColumn("part", F.pmod("tile", F.lit(parts))))
 
         reached = cut(components(verified(_stars_of(large))))
         known = cut(large.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-        links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(verified(_rest_tiles(known, _rest(known), block_rows)))
+        links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(verified(_rest_tiles(known, _rest(known), rows_of)))
     found = components(links)
     answer = cut(classes.join(found.select(F.col("node").alias("class"), "component"), "class", "left").select("fa", "fb", F.coalesce("component", "class").alias("component_id")))
     done = sets.join(answer, ["fa", "fb"], "left")
@@ -393,14 +399,14 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), np.repeat(ids, counts)
 
 
-def _dealt_members(member: DataFrame, bounds: list[int], numerator: int, denominator: int, tile_rows: int, tile_bytes: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+def _dealt_members(member: DataFrame, bounds: list[int], numerator: int, denominator: int, tile_rows: int, tile_bytes: int, rows_of: Column) -> tuple[DataFrame, DataFrame]:
     """The sets of each cluster by band, (doc_id, cluster, band): those that fit one tile, and the others, with blocks."""
     band = lambda n: sum((F.when(n >= b, 1).otherwise(0) for b in bounds), F.lit(0)) - 1
     wide = F.sequence(band(F.col("n")), band(F.floor(F.col("n") * denominator / numerator)))
     dealt = cut(member.select("doc_id", "n", "cluster", F.explode(wide).alias("band")))
     sizes = dealt.groupBy("cluster", "band").agg(F.count("*").alias("k"), F.sum("n").alias("shingles")).where("k > 1")
     fits = (F.col("k") <= tile_rows) & (F.col("shingles") * 8 <= tile_bytes)
-    sizes = sizes.select("cluster", "band", fits.alias("fits"), F.ceil(F.col("k") / block_rows).cast("int").alias("blocks"))
+    sizes = sizes.select("cluster", "band", fits.alias("fits"), F.ceil(F.col("k") / rows_of).cast("int").alias("blocks"))
     placed = cut(dealt.drop("n").join(sizes, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(41)), F.col("blocks")).cast("int")))
     return placed.where("fits"), placed.where("NOT fits").drop("fits")
 
@@ -420,9 +426,9 @@ def _rest(known: DataFrame) -> DataFrame:
     return known.join(most, ["cluster", "band"]).where("component <> main").drop("main", "block")
 
 
-def _rest_tiles(known: DataFrame, rest: DataFrame, block_rows: int) -> DataFrame:
+def _rest_tiles(known: DataFrame, rest: DataFrame, rows_of: Column) -> DataFrame:
     """Tiles in which the rest of each cluster, in blocks, meets all blocks of it."""
-    sizes = cut(rest.groupBy("cluster", "band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("turns")))
+    sizes = cut(rest.groupBy("cluster", "band").agg(F.count("*").alias("k")).select("cluster", "band", F.ceil(F.col("k") / rows_of).cast("int").alias("turns")))
     turn = F.pmod(F.xxhash64("doc_id", F.lit(43)), F.col("turns")).cast("int")
     columns = ("doc_id", "cluster", "band", "component")
     left = rest.join(sizes, ["cluster", "band"]).select(*columns, turn.alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
