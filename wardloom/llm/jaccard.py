@@ -218,7 +218,7 @@ def near_sketches(sketch: np.ndarray, size: np.ndarray, component: np.ndarray, l
     return pairs[0], pairs[1]
 
 
-def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10, tile_rows: int = 512, tile_bytes: int = 16 << 20, block_rows: int = 8192, block_bytes: int = 32 << 20, least_parts: int = 48) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10, tile_rows: int = 512, tile_bytes: int = 16 << 20, block_rows: int = 8192, block_bytes: int = 32 << 20, least_parts: int = 48, hubs: int = REPRESENTATIVES) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each document.
 
     Two documents link when the Jaccard similarity of their sets of n-word shingles is numerator / denominator or more.
@@ -226,7 +226,8 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
     of all of them; a null or blank text has none and is its own component. A doc_id stands for all its rows: what one
     of them links with is linked with the id, so each row gets the component of its own text. Rows with a null doc_id
     take no part: their component is null; an empty table gives none. Shingles are compared by 64-bit hashes, whole sets by
-    128 bits of theirs.
+    128 bits of theirs. ``hubs``: with how many of its cluster's representatives a set is compared exactly at first, of those
+    that its sketch allows; fewer leave more to the comparison of the rest, and change no result.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -343,9 +344,13 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
         few = texts.where("large").select("doc_id", "text")
         sketches = cut(few.mapInArrow(sketched, "doc_id long, band int, n long, sketch binary"))
 
-        def verified(tiles: DataFrame) -> DataFrame:
-            """The links among the sets that meet in tiles (doc_id, band, part, side, component)."""
+        def verified(tiles: DataFrame, hubs: int | None = None) -> DataFrame:
+            """The links among the sets that meet in tiles (doc_id, band, part, side, component); with ``hubs``, only with so
+            many of the sets on the left, the smallest."""
             pairs = cut(tiles.join(sketches.hint("shuffle_hash"), ["doc_id", "band"]).groupBy("tile").applyInArrow(possible, "a long, b long, n long").distinct())
+            if hubs is not None and hubs < REPRESENTATIVES:
+                few_of = F.slice(F.array_sort(F.collect_set("a")), 1, hubs)  # of a handful of representatives for each cluster and band
+                pairs = cut(pairs.groupBy("b", "n").agg(few_of.alias("a")).select(F.explode("a").alias("a"), "b", "n"))
             # One set meets those that it may link with, dealt into as many tiles as keep each small, by number and by shingles.
             most = F.greatest(F.count("*") / tile_rows, F.sum("n") * 8 / tile_bytes)
             tiles_of = cut(pairs.groupBy("a").agg(F.ceil(most).alias("tiles")))
@@ -354,7 +359,7 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
             sides = dealt.select(F.col("a").alias("doc_id"), tile.alias("tile"), F.lit(1).alias("side")).distinct().unionByName(dealt.select(F.col("b").alias("doc_id"), tile.alias("tile"), F.lit(2).alias("side")))
             return met(few.join(sides, "doc_id").withColumn("part", F.pmod("tile", F.lit(parts))))
 
-        reached = cut(components(verified(_stars_of(large))))
+        reached = cut(components(verified(_stars_of(large), hubs)))
         known = cut(large.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
         links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(verified(_rest_tiles(known, _rest(known), rows_of)))
     found = components(links)
