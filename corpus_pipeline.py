@@ -48,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         unnamed = unnamed | F.coalesce(h != F.col("first"), F.lit(False))
     number = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     rows = rows.select(*source.columns, F.when(unnamed, number).otherwise(F.col("doc_id").cast("long")).alias("id"))
-    found = jaccard.join(rows.select(F.col("id").alias("doc_id"), "text"), 5, 8, 10).groupBy(F.col("doc_id").alias("id"))
+    found = jaccard.join(rows.select(F.col("id").alias("doc_id"), "text"), 5, 8, 10, block_rows=65_536, hubs=1).groupBy(F.col("doc_id").alias("id"))
     marks = cut(found.agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), (F.count("*") > 1).alias("many")).where("gone OR many"))
     # Only ids are hashed; the texts stream by.
     kept = rows.join(marks.hint("shuffle_hash"), "id", "left_anti").select("doc_id", "text", "rest")
