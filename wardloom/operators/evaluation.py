@@ -260,13 +260,17 @@ def grid(spark, seeds: list[int], sizes: list[int], draws: int) -> DataFrame:
     return runs.select(at(seeds, F.floor(each / len(sizes))).alias("seed"), at(sizes, each % len(sizes)).alias("n_train"), (F.col("id") % (draws + 1) - 1).cast("int").alias("bootstrap"))
 
 
-def bootstrap(df: DataFrame, group: str, draws: int, seed: int = 0) -> DataFrame:
-    """Adds ``bootstrap``: as many groups as there are, drawn with replacement for each draw, with all rows of each."""
+def bootstrap(df: DataFrame, group: str, draws: int, seed: int = 0, point: bool = False) -> DataFrame:
+    """Adds ``bootstrap``: as many groups as there are, drawn with replacement for each draw, with all rows of each; with
+    ``point`` also every group once, as draw -1."""
     places, n = _ranked(df, group, seed)
     slots = df.sparkSession.range(draws * n).select((F.col("id") % draws).cast("int").alias("bootstrap"), F.col("id").alias("__slot"))
     text = F.concat_ws(":", F.col("bootstrap"), F.floor(F.col("__slot") / draws), F.lit(str(seed)))
     drawn = slots.select("bootstrap", (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") % n + 1).alias("place"))
-    return df.join(drawn.join(places, "place").select(group, "bootstrap"), group)
+    chosen = drawn.join(places, "place").select(group, "bootstrap")
+    if point:
+        chosen = chosen.unionByName(places.select(group, F.lit(-1).alias("bootstrap")))
+    return df.join(chosen, group)
 
 
 def stratified(df: DataFrame, stratum: str, per_stratum: int, key: str, seed: int = 0) -> DataFrame:
