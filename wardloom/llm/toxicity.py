@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
@@ -39,6 +39,8 @@ FEATURES = [*EVENTS, "strongest", "clauses"]
 STEM = range(4, 9)
 #: Endings without which a word is looked up too, if four letters are left.
 ENDINGS = ("s", "es", "ed", "ing")
+#: Words that a task keeps classed.
+SEEN = 100_000
 #: The symbol of each listed word; of a word in two lists the first counts.
 CLASSES = {w: c for c, words in ((grammar.HARM, THREATS), (grammar.REPORT, REPORTS), (grammar.NEGATION, NEGATIONS), (grammar.TARGET, TARGETS)) for w in words}
 #: What fitted sizes, none below ``FLOOR``, add up to each weight: of an insult, of the aim at someone, of a negation or a
@@ -68,17 +70,26 @@ def aimed(text: str) -> set[str]:
     return out
 
 
-def clauses(text: str, insult: dict[str, float], cascade: grammar.Cascade, harm: frozenset[str] = frozenset()) -> Iterator[tuple[int, float, list[tuple[str, float]]]]:
-    """Of each clause with an event: its number, the weight of its best path, and the kind and weight of each event."""
+def clauses(text: str, insult: dict[str, float], cascade: grammar.Cascade, harm: frozenset[str] = frozenset(), seen: dict[str, tuple[str, float]] | None = None) -> Iterator[tuple[int, float, list[tuple[str, float]]]]:
+    """Of each clause with an event: its number, the weight of its best path, and the kind and weight of each event.
+
+    ``seen`` keeps the symbols and weights of words that were met, at most ``SEEN``, for one pair of lexicons.
+    """
+    seen = {} if seen is None else seen
     for n, clause in enumerate(CLAUSE.split(text)):
         symbols, weights = [], []
         if clause.count('"') >= 2 or clause.count("“") >= 1:
             symbols, weights = [grammar.REPORT], [0.0]
         for w in WORD.findall(clause.lower()):
-            weight = max((insult[k] for k in lexicon_keys(w) if k in insult), default=0.0)
-            harms = any(b in harm or b in THREATS for b in bases(w))
-            symbols.append(CLASSES.get(w) or (grammar.INSULT if weight else grammar.HARM if harms else grammar.OTHER))
-            weights.append(weight or 1.0)
+            if w not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                weight = max((insult[k] for k in lexicon_keys(w) if k in insult), default=0.0)
+                harms = any(b in harm or b in THREATS for b in bases(w))
+                seen[w] = CLASSES.get(w) or (grammar.INSULT if weight else grammar.HARM if harms else grammar.OTHER), weight or 1.0
+            symbol, weight = seen[w]
+            symbols.append(symbol)
+            weights.append(weight)
         if grammar.INSULT in symbols or grammar.HARM in symbols:
             strength, found = cascade.best(symbols, weights)
             if found:
@@ -95,6 +106,7 @@ class Model:
     insult: dict[str, float]
     weights: np.ndarray  # of each feature, then the intercept
     harm: frozenset[str] = frozenset()  # learned words of harm, next to THREATS
+    seen: dict[str, tuple[str, float]] = field(default_factory=dict, compare=False, repr=False)
 
     def finder(self) -> ahocorasick.Automaton | None:
         """Finds the texts that can have an event at all, in one pass over their characters."""
@@ -108,7 +120,7 @@ class Model:
     def features(self, text: str | None, finder: ahocorasick.Automaton, cascade: grammar.Cascade) -> tuple[np.ndarray, list[tuple[str, int]]]:
         out, found, total = np.zeros(len(FEATURES)), [], 0.0
         if text and next(finder.iter(text.lower()), None) is not None:
-            for n, strength, matched in clauses(text, self.insult, cascade, self.harm):
+            for n, strength, matched in clauses(text, self.insult, cascade, self.harm, self.seen):
                 for kind, weight in matched:
                     out[EVENTS.index(kind)] += weight
                     found.append((kind, n))
