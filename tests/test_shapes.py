@@ -1,6 +1,7 @@
 """Masks from pixels, stratified parts, files united by name, and places, first values and sections in hard cases."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -38,6 +39,24 @@ def test_masks_by_hand(spark, gaps):
     assert M.encode(pixels.where("false"), keys.where("k = 77"), ["k"]).collect()[0].mask == "-1"
 
 
+def test_pixels_are_packed_before_they_are_shuffled(spark):
+    """What a mask of adjacent pixels sends on is a number for each 62 of them, not a row a pixel."""
+    pixels = spark.range(0, 62 * 200, 1, 4).select(F.lit(1).alias("k"), F.col("id").alias("pixel"))
+    frame = M.pixel_runs(pixels, ["k"])
+    assert [tuple(r) for r in frame.collect()] == [(1, 0, 62 * 200 - 1)]
+    exchanges, plans = [], [frame._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            p = p.executedPlan()
+        if "QueryStage" in p.nodeName():
+            p = p.plan()
+        if p.nodeName() == "Exchange":
+            exchanges.append(p.metrics().apply("shuffleRecordsWritten").value())
+        plans += [p.children().apply(i) for i in range(p.children().size())]
+    assert exchanges and max(exchanges) <= 210
+
+
 def test_division_of_combinations():
     rng = random.Random(1)
     for _ in range(200):

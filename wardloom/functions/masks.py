@@ -64,34 +64,52 @@ def runs_of_gaps(text: Column) -> Column:
     return F.when(F.coalesce(F.size(numbers) >= 2, F.lit(False)), F.aggregate(pairs, step, add, lambda s: s["runs"])).otherwise(step["runs"])
 
 
-def pixel_runs(pixels: DataFrame, key: list[str], pixel: str = "pixel", stretch: int = 1 << 16) -> DataFrame:
-    """key, first and last of every run of adjacent pixels, from 0. Null pixels and repeated ones do not count.
-
-    Pixels are dealt by key and stretch of the mask: in each, a pixel less its place is the same along a run. Runs of
-    stretches that meet at a border are then joined, so what one task sorts of a mask is a stretch, or its runs.
-    """
-    rows = pixels.where(F.col(pixel).isNotNull()).select(*key, F.col(pixel).cast("long").alias("__p"), F.floor(F.col(pixel) / stretch).alias("__s")).distinct()
-    island = F.col("__p") - F.row_number().over(Window.partitionBy(*key, "__s").orderBy("__p"))
-    parts = rows.withColumn("__i", island).groupBy(*key, "__s", "__i").agg(F.min("__p").alias("first"), F.max("__p").alias("last"))
+def _word_runs(word: Column, bits: Column) -> Column:
+    """The runs of the set bits of a number that is not negative; its lowest bit is the pixel ``word``."""
+    place = lambda x: word + F.bit_count(x.bitwiseAND(-x) - 1)
+    rest = lambda x: x.bitwiseAND(x - 1)
+    firsts, lasts = bits.bitwiseAND(F.bitwise_not(F.shiftleft(bits, 1))), bits.bitwiseAND(F.bitwise_not(F.shiftright(bits, 1)))
+    state = F.struct(firsts.alias("a"), lasts.alias("b"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("runs"))
+    run = lambda s: F.struct(place(s["a"]).alias("first"), place(s["b"]).alias("last"))
+    step = lambda s, _: F.struct(rest(s["a"]).alias("a"), rest(s["b"]).alias("b"), F.concat(s["runs"], F.array(run(s))).alias("runs"))
+    return F.aggregate(F.array_repeat(F.lit(0), F.bit_count(firsts)), state, step, lambda s: s["runs"])
+
+
+def _runs(pixels: DataFrame, key: list[str], stretch: int) -> DataFrame:
+    """key, first, last and asked of every run, from ``__p`` and ``__n``; a row without a pixel gives one without a place."""
+    size = min(stretch, 62)  # bits of a number, without its sign and with a carry to spare
+    within = F.pmod("__p", F.lit(size))
+    words = pixels.groupBy(*key, (F.col("__p") - within).alias("__w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), within.cast("int"))).alias("__bits"), F.sum("__n").alias("__n"))
+    parts = words.select(*key, "__n", F.inline_outer(F.when(F.col("__w").isNotNull(), _word_runs(F.col("__w"), F.col("__bits")))))
     along = Window.partitionBy(*key).orderBy("first")
     begins = F.coalesce(F.col("first") != F.lag("last").over(along) + 1, F.lit(True)).cast("int")
     nth = parts.withColumn("__b", begins).withColumn("__r", F.sum("__b").over(along))
-    return nth.groupBy(*key, "__r").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("__r")
+    return nth.groupBy(*key, "__r").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("__n").alias("__n")).drop("__r")
+
+
+def pixel_runs(pixels: DataFrame, key: list[str], pixel: str = "pixel", stretch: int = 62) -> DataFrame:
+    """key, first and last of every run of adjacent pixels, from 0. Null pixels and repeated ones do not count.
+
+    ``stretch`` pixels, 62 at most, are kept as the bits of one number before anything is shuffled; what one task sorts of a
+    mask is the runs of these numbers, which are joined where they meet.
+    """
+    rows = pixels.where(F.col(pixel).isNotNull()).select(*key, F.col(pixel).cast("long").alias("__p"), F.lit(0).alias("__n"))
+    return _runs(rows, key, stretch).drop("__n")
 
 
-def encode(pixels: DataFrame, keys: DataFrame, key: list[str], pixel: str = "pixel", gaps: bool = False, stretch: int = 1 << 16) -> DataFrame:
+def encode(pixels: DataFrame, keys: DataFrame, key: list[str], pixel: str = "pixel", gaps: bool = False, stretch: int = 62) -> DataFrame:
     """key and ``mask`` of every row of ``keys`` (one for each mask): the runs of its pixels as text, ``-1`` without any.
 
     Pixels count from 0, column by column. A run is its first pixel, from 1, and its length, as ``runs`` reads them; with
     ``gaps``, the pixels since the end of the run before, from 0, as ``runs_of_gaps`` does. Null is a key like others.
+    Rows of ``keys`` go along with the pixels as rows without one, so that nothing is joined.
     """
-    found = pixel_runs(pixels, key, pixel, stretch)
-    if gaps:
-        before = F.coalesce(F.lag("last").over(Window.partitionBy(*key).orderBy("first")) + 1, F.lit(0))
-        found = found.withColumn("start", F.col("first") - before)
-    else:
-        found = found.withColumn("start", F.col("first") + 1)
+    rows = pixels.where(F.col(pixel).isNotNull()).select(*key, F.col(pixel).cast("long").alias("__p"), F.lit(0).alias("__n"))
+    found = _runs(rows.unionAll(keys.select(*key, F.lit(None).cast("long"), F.lit(1))), key, stretch)
+    before = F.coalesce(F.lag("last").over(Window.partitionBy(*key).orderBy("first")) + 1, F.lit(0))
+    found = found.withColumn("start", F.col("first") - before if gaps else F.col("first") + 1)
     item = F.struct("first", F.concat_ws(" ", F.col("start").cast("string"), (F.col("last") - F.col("first") + 1).cast("string")).alias("run"))
-    texts = found.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key))).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["run"]), " ").alias("mask"))
-    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
-    return keys.join(texts, same, "left").select(*(F.col(k) for k in key), F.coalesce("mask", F.lit("-1")).alias("mask"))
+    items = F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), item)))
+    texts = found.groupBy(*key).agg(F.array_join(F.transform(items, lambda x: x["run"]), " ").alias("mask"), F.sum("__n").cast("int").alias("__n")).where("__n > 0")
+    mask = F.coalesce(F.nullif("mask", F.lit("")), F.lit("-1")).alias("mask")
+    return texts.select(*key, mask, F.explode(F.array_repeat(F.lit(0), F.col("__n")))).select(*(F.col(k).cast(keys.schema[k].dataType).alias(k) for k in key), "mask")
