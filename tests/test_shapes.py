@@ -57,6 +57,18 @@ def test_pixels_are_packed_before_they_are_shuffled(spark):
     assert exchanges and max(exchanges) <= 210
 
 
+def test_numbers_of_a_mask_are_read_once(spark):
+    """A text of many runs: its numbers were once split again for every run."""
+    text = " ".join(f"{3 * i + 1} 2" for i in range(20000))
+    began = time.time()
+    frame = spark.createDataFrame([(text,)], "t string").select(M.runs(F.col("t")).alias("r"), M.runs_of_gaps(F.lit("0 2 1 2")).alias("g"))
+    row = frame.select(F.size("r").alias("n"), F.get("r", F.lit(19999)).alias("last"), "g").first()
+    assert (row.n, tuple(row.last)) == (20000, (59997, 59998)) and [tuple(x) for x in row.g] == [(0, 1), (3, 4)]
+    assert time.time() - began < 30
+    got = spark.createDataFrame([("9 2 1 3 4 1 2 4 20 1",), ("-1",), (None,)], "t string").select(M.union(M.runs(F.col("t"))).alias("u")).collect()
+    assert [[tuple(x) for x in r.u] for r in got] == [[(0, 4), (8, 9), (19, 19)], [], []]
+
+
 def test_division_of_combinations():
     rng = random.Random(1)
     for _ in range(200):

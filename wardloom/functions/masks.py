@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scalars import bound
+
+
+def _of_numbers(text: Column, f: Callable[[Column, Column], Column], none: Column) -> Column:
+    """``f`` of the numbers of a text, read once, and of the places of their pairs; without a pair, ``none``."""
+    numbers = F.transform(F.filter(F.split(text, r"\s+"), lambda x: x != ""), lambda x: x.cast("long"))
+    pairs = lambda n: F.sequence(F.lit(0), (F.size(n) / 2).cast("int") - 1)
+    return bound(lambda p: F.when(F.coalesce(F.size(p["n"]) >= 2, F.lit(False)), f(p["n"], pairs(p["n"]))).otherwise(none), n=numbers)
+
 
 def runs(text: Column) -> Column:
     """The runs of a text as structs (first, last), pixels from 0. Null and ``-1`` (nothing found) have none."""
-    numbers = F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != ""), lambda x: x.cast("long"))
-    pairs = F.transform(F.sequence(F.lit(1), (F.size(numbers) / 2).cast("int")), lambda i: F.struct((F.get(numbers, 2 * i - 2) - 1).alias("first"), (F.get(numbers, 2 * i - 2) + F.get(numbers, 2 * i - 1) - 2).alias("last")))
     none = F.array().cast("array<struct<first:bigint,last:bigint>>")
-    return F.when(F.coalesce(F.size(numbers) >= 2, F.lit(False)), pairs).otherwise(none)
+    pair = lambda n: lambda i: F.struct((F.get(n, 2 * i) - 1).alias("first"), (F.get(n, 2 * i) + F.get(n, 2 * i + 1) - 2).alias("last"))
+    return _of_numbers(F.trim(text), lambda n, pairs: F.transform(pairs, pair(n)), none)
 
 
 def area(r: Column) -> Column:
@@ -21,11 +31,11 @@ def area(r: Column) -> Column:
 
 def union(r: Column) -> Column:
     """Runs merged where they overlap or touch, by place."""
-    merge = lambda done, x: F.when(
-        (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["last"] + 1 >= x["first"]),
-        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(done, F.lit(-1))["last"], x["last"]).alias("last")))),
-    ).otherwise(F.concat(done, F.array(x)))
-    return F.aggregate(F.array_sort(r), F.array().cast("array<struct<first:bigint,last:bigint>>"), merge)
+    none, long = F.array().cast("array<struct<first:bigint,last:bigint>>"), F.lit(None).cast("long")
+    state = lambda done, first, last: F.struct(done.alias("done"), first.alias("first"), last.alias("last"))
+    closed = lambda s: F.when(s["first"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), s["last"].alias("last")))))
+    merge = lambda s, x: F.when(x["first"] <= s["last"] + 1, state(s["done"], s["first"], F.greatest(s["last"], x["last"]))).otherwise(state(closed(s), x["first"], x["last"]))
+    return F.aggregate(F.sort_array(r), state(none, long, long), merge, closed)
 
 
 def common(a: Column, b: Column) -> Column:
@@ -52,16 +62,14 @@ def bounds(r: Column, height: int, width: int) -> Column:
 
 def runs_of_gaps(text: Column) -> Column:
     """The runs of a text whose starts count from the end of the run before, from 0: ``encode(..., gaps=True)`` undone."""
-    numbers = F.transform(F.filter(F.split(text, r"\s+"), lambda x: x != ""), lambda x: x.cast("long"))
     step = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("runs"))
-    pairs = F.transform(F.sequence(F.lit(1), (F.size(numbers) / 2).cast("int")), lambda i: F.struct(F.get(numbers, 2 * i - 2).alias("gap"), F.get(numbers, 2 * i - 1).alias("n")))
 
-    def add(s: Column, x: Column) -> Column:
-        first = s["at"] + x["gap"]
-        end = first + x["n"]
+    def add(n: Column, s: Column, i: Column) -> Column:
+        first = s["at"] + F.get(n, 2 * i)
+        end = first + F.get(n, 2 * i + 1)
         return F.struct(end.alias("at"), F.concat(s["runs"], F.array(F.struct(first.alias("first"), (end - 1).alias("last")))).alias("runs"))
 
-    return F.when(F.coalesce(F.size(numbers) >= 2, F.lit(False)), F.aggregate(pairs, step, add, lambda s: s["runs"])).otherwise(step["runs"])
+    return _of_numbers(text, lambda n, pairs: F.aggregate(pairs, step, lambda s, i: add(n, s, i), lambda s: s["runs"]), step["runs"])
 
 
 def _word_runs(word: Column, bits: Column) -> Column:

@@ -66,8 +66,8 @@ def sc29_clinical_notes(spark, d):
 def ud03_masks_of_runs(spark, d):
     run = F.concat_ws(" ", F.col("l_partkey") % 90 + 1, "l_linenumber")
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(M.union(M.runs(F.array_join(F.collect_list(run), " "))).alias("m"))
-    box = M.bounds(F.col("m"), 10, 10)
-    return lines.select("l_orderkey", M.area(F.col("m")).alias("area"), *(r6(box[i]).alias(k) for i, k in enumerate(("y0", "y1", "x0", "x1"))))
+    found = lines.select("l_orderkey", M.area(F.col("m")).alias("area"), M.bounds(F.col("m"), 10, 10).alias("box"))
+    return found.select("l_orderkey", "area", *(r6(F.get("box", F.lit(i))).alias(k) for i, k in enumerate(("y0", "y1", "x0", "x1"))))
 
 
 @query("""WITH a AS (SELECT DISTINCT l_orderkey, unnest(range(l_partkey % 60, l_partkey % 60 + 30)) AS p FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_orderkey, unnest(range(l_suppkey % 60, l_suppkey % 60 + 30)) AS p FROM lineitem WHERE l_returnflag = 'R'),
