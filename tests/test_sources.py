@@ -140,3 +140,18 @@ def test_whole_texts(spark, tmp_path):
     assert readers.texts(spark, str(tmp_path / "t"), recursive=True).count() == 2
     write(tmp_path / "o.json", '{"a": {"x": 1},\n "b": {"x": null}}')
     assert sorted((r.key, r.value.x) for r in readers.json_object(spark, str(tmp_path / "o.json"), "struct<x:int>").collect()) == [("a", 1), ("b", None)]
+
+
+def test_no_two_arrays_share_a_file(spark, tmp_path, sf_dir):
+    """With several parts before the write, two arrays once came to one file, of which the first alone is read."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    many = rows.crossJoin(spark.range(40).select(F.col("id").alias("copy"))).withColumn("conv_id", F.col("conv_id") + F.col("copy") * 100000).drop("copy")
+    many.repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        from wardloom.queries import QUERIES
+
+        assert QUERIES["sr08_vqa_rad"](spark, str(tmp_path)).count() == 40 * rows.count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)

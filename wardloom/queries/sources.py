@@ -135,9 +135,9 @@ def sr07_siim_acr_ptx(spark, d):
   CASE WHEN turn % 4 = 0 THEN 'test' ELSE 'train' END AS split, 'CLOSED' AS answer_type, 'CHEST' AS image_organ FROM conversations""")
 def sr08_vqa_rad(spark, d):
     c, path = table(spark, d, "conversations"), scratch.folder(spark)
-    record = F.struct(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.concat(F.lit("img"), F.col("conv_id").cast("string"), F.lit(".jpg")).alias("image_name"), F.concat(F.lit(" "), "text", F.lit(" \n")).alias("question"), F.concat("role", F.lit(" ")).alias("answer"), F.lit("kind").alias("question_type"), F.lit("CLOSED ").alias("answer_type"), F.lit("CHEST").alias("image_organ"), F.when(F.col("turn") % 4 == 0, "test_para").otherwise("freeform").alias("phrase_type"))
-    # One JSON array a row, and a row a file as a rule; arrays in one file would be read as one after another.
-    rows = c.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(64)).alias("file")).agg(F.to_json(F.collect_list(record)).alias("value"))
-    rows.select("value").repartition(64).write.text(path)
+    record = F.struct(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("qid"), F.concat(F.lit("img"), F.col("conv_id").cast("string"), F.lit(".jpg")).alias("image_name"), F.concat(F.lit(" "), "text", F.lit(" \n")).alias("question"), F.concat("role", F.lit(" ")).alias("answer"), F.lit("kind").alias("question_type"), F.lit("CLOSED ").alias("answer_type"), F.lit("CHEST").alias("image_organ"), F.when(F.col("turn") % 4 == 0, "test_para").otherwise("freeform").alias("phrase_type"))
+    # A file holds one array: rows of one input part, 65,536 at most, and each file has a folder of its own.
+    rows = c.withColumn("file", F.shiftright(F.monotonically_increasing_id(), 16)).groupBy("file").agg(F.to_json(F.collect_list(record)).alias("value"))
+    rows.write.partitionBy("file").text(path)
     built = sources.build(spark, "vqa_rad", {"table": path})
     return built.withColumn("question", F.md5(F.col("question").cast("binary")))
