@@ -155,3 +155,19 @@ def test_no_two_arrays_share_a_file(spark, tmp_path, sf_dir):
         assert QUERIES["sr08_vqa_rad"](spark, str(tmp_path)).count() == 40 * rows.count()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_listing_is_the_one_of_spark(spark, tmp_path):
+    """Files of any depth, by tasks: no job of Spark's own listing, which sends all files to the driver."""
+    for name, size in {"a.x": 1, "b/c.x": 2, "b/d/e.x": 3, "b/d/f/g h%20.x": 4, "b/d/f/i/j.x": 5, "_no/k.x": 1, ".no/l.x": 1, "b/_m.x": 1, "n.y": 1, "o.x": 0, "k=1/_p=1/q.x": 6}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"z" * size)
+    own = readers.listing(spark, str(tmp_path), "*.x")
+    theirs = spark.read.format("binaryFile").option("pathGlobFilter", "*.x").option("recursiveFileLookup", True).load(str(tmp_path))
+    want = sorted((r.path, r.length, r.modificationTime) for r in theirs.select("path", "length", "modificationTime").collect())
+    for path in (str(tmp_path), f"file:{tmp_path}/", f"file://{tmp_path}"):
+        assert sorted((r.path, r.length, r.modified) for r in readers.listing(spark, path, "*.x").collect()) == want
+    assert len(want) == 6 and not own.inputFiles()
+    assert [r.name for r in readers.listing(spark, f"{tmp_path}/a.x").collect()] == ["a.x"]
+    with pytest.raises(FileNotFoundError):
+        readers.listing(spark, f"{tmp_path}/nowhere")

@@ -7,22 +7,25 @@ what Spark's readers can open is read, so an input may be in any store.
 from __future__ import annotations
 
 import csv as csv_module
+import fnmatch
 import io
 import json
 import os
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import no_nan, strip
-
+from .archives import _opened
 
 # The words of a text table that stand for nothing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -121,11 +124,69 @@ def lines(spark: SparkSession, path: str, name: str = "id") -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias(name)).where(F.col(name) != "")
 
 
+def _shown(name: str) -> bool:
+    """Names that Spark reads: no hidden, unfinished or half-copied ones."""
+    return not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+
+
+def _listed(path: str, pattern: str, deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Puts for each folder of a batch what is in it, or with ``deep`` what is anywhere below; files stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = _opened(path)
+        names = ["inner", "length", "modified", "more"]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.filter(pc.invert(batch.column("more"))).columns, names)
+            folders, out = batch.column("inner").filter(batch.column("more")).to_pylist(), []
+            while folders:
+                for x in fs.get_file_info(pafs.FileSelector(folders.pop())):
+                    if not _shown(x.base_name):
+                        continue
+                    if x.type == pafs.FileType.Directory:
+                        if deep:
+                            folders.append(x.path)
+                        else:
+                            out.append((x.path, None, None, True))
+                    elif x.size and fnmatch.fnmatchcase(x.base_name, pattern):
+                        out.append((x.path, x.size, x.mtime_ns // 1_000_000, False))
+                    if len(out) >= 10_000:
+                        yield made(out)
+                        out = []
+            if out:
+                yield made(out)
+
+    return run
+
+
 def listing(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """Files as rows: path, name, folder, length, modified. No content is read. Empty files are left out, as Spark plans no read of them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(path)
-    name = F.regexp_replace("path", "^.*/", "")
-    return files.select("path", name.alias("name"), F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "length", F.col("modificationTime").alias("modified"))
+    """Files as rows: path, name, folder, length, modified. No content is read. Empty files are left out, as Spark plans no read of them.
+
+    Folders are listed by tasks: two levels are dealt, and each folder of the third is walked by one task; nothing but the
+    first folder passes the driver. Where pyarrow does not know the store or the path or pattern is one of several, and
+    without ``recursive``, Spark lists, which takes all files through the driver.
+    """
+    try:
+        fs, inner = _opened(path)
+    except pa.ArrowInvalid:
+        fs, inner = None, path
+    if fs is None or not recursive or set("*?[{\\") & set(path) or set("[{\\") & set(pattern):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    else:
+        first = fs.get_file_info(inner)
+        if first.type == pafs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        # Paths as Hadoop writes them.
+        base = "file:" if isinstance(fs, pafs.LocalFileSystem) else path[: len(path) - len(inner)]
+        kinds, parts = "inner string, length long, modified long, more boolean", 2 * spark.sparkContext.defaultParallelism
+        folder = first.type == pafs.FileType.Directory
+        keep = folder or (first.size and fnmatch.fnmatchcase(first.base_name, pattern))
+        rows = spark.range(1 if keep else 0).select(F.lit(inner.rstrip("/") or "/").alias("inner"), F.lit(None if folder else first.size).cast("long").alias("length"), F.lit(None if folder else first.mtime_ns // 1_000_000).cast("long").alias("modified"), F.lit(folder).alias("more"))
+        for deep in (False, False, True):
+            rows = rows.mapInArrow(_listed(path, pattern, deep), kinds)
+            rows = rows if deep else rows.repartition(parts, "inner")
+        files = rows.select(F.concat(F.lit(base), "inner").alias("path"), "length", F.timestamp_millis("modified").alias("modified"))
+    return files.select("path", F.regexp_replace("path", "^.*/", "").alias("name"), F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "length", "modified")
 
 
 def zip_members(spark: SparkSession, path: str, pattern: str = "*.zip", suffix: str = ".json", wanted: set[str] | None = None) -> DataFrame:
