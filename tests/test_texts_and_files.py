@@ -2,7 +2,11 @@
 
 import csv
 import io
+import random
+import re
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +68,21 @@ def test_guards(spark):
         R.left_join_once(left.unionByName(spark.createDataFrame([(9, "d")], left.schema)), right, ["k"]).collect()
     with pytest.raises(ValueError, match="0 rows"):
         R.require_rows(left.where("false"), "left")
+
+
+def test_lexicons_are_searched_once_in_a_text(spark):
+    """What may match is found in linear time, and holds all that the lexicons' own expressions find."""
+    rng = random.Random(3)
+    words = [w for *_, p in X.LEXICONS for w in re.split(r"[|\\()\[\]?:]+", p) if w] + [" ", "-", "é", "12", "\x0b", "x", "×", "T", "\n", "K", "ſ"]
+    texts = ["", None, "magnification\x0b×\x0b40", *("".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 4))) for _ in range(2000))]
+    bits = X._may_match.func(pa.array(texts, pa.string())).to_pylist()
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    java = frame.select("i", F.array(*(F.coalesce(F.col("t").rlike(f"(?i)({p})"), F.lit(False)) for *_, p in X.LEXICONS)).alias("m"), X.tag(F.col("t")).alias("tag"))
+    for r in java.collect():
+        assert not any(m and not bits[r.i] >> k & 1 for k, m in enumerate(r.m)), texts[r.i]
+        first = next((k for k, m in enumerate(r.m) if m), None)
+        assert (r.tag and tuple(r.tag)[:3]) == (None if first is None else X.LEXICONS[first][:3]), texts[r.i]
+    assert bits[2] >> [n for n, *_ in X.LEXICONS].index("pathology") & 1
+    text = F.concat(F.lit("plain "), F.repeat(F.lit("nothing of note in these words "), 60000))
+    began = time.time()
+    assert spark.range(4).select(X.tag(text).alias("t")).where("t IS NULL").count() == 4 and time.time() - began < 60
