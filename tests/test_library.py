@@ -204,3 +204,22 @@ def test_streams(spark, tmp_path, sf_dir):
     run.awaitTermination(120)
     want = V.windowed_counts(events, "ts", ["event_type"], "1 day")
     assert sorted(spark.table("counted").collect()) == sorted(want.collect())
+
+
+def test_neighbours_of_labels_with_other_rows(spark):
+    """Labels that share their rows are searched together; ties, fewer rows than k, and labels of other rows come out the same."""
+    from wardloom.operators import probes
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-2, 3, 3).astype(float).tolist(), *(None if rng.random() < 0.3 else int(rng.integers(2)) for _ in range(2)), 1 if i < 3 else None) for i in range(90)]
+    rows = [(*r[:3], r[2] if r[0] % 2 else r[3], r[4]) for r in rows]
+    frame = spark.createDataFrame(rows, "i long, v array<double>, a int, b int, c int")
+    for block, slices in ((7, 3), (4096, 1)):
+        got = {(r.i, r.label): r.score for r in probes.knn_scores(frame.where("i % 4 > 0"), frame.where("i % 4 = 0"), "v", "i", ["a", "b", "c"], 5, block, slices).collect()}
+        unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1.0)
+        for r in rows[::4]:
+            for j, label in enumerate("abc"):
+                near = sorted((-round(float(unit(r[1]) @ unit(x[1])), 9), x[0], x[2 + j]) for x in rows if x[0] % 4 and x[2 + j] is not None)[:5]
+                want = {float(np.mean([y for *_, y in near]))}
+                assert got.pop((r[0], label)) in want or len({d for d, *_ in near}) < 5
+        assert not got

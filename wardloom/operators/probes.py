@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .evaluation import dot, unit
 
+#: Queries whose scores are held at once.
+QUERIES = 512
 #: Values of a block of sums, and groups in which blocks are added up first.
 BLOCK, SALTS = 8192, 64
 SUMS = "label string, block int, salt int, sums array<double>"
@@ -46,21 +48,41 @@ def knn_scores(train: DataFrame, test: DataFrame, vector: str, key: str, labels:
         out = []
         if len(q) and len(c):
             norm = lambda m: m / np.where((s := np.linalg.norm(m, axis=1, keepdims=True)) > 0, s, 1.0)
-            a, b, ids = norm(np.stack(q.v)), norm(np.stack(c.v)), c.id.to_numpy()
-            near = a @ b.T
-            for label in labels:
-                y = np.array([(m if isinstance(m, dict) else dict(m)).get(label) for m in c.y], float)
-                use = np.flatnonzero(~np.isnan(y))
-                for i, row in enumerate(near[:, use]):
-                    best = np.lexsort((ids[use], -row))[:k]
-                    out.append((int(q.id.iloc[i]), label, row[best].tolist(), ids[use][best].tolist(), y[use][best].tolist()))
-        return pd.DataFrame(out, columns=["id", "label", "s", "ids", "y"])
-
-    found = left.groupBy("grp", "slice").cogroup(right.groupBy("grp", "slice")).applyInPandas(tile, "id long, label string, s array<double>, ids array<long>, y array<double>")
-    near = found.groupBy("id", "label").agg(F.flatten(F.collect_list(F.arrays_zip("s", "ids", "y"))).alias("n"))
-    order = F.transform("n", lambda x: F.struct((-x["s"]).alias("d"), x["ids"].alias("id"), x["y"].alias("y")))
-    best = F.slice(F.array_sort(order), 1, k)
-    return near.select(F.col("id").alias(key), "label", (F.aggregate(best, F.lit(0.0), lambda s, x: s + x["y"]) / F.size(best)).alias("score"))
+            a, b, ids, keys = norm(np.stack(q.v)), norm(np.stack(c.v)), c.id.to_numpy(), q.id.tolist()
+            truth = np.array([[(m if isinstance(m, dict) else dict(m)).get(x) for x in labels] for m in c.y], float)
+            # Labels of the same rows are searched together.
+            alike: dict[bytes, list[int]] = {}
+            for j in range(len(labels)):
+                alike.setdefault(np.isnan(truth[:, j]).tobytes(), []).append(j)
+            for own in alike.values():
+                use = np.flatnonzero(~np.isnan(truth[:, own[0]]))
+                if not len(use):
+                    continue
+                names, y, numbers, rows = [labels[j] for j in own], truth[use][:, own], ids[use], b[use].T
+                for i in range(0, len(a), QUERIES):
+                    near = a[i : i + QUERIES] @ rows
+                    near[np.isnan(near)] = -np.inf
+                    # What is not below the k-th best of a row is few, so only that is put in order.
+                    least = np.partition(near, len(use) - k, axis=1)[:, len(use) - k] if len(use) > k else np.full(len(near), -np.inf)
+                    at, place = np.nonzero(near >= least[:, None])
+                    found = near[at, place]
+                    order = np.lexsort((numbers[place], -found, at))
+                    at, place, found = at[order], place[order], found[order]
+                    begin = np.searchsorted(at, np.arange(len(near)))
+                    for row, n in enumerate(begin.tolist()):
+                        best = place[n : min(n + k, len(at))] if row + 1 == len(begin) else place[n : min(n + k, begin[row + 1])]
+                        out.append((keys[i + row], names, found[n : n + len(best)].tolist(), numbers[best].tolist(), y[best].tolist()))
+        return pd.DataFrame(out, columns=["id", "labels", "s", "ids", "y"])
+
+    found = left.groupBy("grp", "slice").cogroup(right.groupBy("grp", "slice")).applyInPandas(tile, "id long, labels array<string>, s array<double>, ids array<long>, y array<array<double>>")
+    nearest = lambda n: F.slice(F.sort_array(n), 1, k)
+    order = F.transform(F.arrays_zip("s", "ids", "y"), lambda x: F.struct((-x["s"]).alias("d"), x["ids"].alias("id"), x["y"].alias("y")))
+    near = found.select("id", "labels", order.alias("n")).groupBy("id", "labels").agg(nearest(F.flatten(F.collect_list("n"))).alias("n"))
+    # Where slices differ in which labels have the same rows, a label's rows come from several groups.
+    each = near.select("id", "n", F.posexplode("labels").alias("j", "label"))
+    each = each.select("id", "label", F.transform("n", lambda x: F.struct(x["d"].alias("d"), x["id"].alias("id"), F.get(x["y"], F.col("j")).alias("y"))).alias("n"))
+    best = each.groupBy("id", "label").agg(nearest(F.flatten(F.collect_list("n"))).alias("best"))
+    return best.select(F.col("id").alias(key), "label", (F.aggregate("best", F.lit(0.0), lambda s, x: s + x["y"]) / F.size("best")).alias("score"))
 
 
 def _added(table: pa.Table) -> pa.Table:
