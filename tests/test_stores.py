@@ -178,3 +178,21 @@ def test_manifest(spark, tmp_path):
     assert set(refresh()[1].values()) == {"same"} and read.value == 5 and len(stores.published(spark, kept)) == 2
     gone, found = stores.heads(spark.createDataFrame([(f"{path}/nowhere",)], "path string")).collect(), None
     assert gone[0].head is None and gone[0].error == "FileNotFoundError"
+
+
+@pytest.mark.parametrize("kind", ["zip", "tar"])
+def test_a_section_reads_its_own_part_of_the_index(tmp_path, kind, monkeypatch):
+    """However many parts there are, each member's entry is read a bounded number of times in all."""
+    path = f"{make(str(tmp_path / kind), kind)}/one.{kind}"
+    parts, seen = A.sections(path, 5000), []
+    assert len(parts) > 10
+    if kind == "zip":
+        made = zipfile.ZipFile._RealGetContents
+        monkeypatch.setattr(zipfile.ZipFile, "_RealGetContents", lambda z: (made(z), seen.extend(z.filelist))[0])
+    else:
+        read = tarfile.TarFile.next
+        monkeypatch.setattr(tarfile.TarFile, "next", lambda t: (seen.append(m := read(t)), m)[1])
+    rows = [r for first, after, section in parts for r in A.walk(path, first, after, A.Wanted(), True, section)]
+    names = [n for n, _ in CONTENTS] + (["folder", "l" * 150 + ".json"] if kind == "tar" else [])
+    assert sorted(r[1] for r in rows) == sorted(names) and not any(r[5] for r in rows)
+    assert len(seen) <= len(names) + 3 * len(parts)

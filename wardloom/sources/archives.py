@@ -3,9 +3,10 @@
     spark.dataSource.register(archives.Archives)   # archives.register(spark)
     spark.read.format("members").option("path", "/data/shards").option("suffix", ".json").load().where("member = 'a/b.json'")
 
-An archive is dealt by ranges of bytes, so one of any size is read by many tasks, and no task holds more than one member.
-Planning lists files only; each task reads the index by itself: a zip's central directory, a tar's headers (it seeks over
-what lies between). Filters on ``archive`` drop whole ranges, filters on ``member`` drop members before they are read.
+``members`` deals an archive by sections, so one of any size is read by many tasks, and no task holds more than one member.
+The sections are found by a job, in which one task reads each large archive's index once: a zip's central directory, a tar's
+headers (it seeks over what lies between); a section's task then reads its own part of the index. Read without sections, an
+archive is one task. Filters on ``archive`` drop whole ranges, filters on ``member`` drop members before they are read.
 
 Files are opened by pyarrow's file systems (local, HDFS, S3, GCS and others by their URI), on every machine.
 """
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import json
+import struct
 import tarfile
 import uuid
 import zipfile
@@ -56,14 +59,15 @@ def files(path: str) -> list[tuple[str, int]]:
 
 @dataclass
 class Part(InputPartition):
-    """The members of an archive whose place lies in [start, end)."""
+    """The members of an archive whose place lies in [start, end); ``section``: what reads them without the whole index."""
 
     archive: str
     start: int
     end: int
+    section: list | dict | None = None
 
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+    def __init__(self, archive: str, start: int, end: int, section: list | dict | None = None):
+        self.archive, self.start, self.end, self.section = archive, start, end, section
 
 
 @dataclass
@@ -82,13 +86,96 @@ class Wanted:
         return (self.names is None or name in self.names) and all(map(name.startswith, self.starts)) and all(map(name.endswith, self.ends)) and fnmatch.fnmatchcase(name, self.pattern)
 
 
-def walk(archive: str, start: int, end: int, wanted: Wanted, content: bool) -> Iterator[tuple]:
+class _Zip(io.RawIOBase):
+    """A zip archive with a section of its directory: its bytes, and behind them that section with an end record."""
+
+    def __init__(self, raw, first: int, after: int, n: int, shift: int):
+        self.raw, self.edge, self.at = raw, raw.size(), 0
+        raw.seek(first)
+        part = raw.read(after - first)
+        end = struct.pack("<4sQ2H2L4Q", b"PK\6\6", 44, 45, 45, 0, 0, n, n, len(part), self.edge - shift) + struct.pack("<4sLQL", b"PK\6\7", 0, self.edge + len(part), 1)
+        self.tail = part + end + struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        self.at = offset + (0, self.at, self.edge + len(self.tail))[whence]
+        return self.at
+
+    def read(self, size: int = -1) -> bytes:
+        last = self.edge + len(self.tail) if size is None or size < 0 else self.at + size
+        out = b""
+        if self.at < self.edge:
+            self.raw.seek(self.at)
+            out = self.raw.read(min(last, self.edge) - self.at)
+        if last > self.edge:
+            out += self.tail[max(self.at - self.edge, 0) : last - self.edge]
+        self.at += len(out)
+        return out
+
+
+def sections(archive: str, part_bytes: int) -> list[tuple[int, int, list | dict]]:
+    """Parts of an archive, read once from end to end: first place, end, and what a part needs to be read by itself: of a tar
+    the headers that hold for all that follows, of a zip a range of its directory. One that cannot be read is one part."""
+    fs, inner = _opened(archive)
+    found: list[tuple[int, int, list | dict]] = []
+    with fs.open_input_file(inner) as raw:
+        if _kind(inner) == "zip":
+            try:
+                z = zipfile.ZipFile(raw)
+            except (zipfile.BadZipFile, EOFError):
+                return [(0, 1 << 62, None)]
+            at = first = z.start_dir
+            raw.seek(at)
+            head = raw.read(46)
+            given = int.from_bytes(head[42:46], "little") if len(head) == 46 else 0
+            shift = z.infolist()[0].header_offset - given if z.infolist() and given != 0xFFFFFFFF else 0
+            n, size, places = 0, 0, []
+            for m in z.infolist():
+                at += 46 + len(m.orig_filename.encode("utf-8" if m.flag_bits & 0x800 else "cp437")) + len(m.extra) + len(m.comment)
+                n, size = n + 1, size + m.compress_size + 30 + len(m.filename)
+                places.append(m.header_offset)
+                if size >= part_bytes:
+                    found.append((min(places), max(places) + 1, [first, at, n, shift]))
+                    first, n, size, places = at, 0, 0, []
+            return found + ([(min(places), max(places) + 1, [first, at, n, shift])] if n else []) or [(0, 1 << 62, None)]
+        edges: list[tuple[int, dict]] = [(0, {})]
+        try:
+            with tarfile.open(fileobj=raw, mode="r:") as t:
+                for m in t:
+                    t.members = []
+                    if m.offset - edges[-1][0] >= part_bytes:
+                        edges.append((m.offset, dict(t.pax_headers)))
+        except (tarfile.TarError, EOFError):
+            pass  # the part that meets it says so
+    return [(a, b, h) for (a, h), (b, _) in zip(edges, [*edges[1:], (1 << 62, {})], strict=True)]
+
+
+def _indexed(spark: SparkSession, path: str, part_bytes: int) -> dict[str, list]:
+    """The sections of all archives that are larger than a part, each found by one task."""
+    try:
+        large = [a for a, size in files(path) if size > part_bytes]
+    except FileNotFoundError:
+        large = []  # the reader says so
+    if not large:
+        return {}
+    return dict(spark.sparkContext.parallelize(large, min(len(large), 1000)).map(lambda a: (a, sections(a, part_bytes))).collect())
+
+
+def walk(archive: str, start: int, end: int, wanted: Wanted, content: bool, section: list | dict | None = None) -> Iterator[tuple]:
     """Rows of ``SCHEMA``. An archive or member that cannot be read gives a row with its error, and what can be read is."""
     fs, inner = _opened(archive)
     try:
         with fs.open_input_file(inner) as raw:
             if _kind(inner) == "zip":
-                with zipfile.ZipFile(raw) as z:
+                with zipfile.ZipFile(_Zip(raw, *section) if section else raw) as z:
                     # The directory can name places in any order.
                     for m in sorted((m for m in z.infolist() if start <= m.header_offset < end and not m.is_dir() and wanted.holds(m.filename, m.header_offset)), key=lambda m: m.header_offset):
                         try:
@@ -96,18 +183,18 @@ def walk(archive: str, start: int, end: int, wanted: Wanted, content: bool) -> I
                         except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError) as e:
                             yield archive, m.filename, m.header_offset, m.file_size, None, f"{type(e).__name__}: {e}"
             else:
-                with tarfile.open(fileobj=raw, mode="r:") as t:
+                raw.seek(start)
+                with tarfile.open(fileobj=raw, mode="r:", pax_headers=section or None) as t:
                     for m in t:
                         t.members = []  # else the index of the whole archive is kept
                         if m.offset >= end:
                             break
-                        if m.offset >= start and m.isfile() and wanted.holds(m.name):
+                        if m.isfile() and wanted.holds(m.name):
                             data = t.extractfile(m).read() if content else None
                             broken = data is not None and len(data) < m.size
                             yield archive, m.name, m.offset, m.size, None if broken else data, "ReadError: unexpected end of data" if broken else None
     except (zipfile.BadZipFile, tarfile.TarError, EOFError) as e:
-        if start == 0:  # once an archive
-            yield archive, None, None, None, None, f"{type(e).__name__}: {e}"
+        yield archive, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +214,7 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.content = options["path"], options.get("content", "true").lower() != "false"
-        self.part_bytes = int(options.get("partbytes", 64 << 20))
+        self.sections = json.loads(options.get("sections", "{}"))
         self.wanted, self.archives = Wanted(options.get("pattern", "*"), ends=[options["suffix"]] if "suffix" in options else []), Wanted()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -149,17 +236,11 @@ class Reader(DataSourceReader):
                 yield f  # checked again, for the rows of errors
 
     def partitions(self) -> list[Part]:
-        parts = []
-        for archive, size in files(self.path):
-            if self.archives.holds(archive):
-                n = max(1, -(-size // self.part_bytes))
-                edges = [size * i // n for i in range(n)] + [1 << 62]
-                parts += [Part(archive, a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return parts
+        return [Part(archive, *x) for archive, _ in files(self.path) if self.archives.holds(archive) for x in self.sections.get(archive, [(0, 1 << 62)])]
 
     def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
         if isinstance(partition, Part):  # Spark reads a None where there are no partitions
-            yield from _batches(walk(partition.archive, partition.start, partition.end, self.wanted, self.content))
+            yield from _batches(walk(partition.archive, partition.start, partition.end, self.wanted, self.content, partition.section))
 
 
 @dataclass
@@ -247,7 +328,7 @@ class _Shard:
 
 
 class Archives(DataSource):
-    """Options: path; for reading suffix, pattern, content (false: the index alone) and partBytes; for writing kind."""
+    """Options: path; for reading suffix, pattern, content (false: the index alone) and sections (those of ``members``); for writing kind."""
 
     @classmethod
     def name(cls) -> str:
@@ -271,14 +352,19 @@ def register(spark: SparkSession) -> None:
 def members(spark: SparkSession, path: str, suffix: str = "", content: bool = True, part_bytes: int = 64 << 20) -> DataFrame:
     """archive, member, place (its first byte), size, content and error of every member. An archive that cannot be read is
     one row with its error, without a member; so is a member, with its name. Repeated names are rows of their own."""
+    return _members(spark, path, suffix, content, _indexed(spark, path, part_bytes))
+
+
+def _members(spark: SparkSession, path: str, suffix: str, content: bool, found: dict[str, list]) -> DataFrame:
     register(spark)
-    return spark.read.format("members").options(path=path, suffix=suffix, content=str(content), partBytes=str(part_bytes)).load()
+    return spark.read.format("members").options(path=path, suffix=suffix, content=str(content), sections=json.dumps(found)).load()
 
 
-def fetch(index: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
+def fetch(index: DataFrame, part_bytes: int = 64 << 20, found: dict[str, list] | None = None) -> DataFrame:
     """The members named by rows of archive and place (``members`` without content, filtered or joined), with their content.
 
-    Sorted by range of archive and place, so tasks read on in one archive, each about ``part_bytes``.
+    Sorted by range of archive and place, so tasks read on in one archive, each about ``part_bytes``. ``found``: sections of
+    the archives by name; without those of a zip its whole directory is read for every batch.
     """
     total = F.sum("size").alias("bytes")
     parts = max(1, -(-int(index.agg(total).first().bytes or 0) // part_bytes))
@@ -290,14 +376,14 @@ def fetch(index: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
                 for archive, place in zip(batch.column("archive").to_pylist(), batch.column("place").to_pylist(), strict=True):
                     spans.setdefault(archive, set()).add(place)
                 for archive, places in spans.items():
-                    yield from walk_places(archive, places)
+                    yield from walk_places(archive, places, (found or {}).get(archive))
 
         yield from _batches(rows())
 
     return index.where("place IS NOT NULL").select("archive", "place").repartitionByRange(parts, "archive", "place").sortWithinPartitions("archive", "place").mapInArrow(fetched, SCHEMA)
 
 
-def walk_places(archive: str, places: set[int]) -> Iterator[tuple]:
+def walk_places(archive: str, places: set[int], parts: list | None = None) -> Iterator[tuple]:
     """The members that begin at these places, a row each. A tar's headers are read where they lie, without a walk."""
     fs, inner = _opened(archive)
     if _kind(inner) == "tar":
@@ -308,7 +394,9 @@ def walk_places(archive: str, places: set[int]) -> Iterator[tuple]:
                     m = t.next()
                     yield archive, m.name, place, m.size, t.extractfile(m).read(), None
     else:
-        yield from walk(archive, min(places), max(places) + 1, _Places(places), True)
+        for first, after, section in parts or [(0, 1 << 62, None)]:
+            if first <= max(places) and after > min(places) and (own := {p for p in places if first <= p < after}):
+                yield from walk(archive, min(own), max(own) + 1, _Places(own), True, section)
 
 
 class _Places(Wanted):
@@ -326,10 +414,11 @@ def wanted(spark: SparkSession, path: str, keys: DataFrame, part_bytes: int = 64
 
     The index is read without contents and joined; only what is wanted is read.
     """
-    index = members(spark, path, content=False, part_bytes=part_bytes).where("member IS NOT NULL").select("member", "archive", "place", "size")
+    sections_of = _indexed(spark, path, part_bytes)
+    index = _members(spark, path, "", False, sections_of).where("member IS NOT NULL").select("member", "archive", "place", "size")
     names = keys.select("member").where("member IS NOT NULL").distinct()
     first = index.join(names, "member", "left_semi").groupBy("member").agg(F.min(F.struct("archive", "place", "size")).alias("at"))
-    found = fetch(first.select("at.*"), part_bytes).select("member", "archive", "size", "content", "error")
+    found = fetch(first.select("at.*"), part_bytes, sections_of).select("member", "archive", "size", "content", "error")
     return keys.join(found, "member", "left")
 
 
