@@ -106,9 +106,9 @@ _KAGGLE = "(SELECT l_orderkey, min(l_linenumber) AS first, list([l_suppkey % 40
 @query(f"""SELECT l_orderkey::VARCHAR AS patient_id, l_orderkey::VARCHAR AS study_id, l_orderkey || '.dcm' AS image_path, coalesce(len(boxes), 0)::INT AS n_boxes, coalesce(round(list_sum(list_transform(boxes, lambda b: list_sum(b))), 6), 0)::DOUBLE AS sum_boxes,
   (l_orderkey % 3 = 0)::INT::DOUBLE AS lung_opacity, (l_orderkey % 3 = 1)::INT::DOUBLE AS "no_lung_opacity_/_not_normal", (l_orderkey % 3 = 2)::INT::DOUBLE AS normal FROM {_KAGGLE}""")
 def sr05_rsna_pneumonia(spark, d):
-    rows = lines(spark, d).repartitionByRange(4, "l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber")
+    rows = lines(spark, d).repartitionByRange("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber")
     first = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
-    classes = rows.withColumn("n", first).select(F.col("l_orderkey").alias("patientId"), F.expr("element_at(array('Lung Opacity', 'No Lung Opacity / Not Normal', 'Normal'), int(1 + (l_orderkey + n - 1) % 3))").alias("class"), "n").repartitionByRange(4, "patientId").sortWithinPartitions("patientId", "n").drop("n")
+    classes = rows.withColumn("n", first).select(F.col("l_orderkey").alias("patientId"), F.expr("element_at(array('Lung Opacity', 'No Lung Opacity / Not Normal', 'Normal'), int(1 + (l_orderkey + n - 1) % 3))").alias("class"), "n").repartitionByRange("patientId").sortWithinPartitions("patientId", "n").drop("n")
     boxes = rows.select(F.col("l_orderkey").alias("patientId"), F.expr("l_partkey % 50 * 20.0").alias("x"), F.expr("l_suppkey % 40 * 20.0").alias("y"), F.col("l_quantity").alias("width"), F.lit(300.0).alias("height"), (F.col("l_returnflag") == "R").cast("int").alias("Target"))
     built = sources.build(spark, "rsna_pneumonia_kaggle", {"table": _csv(classes), "boxes": _csv(boxes)})
     total = F.aggregate(F.flatten("bbox"), F.lit(0.0), lambda s, x: s + x)
@@ -126,7 +126,7 @@ def sr06_rsna_bone_age(spark, d):
 def sr07_siim_acr_ptx(spark, d):
     p, images = table(spark, d, "pages"), scratch.folder(spark)
     runs = F.expr("CASE page_id % 3 WHEN 0 THEN array('-1') WHEN 1 THEN array(concat(page_id, ' 5')) ELSE array(concat(page_id, ' 5 '), concat(page_id + 9, ' 2')) END")
-    rows = p.select("page_id", F.posexplode(runs)).repartitionByRange(4, "page_id").sortWithinPartitions("page_id", "pos").select("page_id", F.concat(F.lit(" "), "col"))
+    rows = p.select("page_id", F.posexplode(runs)).repartitionByRange("page_id").sortWithinPartitions("page_id", "pos").select("page_id", F.concat(F.lit(" "), "col"))
     stores.write_files(p.select(F.expr("concat('p', page_id % 20, '/s', page_id, '/', page_id, '.dcm')").alias("name"), F.lit("x").alias("content")), images)
     return sources.build(spark, "siim_acr_ptx", {"table": _csv(rows, "ImageId", " EncodedPixels"), "images": images})
 
