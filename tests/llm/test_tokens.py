@@ -112,3 +112,43 @@ def test_given_sections(spark):
     got = [(r.doc_id, r.section, r.n_start, r.n_majority, r.n_crossing) for r in token_counts.count(docs, PATH, "parts").orderBy("doc_id", "section").collect()]
     # tokens: "one" [0,3), " two" [3,7), " three" [7,13), " four" [13,18)
     assert got == [(1, 0, 2, 2, 1), (1, 1, 1, 2, 2), (3, 0, 0, 0, 0)]
+
+
+def test_parts_between_spaces():
+    """Parts of texts are kept with the space before them; white space in any place leads to the library's ids."""
+    library, encoder = Tokenizer.from_file(PATH), bpe.Encoder(bpe.Vocabulary(bpe.load(PATH)), most_words=50)
+    rng, some = random.Random(8), ["a", "th", "é", "日", ".", ",", "'s", "'", " ", " ", "  ", "\n", "\t", "\x85", "\xa0", "1", "22", "<|endoftext|>", "\x1c", "🙂", "word", "word,", "\x1c "]
+    for _ in range(30):
+        texts = ["".join(rng.choices(some, k=rng.randrange(25))) for _ in range(60)]
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert memoryview(ids).cast("i").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_tokens_are_found_without_probing():
+    """Each byte leads to the tokens that end there: at most one step for each of them, however long the vocabulary's are."""
+    v = bpe.Vocabulary(bpe.load(PATH))
+    rng = random.Random(2)
+    for _ in range(300):
+        raw = "".join(rng.choice(["in", "g", "th", "e", "tion", "é", "==", " "]) for _ in range(8)).encode()
+        node = 0
+        for i, byte in enumerate(raw):
+            node, found = v.move(node, byte), []
+            t = v.token[node]
+            while t is not None:
+                found.append(v.bytes[t])
+                t = v.shorter[t]
+            assert found == [x for j in range(i + 1) if (x := raw[j : i + 1]) in v.ids]
+
+
+def test_sections_of_many_texts_at_once(spark):
+    """Sections beyond a text's end, empty ones and null texts count nothing of the next text."""
+    rows = [(1, "né à", [(0, 2), (2, 9), (9, 40)]), (2, None, [(0, 3)]), (3, "日本語テキスト", [(1, 1), (2, 5)]), (4, "", [(0, 9)]), (5, "one two", [(-3, 1), (1, 1), (5, 7)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<start:int,end:int>>").coalesce(1)
+    v, library = bpe.Vocabulary(bpe.load(PATH)), Tokenizer.from_file(PATH)
+    got = token_counts.count(docs, PATH, "parts").collect()
+    assert [(r.doc_id, r.section, r.start, r.end) for r in got] == [(d, i, *x) for d, _, parts in rows for i, x in enumerate(parts)]
+    for d, text, parts in rows:
+        whole = [(max(a, 0), min(b, len(text or ""))) for a, b in parts]
+        want = brute(text or "", library.encode(text or "", add_special_tokens=False).ids, v.bytes, whole)
+        for r, (s, _, f, _), (a, b) in zip([r for r in got if r.doc_id == d], want, whole, strict=True):
+            assert a >= b or (r.n_start == s and abs(r.n_share - f) < 1e-9)

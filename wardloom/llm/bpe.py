@@ -5,7 +5,8 @@ encoding of a shorter prefix. The distinct words of a piece of text are put in a
 neighbours in it share a path from the root. A depth-first walk keeps one last token for each byte of the current path,
 so the encoding of a shared prefix is worked out once, and the walk needs no more memory than its longest word.
 
-A token ends a prefix if it may follow the last token of what is left: no merge may cross the border between the two
+The tokens that end at a byte are found by the trie of the vocabulary, whose nodes lead on to their longest suffix there. A
+token ends a prefix if it may follow the last token of what is left: no merge may cross the border between the two
 before either is complete. That is decided once for each pair of tokens and kept.
 """
 
@@ -15,7 +16,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from ._words import pieces, small_batches
 
 NEVER = 1 << 60
+_MARKS = (".", ",", ";", ":", "!", "?")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -35,6 +37,7 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@cache
 def _ranges(kind: str) -> str:
     """The characters of a Unicode category as ranges of a class: a plain class is matched faster than a property."""
     every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
@@ -77,6 +80,34 @@ class Vocabulary:
         for b, i in [*self.ids.items(), *((s.encode(), i) for s, i in self.added.items())]:
             self.bytes[i] = b
 
+        # The trie of the tokens' bytes: next node by node and byte, and the token at a node or the longest that ends there.
+        self.next, self.token, depth = {}, [None], [0]
+        for b, i in self.ids.items():
+            node = 0
+            for x in b:
+                key = node << 8 | x
+                if (node := self.next.get(key)) is None:
+                    node = self.next[key] = len(depth)
+                    depth.append(depth[key >> 8] + 1)
+                    self.token.append(None)
+            if node:
+                self.token[node] = i
+        self.fail, self.shorter = [0] * len(depth), [None] * size
+        for key, node in sorted(self.next.items(), key=lambda x: depth[x[1]]):
+            back = self.fail[node] = self.move(self.fail[key >> 8], key & 255) if key >> 8 else 0
+            if (t := self.token[node]) is None:
+                self.token[node] = self.token[back]
+            else:
+                self.shorter[t] = self.token[back]
+
+    def move(self, node: int, byte: int) -> int:
+        """The node of the longest suffix that tokens begin with, after one byte more."""
+        while (to := self.next.get(node << 8 | byte)) is None:
+            if not node:
+                return 0
+            node = self.fail[node]
+        return to
+
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The pieces on one edge of a token while it grows, each with the rank at which it is merged into the next."""
         out, until = [], NEVER
@@ -90,16 +121,16 @@ class Vocabulary:
 class Encoder:
     """Encodes words by a walk over the trie of the distinct ones. One for each task; its memory is bounded."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 300_000, most_pairs: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 400_000, most_pairs: int = 500_000):
         self.v, self.most_words, self.most_pairs = vocabulary, most_words, most_pairs
         self.known: dict[str, bytes] = {}
+        #: The ids of what stands between two spaces, with the space before it; None where more white space follows.
+        self.spaced: dict[str, bytes | None] = {}
         self.fits: dict[int, bool] = {}
+        self.moves: dict[int, int] = {}
         self.left: dict[int, list] = {}
         self.right: dict[int, list] = {}
-        # A suffix of a prefix can only be a token as long as the longest token with its last two bytes.
-        self.longest: dict[bytes, int] = {}
-        for b in vocabulary.ids:
-            self.longest[b[-2:]] = max(self.longest.get(b[-2:], 1), len(b))
+        self.size = [len(b) if b else 0 for b in vocabulary.bytes]
         whole = sorted(vocabulary.added, key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, whole)) + ")") if whole else None
         self.added_ids = {s: np.int32(i).tobytes() for s, i in vocabulary.added.items()}
@@ -125,10 +156,14 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Adds the encodings of these words, by a depth-first walk over their trie."""
-        get, follows, longest, known = self.v.ids.get, self.follows, self.longest.get, self.known
-        before, last = b"", [-1]  # last[i]: the last token of the first i bytes of the path
-        sizes = [0]
-        for raw, word in sorted((w.encode(), w) for w in words):
+        v, known, size, follows = self.v, self.known, self.size, self.follows
+        token, shorter, moved, fits, pack = v.token, v.shorter, self.moves.get, self.fits.get, partial(array, "i")
+        if len(self.moves) > self.most_pairs:
+            self.moves.clear()
+        # Of the first i bytes of the path: last[i], its last token, and nodes[i], the longest suffix that tokens begin with.
+        before, last, nodes = b"", [-1], [0]
+        for word in sorted(words):  # in the order of their bytes, too
+            raw = word.encode()
             n, shared = len(raw), 0
             most = min(n, len(before))
             if raw[:most] == before[:most]:
@@ -136,42 +171,88 @@ class Encoder:
             else:
                 while raw[shared] == before[shared]:
                     shared += 1
-            del last[shared + 1 :], sizes[shared + 1 :]
+            del last[shared + 1 :], nodes[shared + 1 :]
+            node = nodes[shared]
             for i in range(shared + 1, n + 1):
-                for size in range(min(i, longest(raw[max(0, i - 2) : i], 1)), 0, -1):
-                    t = get(raw[i - size : i])
-                    if t is not None and (size == i or follows(last[i - size], t)):
-                        last.append(t)
-                        sizes.append(size)
+                key = node << 8 | raw[i - 1]
+                if (node := moved(key)) is None:
+                    node = self.moves[key] = v.move(key >> 8, key & 255)
+                t = token[node]
+                while t is not None:
+                    if (k := size[t]) == i:
                         break
+                    u = last[i - k]
+                    fit = fits(u << 20 | t)
+                    if follows(u, t) if fit is None else fit:
+                        break
+                    t = shorter[t]
                 else:
                     raise ValueError(f"the vocabulary cannot encode {raw[:i]!r}")
-            out, i = array("i"), n
+                last.append(t)
+                nodes.append(node)
+            out, i = [], n
             while i:
-                out.append(last[i])
-                i -= sizes[i]
+                out.append(t := last[i])
+                i -= size[t]
             out.reverse()
-            known[word] = out.tobytes()
+            known[word] = pack(out).tobytes()
             before = raw
 
+    def space(self, fresh: set[str]) -> None:
+        """Adds the encodings of these parts of texts between spaces. Each is split by itself, with its space: a word has a
+        space at its start only, but for white space before other white space."""
+        find, blank, known, spaced = splitter().findall, re.compile(f"[{_ranges('White_Space')}]").match, self.known, self.spaced
+        # Most are a word of plain letters, or one with a mark after it.
+        plain = [x for x in fresh if x.isascii() and x.isalpha()]
+        marked = [x for x in fresh.difference(plain) if x[-1:] in _MARKS and x.isascii() and x[:-1].isalpha()]
+        other = {x: () if not x or blank(x) else find(" " + x) for x in fresh.difference(plain, marked)}
+        words = {w for part in other.values() for w in part}
+        words.update([" " + x for x in plain], [" " + x[:-1] for x in marked], _MARKS)
+        self.learn(words)
+        for x in plain:
+            spaced[x] = known[" " + x]
+        for x in marked:
+            spaced[x] = known[" " + x[:-1]] + known[x[-1]]
+        for x, part in other.items():
+            spaced[x] = b"".join(map(known.__getitem__, part)) if part else None
+        known.clear()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit integers; null is the empty text."""
-        find = splitter().findall
+        if len(self.spaced) > self.most_words:
+            self.spaced.clear()
         parts: list[list[list[str] | str]] = []
+        fresh: set[str] = set()
         for text in texts:
-            if not text:
-                parts.append([])
-            elif self.added is not None and self.added.search(text):
-                split = self.added.split(text)
-                parts.append([x if i % 2 else find(x) for i, x in enumerate(split)])
-            else:
-                parts.append([find(text)])
-        fresh = {w for part in parts for x in part if not isinstance(x, str) for w in x}
-        if len(self.known) > self.most_words:
-            self.known.clear()
-        self.learn(fresh.difference(self.known))
-        get = self.known.__getitem__
-        return [b"".join(self.added_ids[x] if isinstance(x, str) else b"".join(map(get, x)) for x in part) for part in parts]
+            split = self.added.split(text) if text and self.added is not None else [text] if text else []
+            part = [x if i % 2 else x.split(" ") for i, x in enumerate(split)]
+            for x in part[::2]:
+                fresh.update(x[1:])
+            parts.append(part)
+        self.space(fresh.difference(self.spaced))
+        get, find, out, firsts = self.spaced.__getitem__, splitter().findall, [], []
+        # What is before the first space, and all of a text with white space after a space, is split as a whole.
+        for part in parts:
+            done: list[bytes | list[str]] = []
+            for i, x in enumerate(part):
+                if i % 2:
+                    done.append(self.added_ids[x])
+                    continue
+                ids = list(map(get, x[1:]))
+                if None in ids:
+                    done.append(find(" ".join(x)))
+                    firsts.append(done[-1])
+                else:
+                    if x[0]:
+                        done.append(find(x[0]))
+                        firsts.append(done[-1])
+                    done.append(b"".join(ids))
+            out.append(done)
+        self.learn({w for x in firsts for w in x})
+        word = self.known.__getitem__
+        ids = [b"".join(x if isinstance(x, bytes) else b"".join(map(word, x)) for x in done) for done in out]
+        self.known.clear()
+        return ids
 
 
 def _lists(ids: list[bytes]) -> pa.Array:

@@ -19,16 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._words import pieces, small_batches
+from ._words import Texts, pieces, small_batches
 from .bpe import Encoder, Vocabulary, load
 
 COLUMNS = [("section", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_start", pa.int64()), ("n_majority", pa.int64()), ("n_share", pa.float64()), ("n_crossing", pa.int64())]
 
 
-def token_spans(raw: bytes, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first character of each token and the one after its last, in characters of the text."""
+def token_spans(data: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first character of each token and the one after its last, in characters of the bytes."""
     ends = np.cumsum(size[ids])
-    nth = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # characters begun up to each byte
+    nth = np.cumsum((data & 0xC0) != 0x80)  # characters begun up to each byte
     return nth[ends - size[ids]] - 1, nth[ends - 1]
 
 
@@ -43,19 +43,20 @@ def attribute(first: np.ndarray, after: np.ndarray, a: np.ndarray, b: np.ndarray
     length = after[token] - first[token]
     share = np.bincount(section, overlap / length, len(a))
     crossing = np.bincount(section[overlap < length], minlength=len(a))
-    # Of the sections that a token touches, in order of (most characters, earliest).
-    order = np.lexsort((section, -overlap, token))
+    # Of the sections that a token touches, in order of (most characters, earliest). Most touch one.
+    several = np.bincount(token, minlength=len(first))[token] > 1
+    among = np.flatnonzero(several)
+    order = among[np.lexsort((section[among], -overlap[among], token[among]))]
     best = np.ones(len(order), bool)
     best[1:] = token[order[1:]] != token[order[:-1]]
-    return n_start, np.bincount(section[order[best]], minlength=len(a)), share, crossing
+    return n_start, np.bincount(np.concatenate([section[~several], section[order[best]]]), minlength=len(a)), share, crossing
 
 
-def lines(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The lines of a text as sections; each has its line end, so they tile the text."""
-    ends = [i + 1 for i, c in enumerate(text) if c == "\n"] if "\n" in text else []
-    if not ends or ends[-1] != len(text):
-        ends.append(len(text))
-    return np.array([0, *ends[:-1]], np.int64), np.array(ends, np.int64)
+def lines(data: np.ndarray, nth: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of texts that lie one after another, as sections: the text of each, and its first character and the one
+    after its last. Each line has its line end, so they tile the texts. ``nth``: characters begun up to each byte."""
+    after = np.union1d(nth[np.flatnonzero(data == 0x0A)], ends[ends > 0])
+    return np.searchsorted(ends, after), np.concatenate([[0], after[:-1]]).astype(np.int64), after
 
 
 def count(docs: DataFrame, tokenizer_path: str, sections: str | None = None, piece_bytes: int = 2 << 20) -> DataFrame:
@@ -75,25 +76,25 @@ def count(docs: DataFrame, tokenizer_path: str, sections: str | None = None, pie
         encoder = Encoder(shared.value)
         size = np.array([len(b or b"") for b in shared.value.bytes], np.int64)
         for batch in pieces(batches, "text", piece_bytes):
-            texts, rows, out = batch.column("text").to_pylist(), [], []
-            given = batch.column("sections").to_pylist() if sections else None
-            for k, (text, ids) in enumerate(zip(texts, encoder.encode(texts), strict=True)):
-                text = text or ""
-                if given is None:
-                    if not text:
-                        continue
-                    a, b = lines(text)
-                else:
-                    a = np.array([x["start"] for x in given[k] or []], np.int64)
-                    b = np.array([x["end"] for x in given[k] or []], np.int64)
-                if not len(a):
-                    continue
-                first, after = token_spans(text.encode(), np.frombuffer(ids, np.int32), size) if ids else (np.zeros(0, np.int64),) * 2
-                rows.append(np.full(len(a), k))
-                out.append((np.arange(len(a)), a, b, *attribute(first, after, a, b)))
-            if rows:
-                columns = [pa.array(np.concatenate([x[i] for x in out]), kind) for i, (_, kind) in enumerate(COLUMNS)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.concatenate(rows))), *columns], ["doc_id", *(n for n, _ in COLUMNS)])
+            encoded = encoder.encode(batch.column("text").to_pylist())
+            # All texts at once, one after another: a token is of one text, since the ids of each give its bytes.
+            texts = Texts(batch.column("text"))
+            first, after = token_spans(texts.data, np.frombuffer(b"".join(encoded), np.int32), size)
+            nth = np.cumsum((texts.data & 0xC0) != 0x80)
+            at = np.concatenate([[0], nth])[texts.offsets]  # where each text begins, in characters
+            if sections:
+                given = batch.column("sections").to_pylist()
+                row = np.repeat(np.arange(len(given)), [len(x or ()) for x in given])
+                a, b = (np.array([x[k] for of in given for x in of or ()], np.int64) for k in ("start", "end"))
+                low, high = (at[row] + np.clip(x, 0, np.diff(at)[row]) for x in (a, b))
+            else:
+                row, low, high = lines(texts.data, nth, at[1:])
+                a, b = low - at[row], high - at[row]
+            if len(row):
+                number = np.arange(len(row)) - np.searchsorted(row, row)
+                values = (number, a, b, *attribute(first, after, low, high))
+                columns = [pa.array(x, kind) for x, (_, kind) in zip(values, COLUMNS, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *columns], ["doc_id", *(n for n, _ in COLUMNS)])
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(counted, f"doc_id {kind}, section int, start long, end long, n_start long, n_majority long, n_share double, n_crossing long")
