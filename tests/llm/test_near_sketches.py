@@ -61,3 +61,43 @@ def test_small_tiles_and_narrow_blocks(spark):
             if 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j]):
                 up[max(find(i), find(j))] = min(find(i), find(j))
     assert got == {i: find(i) for i in range(len(sets))}
+
+
+def test_segments_without_shingles():
+    """Sets that share no shingle share no signature, unless they are thin in many segments; similar ones always do."""
+    r = np.random.default_rng(4)
+    band = jaccard.allocate(12, 120, 50_000, 8, 10)
+    assert band.slack > 0
+    sets = [np.unique(r.integers(0, 1 << 63, int(r.integers(96, 121))).astype(np.uint64)) for _ in range(1500)]
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    docs, signatures = band.signatures(np.concatenate(sets), doc, len(sets))
+    _, inverse, counts = np.unique(signatures, return_inverse=True, return_counts=True)
+    assert len(np.unique(docs[counts[inverse] > 1])) <= 0.02 * len(sets)
+    for x in (*sets[:200], *(s[:n] for n in (1, 5, 30, 77) for s in sets[:20])):  # thin ones too
+        k = int(r.integers(0, band.allowed + 1))
+        gone = min(int(r.integers(0, k + 1)), len(x) - 1)
+        y = np.concatenate([x[gone:], r.integers(0, 1 << 63, k - gone).astype(np.uint64)])
+        both = [set(band.signatures(np.sort(s), np.zeros(len(s), np.int64), 1)[1].tolist()) for s in (x, y)]
+        assert both[0] & both[1]
+
+
+def test_shingles_that_many_hold():
+    """A passage that all sets hold brings unlike ones together where it is not known as common; similar ones always meet."""
+    r = np.random.default_rng(5)
+    line = np.sort(r.integers(0, 1 << 63, 12).astype(np.uint64))
+    band = jaccard.allocate(12, 120, 50_000, 8, 10)
+    sets = [np.unique(np.concatenate([line, r.integers(0, 1 << 63, int(r.integers(90, 108))).astype(np.uint64)])) for _ in range(1000)]
+    doc, met = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), []
+    for common in (jaccard.NONE, line):
+        docs, signatures = band.signatures(np.concatenate(sets), doc, len(sets), common)
+        _, inverse, counts = np.unique(signatures, return_inverse=True, return_counts=True)
+        met.append(len(np.unique(docs[counts[inverse] > 1])))
+    assert met[1] * 5 < met[0]
+    for loose in (0, 4, 20):
+        band = jaccard.Band(3, 20, 30, loose)
+        for x in (*sets[:60], *(np.sort(np.append(line[:k], s[:k])) for k in (1, 4, 9) for s in sets[:20])):
+            k = int(r.integers(0, 21))
+            gone = min(int(r.integers(0, k + 1)), len(x) - 1)
+            y = np.concatenate([r.permutation(x)[gone:], r.integers(0, 1 << 63, k - gone).astype(np.uint64)])
+            both = [set(band.signatures(np.unique(s), np.zeros(len(np.unique(s)), np.int64), 1, line)[1].tolist()) for s in (x, y)]
+            assert both[0] & both[1]

@@ -6,7 +6,8 @@
    shingles. The universe of shingles is hashed into segments, ``a`` exact and ``d`` with one deletion, a + 2 d > H:
    if all exact segments of two sets differed, and all others by two or more shingles, they would differ by more than
    H. So two similar sets share the signature of an exact segment, or that of a segment or of it less one shingle.
-   ``a`` and ``d`` are allocated for each band by cost: signatures written against false candidates expected.
+   Segments without shingles agree in unlike sets too, and so do those with nothing but what many texts hold. So there are
+   some segments more than that: sets that are thin in no more of them than these give no signature of such.
 3. Sets that share a signature are candidates. Only a star is kept of each signature: the sets of a piece of the corpus
    meet its smallest there, and these meet across pieces. The components of the stars are clusters.
 4. Inside a cluster of up to a tile's size all sets are compared: by size, then by parity sketches, whose distance is
@@ -33,10 +34,14 @@ from .components import components
 
 WORD = separators("space")
 RATIO = 1.25
-#: What the comparison of two sketches costs, in signatures written.
-PAIR = 0.02
 #: The sets that all others of a large cluster meet first.
 REPRESENTATIVES = 8
+#: The share of sets that may give signatures of no shingle.
+OPEN = 0.001
+#: The most shingles that are told to all tasks as held by many texts.
+COMMON = 50_000
+#: The sets of a band that a shingle which all hold may bring together, before segments are loose.
+MEET = 1_000_000
 
 
 def _bounds(most: int) -> list[int]:
@@ -73,52 +78,84 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(doc[new], np.arange(texts.n + 1))
 
 
+NONE = np.zeros(0, np.uint64)
+
+
 @dataclass
 class Band:
-    """The segments of one band: ``exact`` of weight one, then ``loose`` of weight two, which allow a deletion."""
+    """The segments of one band: ``exact`` of weight one, then ``loose`` of weight two, which allow a deletion.
+
+    Segments that agree weigh ``slack`` + 1 or more in two similar sets. A segment that a match may leave without a
+    shingle is weak: it agrees with all others such. A set whose weak segments weigh no more than the slack shares a
+    signature of some shingle with each similar set, so it gives no signature of none. Shingles that many sets hold do not
+    count in this; they may be any, as long as they are the same for all sets.
+    """
 
     number: int
     allowed: int
     exact: int
     loose: int
 
-    def signatures(self, h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document, signature) of the sets ``h``, given with the document of each shingle."""
+    @property
+    def slack(self) -> int:
+        return self.exact + 2 * self.loose - self.allowed - 1
+
+    def signatures(self, h: np.ndarray, doc: np.ndarray, n_docs: int, common: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray]:
+        """(document, signature) of the sets ``h``, given with the document of each shingle; ``common`` rises."""
         m, units = self.exact + self.loose, self.exact + 2 * self.loose
         unit = (mix64(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(units)).astype(np.int64)
         segment = np.where(unit < self.exact, unit, self.exact + (unit - self.exact) // 2)
         part = mix64(h + np.uint64(0x2545F4914F6CDD1D))
         cell = doc * m + segment
-        sums = np.zeros(n_docs * m, np.uint64)
         order = np.argsort(cell, kind="stable")
         ends = np.searchsorted(cell[order], np.arange(n_docs * m + 1))
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part[order])])
         sums = running[ends[1:]] - running[ends[:-1]]
+        own = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h if len(common) else np.ones(len(h), bool)
+        count = np.bincount(cell[own], minlength=n_docs * m)
+        loose = np.arange(m) >= self.exact
+        weak = (count.reshape(n_docs, m) <= loose) @ (1 + loose)
+        whole = np.repeat(weak > self.slack, m)  # whether signatures of no shingle count
         name = mix64(np.arange(m, dtype=np.uint64) + np.uint64(self.number << 32))  # of the segment
-        docs, signatures = [np.repeat(np.arange(n_docs), m)], [mix64(sums + np.tile(name, n_docs))]
-        deleted = segment >= self.exact
-        if deleted.any():
+        full = np.flatnonzero((count > 0) | whole)
+        docs, signatures = [full // m], [mix64(sums[full] + name[full % m])]
+        deleted = np.flatnonzero((segment >= self.exact) & ((count[cell] > own) | whole[cell]))
+        if len(deleted):
             docs.append(doc[deleted])
             signatures.append(mix64(sums[cell[deleted]] - part[deleted] + name[segment[deleted]]))
         return np.concatenate(docs), np.concatenate(signatures)
 
 
+def _segments(weight: int, unit: float, loose: bool) -> tuple[int, int, float, float]:
+    """Segments of this weight, exact ones and loose ones, with ``unit`` shingles for each weight; about how many of them
+    are weak in a set; and the chance that one holds nothing but a given shingle of it."""
+    few = math.exp(-2 * unit) * (1 + 2 * unit) if loose else math.exp(-unit)
+    return (weight % 2, weight // 2, weight // 2 * few + weight % 2 * math.exp(-unit), few) if loose else (weight, 0, weight * few, few)
+
+
 def allocate(number: int, top: int, sets: int, numerator: int, denominator: int) -> Band | None:
-    """The cheapest segments for a band of ``sets`` sets of up to ``top`` shingles; None if only equal sets can link."""
+    """The segments for a band of ``sets`` sets of up to ``top`` shingles; None if only equal sets can link.
+
+    Exact segments give the fewest signatures. Sets that share no more than a line meet where one holds a single shingle of
+    it; where these may be very many, segments are loose. The slack is as large as leaves few sets that give signatures of no shingle.
+    """
     allowed = 2 * top * (denominator - numerator) // (denominator + numerator)
     if allowed == 0:
         return None
-    unit = top / RATIO / (allowed + 1)  # shingles in a segment of weight one, of the smaller sets
-    best = None
-    for loose in range((allowed + 1) // 2 + 1):
-        exact = allowed + 1 - 2 * loose
-        written = sets * (exact + loose * (1 + 2 * unit))
-        # Unlike sets meet in a segment that is empty in both or, with a deletion, holds at most one shingle of both.
-        false = sets**2 * (exact * math.exp(-2 * unit) + loose * math.exp(-4 * unit) * (1 + 4 * unit))
-        # Once most sets have a false candidate their clusters grow into one, in which all sketches are compared.
-        compared = false + (sets**2 / 2 if false > sets else 0)
-        if best is None or written + PAIR * compared < best[0]:
-            best = (written + PAIR * compared, exact, loose)
+    least = top / RATIO * numerator / denominator  # shingles of the smallest sets, which are from the band below
+    for loose in (False, True):
+        best = None
+        for slack in range(8 + allowed // 4):
+            weight = allowed + 1 + slack
+            exact, double, weak, single = _segments(weight, least / weight, loose)
+            most = slack // 2 if loose else slack
+            over = 1 - sum(math.exp(k * math.log(weak) - weak - math.lgamma(k + 1)) for k in range(most + 1))
+            if best is None or over < best[0]:
+                best = (over, exact, double, single)
+            if over <= OPEN:
+                break
+        if best[3] * sets <= MEET:
+            break
     return Band(number, allowed, best[1], best[2])
 
 
@@ -236,9 +273,16 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
             h, edge = shingle_sets(batch.column("text"), n)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h + np.uint64(s)))]) for s in (0x1234567, 0x89ABCDEF)]
             a, b = ((x[edge[1:]] - x[edge[:-1]]).view(np.int64) for x in sums)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(edge), pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_shingles", "fa", "fb"])
-
-    sets = cut(source.mapInArrow(sized, "doc_id long, n_shingles long, fa long, fb long"))
+            values, counts = np.unique(h, return_counts=True)
+            often = [values[counts >= max(8, batch.num_rows / 64)].view(np.int64), *[None] * (batch.num_rows - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(edge), pa.int64()), pa.array(a), pa.array(b), pa.array(often, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fa", "fb", "often"])
+
+    sets = cut(source.mapInArrow(sized, "doc_id long, n_shingles long, fa long, fb long, often array<long>"))
+    # The shingles that many texts hold in an eighth of the pieces or more; which these are changes the cost, not the result.
+    listed = sets.where("often IS NOT NULL")
+    frequent = listed.select(F.explode("often").alias("h")).groupBy("h").count().where(F.col("count") * 8 >= max(8, listed.count())).orderBy(F.desc("count"), "h").limit(COMMON)
+    common = np.sort(np.array([r.h for r in frequent.collect()], np.int64).view(np.uint64))
+    sets = sets.drop("often")
     classes = cut(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fa", "fb").agg(F.min("doc_id").alias("class"), F.max("n_shingles").alias("n")))
     bounds = _bounds(classes.agg(F.max("n")).first()[0] or 1)
     number = sum((F.when(F.col("n") >= b, 1).otherwise(0) for b in bounds), F.lit(0)) - 1
@@ -259,7 +303,7 @@ def join(docs: DataFrame, n: int = 5, numerator: int = 8, denominator: int = 10,
             keys, who = [], []
             for band, these in _dealt(np.where(np.isin(np.arange(len(ids)), known), np.diff(edge), 0), bounds, numerator, denominator):
                 if band < len(bands) and bands[band] is not None:
-                    docs, s = bands[band].signatures(*_members(h, edge, these), len(these))
+                    docs, s = bands[band].signatures(*_members(h, edge, these), len(these), common)
                     keys.append(s)
                     who.append(ids[these[docs]])
             if not keys:
