@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -98,6 +99,31 @@ def test_links_of_tokens_without_bytes():
     assert sorted(zip(at.tolist(), x.tolist(), y.tolist(), strict=True)) == sorted((common.tolist().index(p), i, j) for i, p in enumerate(a.tolist()) for j, q in enumerate(b.tolist()) if p == q)
 
 
+def test_cuts_do_not_look_for_repeats():
+    rng = np.random.default_rng(1)
+    a, b = (np.cumsum(rng.integers(1, 5, 400_000)) for _ in range(2))
+
+    def seconds(f):
+        start = time.process_time()
+        out = f()
+        return time.process_time() - start, out
+
+    ours = [seconds(lambda: alignment.cuts(a, b)) for _ in range(3)]
+    plain = [seconds(lambda: np.intersect1d(a, b)) for _ in range(3)]
+    assert ours[0][1][0].tolist() == plain[0][1].tolist()
+    assert min(t for t, _ in ours) < min(t for t, _ in plain)
+
+
+def test_texts_that_tokens_do_not_spell():
+    raw = [b" ab", b" c", b"", b" d"]
+    spelling = alignment.Spelling([b" a", b"b", b"", b" c", b" d"])
+    assert spelling.spell(np.array([0, 1, 2, 3, 4, 4]), step=2) == b" ab c d d"
+    good = [0, 1, 2, 3, 4]
+    assert alignment.spelled(spelling, np.array(good), np.array([3, 1, 0, 1]), raw).tolist() == [True] * 4
+    assert alignment.spelled(spelling, np.array([0, 1, 4, 4]), np.array([2, 1, 0, 1]), raw).tolist() == [True, False, True, True]
+    assert alignment.spelled(spelling, np.array([0, 1, 1, 3, 4]), np.array([3, 1, 0, 1]), raw).tolist() == [False, True, True, True]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.cross(none, A, B).count() == 0

@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,26 @@ PAIR_BITS = 32
 MOST_PAIRS = 4_000_000
 
 
+class Spelling:
+    """The bytes of a table's entries, looked up for many of them at once."""
+
+    def __init__(self, table: list[bytes]):
+        self.size = np.array([len(x) for x in table], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(table), np.uint8)
+
+    def spell(self, ids: np.ndarray, step: int = 1 << 16) -> bytes:
+        """The bytes of these entries end to end; ``step`` of them are in work at once."""
+        out = []
+        for i in range(0, len(ids), step):
+            part = ids[i : i + step]
+            size = self.size[part]
+            at = np.repeat(self.start[part] - np.cumsum(size) + size, size)
+            at += np.arange(len(at))
+            out.append(self.data[at].tobytes())
+        return b"".join(out)
+
+
 class Bytes:
     """Encodes by a byte-level BPE file, given as text; the strings of special tokens are ordinary text.
 
@@ -59,7 +81,7 @@ class Pieces:
     """Encodes by a sentencepiece model, given as bytes, which puts a space before each text itself.
 
     No piece has a space behind another character (checked), so what lies between spaces is encoded by itself, once
-    while it is remembered; ``remembered`` bounds the memory.
+    while it is remembered, without its first space; ``remembered`` bounds the memory.
     """
 
     def __init__(self, model: bytes, remembered: int = 200_000):
@@ -69,35 +91,49 @@ class Pieces:
         size = self.library.get_piece_size()
         shown = [self.library.id_to_piece(i) for i in range(size)]
         self.table: list[bytes] = [bytes([int(s[3:5], 16)]) if self.library.is_byte(i) else b"" if self.library.is_control(i) else s.replace(SPACE, " ").encode() for i, s in enumerate(shown)]
-        self.remembered, self.known = remembered, {}
+        self.remembered = remembered
+        self.known: dict[str, bytes] = {}
         self.letter = len(self.library.encode("a"))
-        self.split = re.compile(r" +[^ ]*").findall
+        self.runs = re.compile(r" +[^ ]*").findall
         # A model that changes spaces is given whole texts too.
         probe = "a  b c  "
-        self.apart = not any(SPACE in s.lstrip(SPACE) for s in shown) and [i for x in self._fresh(self.split(" " + probe)) for i in x] == self.library.encode(probe)
+        self.apart = not any(SPACE in s.lstrip(SPACE) for s in shown) and b"".join(self._fresh(self._split(probe))) == np.array(self.library.encode(probe), np.int32).tobytes()
+
+    def _split(self, text: str) -> list[str]:
+        """Each run of spaces with what follows it, the text's own space included; the first space of each is left out."""
+        if text[:1] != " " and "  " not in text:
+            return text.split(" ")
+        return [s[1:] for s in self.runs(" " + text)]
 
-    def _fresh(self, segments: list[str]) -> list[list[int]]:
-        """The ids of segments that begin with a space; one of spaces alone needs something before it."""
+    def _fresh(self, segments: list[str]) -> list[bytes]:
+        """The ids of segments, each behind a space; one of spaces alone needs something before it."""
         blank = [not s.strip(" ") for s in segments]
-        ids = self.library.encode(["a" + s if b else s[1:] for s, b in zip(segments, blank, strict=True)], num_threads=1)
-        return [x[self.letter :] if b else x for x, b in zip(ids, blank, strict=True)]
+        ids = self.library.encode(["a " + s if b else s for s, b in zip(segments, blank, strict=True)], num_threads=1)
+        return [array("i", x[self.letter :] if b else x).tobytes() for x, b in zip(ids, blank, strict=True)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers."""
         if not self.apart:
-            return self.library.encode(texts, num_threads=1)
-        parts = [self.split(" " + t) if SPACE not in t else None for t in texts]
-        known = self.known
-        fresh = list({s for part in parts if part for s in part}.difference(known))
+            return [array("i", x).tobytes() for x in self.library.encode(texts, num_threads=1)]
+        parts = [self._split(t) if SPACE not in t else None for t in texts]
+        known, every = self.known, set()
+        for part in parts:
+            every.update(part or ())
+        fresh = list(every.difference(known))
         if len(known) + len(fresh) > self.remembered:
             known.clear()
-            fresh = list({s for part in parts if part for s in part})
+            fresh = list(every)
         known.update(zip(fresh, self._fresh(fresh), strict=True))
-        out = [[i for s in part for i in known[s]] if part else self.library.encode(t, num_threads=1) for t, part in zip(texts, parts, strict=True)]
+        get = known.__getitem__
+        out = [b"".join(map(get, part)) if part else array("i", self.library.encode(t, num_threads=1)).tobytes() for t, part in zip(texts, parts, strict=True)]
         for s in fresh:
-            if len(s) > 64:
+            if len(s) >= 64:
                 del known[s]
         return out
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed(texts)]
+
 
 @cache
 def _first(text: str) -> Bytes:
@@ -111,13 +147,24 @@ def _second(model: bytes) -> Pieces:
 
 def cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ends that both have, and the group of each token: how many cuts lie before its end."""
-    common = np.intersect1d(ends_a, ends_b)
+    # Ends are in order, so repeats are neighbours and need not be looked for.
+    once_a, once_b = (x[np.append(x[1:] != x[:-1], True)] if len(x) else x for x in (ends_a, ends_b))
+    common = np.intersect1d(once_a, once_b, assume_unique=True)
     return common, np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
 
 
+def spelled(spelling: Spelling, ids: np.ndarray, many: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """Whether the tokens of each text, ``many`` of them, are its bytes."""
+    ends = np.concatenate([[0], np.cumsum(spelling.size[ids])])[np.concatenate([[0], np.cumsum(many)])].tolist()
+    text = spelling.spell(ids)
+    return np.array([text[lo:hi] == r for lo, hi, r in zip(ends[:-1], ends[1:], raw, strict=True)], bool)
+
+
 def links(ends_a: np.ndarray, ends_b: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every pair of tokens that end together: the cut, the first's index and the second's. Tokens without bytes end with others."""
     low_a, low_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
+    if all((x[1:] > x[:-1]).all() for x in (ends_a, ends_b)):
+        return np.arange(len(common)), low_a, low_b
     many_a, many_b = np.searchsorted(ends_a, common, "right") - low_a, np.searchsorted(ends_b, common, "right") - low_b
     many = many_a * many_b
     at = np.repeat(np.arange(len(common)), many)
@@ -128,43 +175,44 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray, common: np.ndarray) -> tuple[n
 class Aligner:
     def __init__(self, first: Bytes, second: Pieces):
         self.first, self.second = first, second
-        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (first.table, second.table))
+        self.spelling_a, self.spelling_b = Spelling(first.table), Spelling(second.table)
         # Each id as it is written: followed by a comma, or by what ends its part of a group.
         a, b = [str(i) for i in range(len(first.table))], [str(i) for i in range(len(second.table))]
-        self.shown = [x + s for ids, s in ((a, ","), (a, "|"), (b, ","), (b, ";")) for x in ids]
+        self.shown = Spelling([(x + s).encode() for ids, s in ((a, ","), (a, "|"), (b, ","), (b, ";")) for x in ids])
         self.at = np.cumsum([0, len(a), len(a), len(b)])
 
-    def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """For each text its numbers of tokens (both), groups and links, and its groups as text; the links as pairs of
         ids, and where those of each text begin."""
-        raw = [(" " + t).encode() for t in texts if t]
-        a, b = self.first.encode(live := [t for t in texts if t]), self.second.encode(live)
-        get_a, get_b = self.first.table.__getitem__, self.second.table.__getitem__
-        good = [b"".join(map(get_a, x)) == r == b"".join(map(get_b, y)) for x, y, r in zip(a, b, raw, strict=True)]
-        place = np.flatnonzero([bool(t) for t in texts])[np.array(good, bool)] if live else np.zeros(0, np.int64)
-        a, b, raw = ([x for x, g in zip(xs, good, strict=True) if g] for xs in (a, b, raw))
-        counts, shown, starts = np.zeros((len(texts), 4), np.int64), [""] * len(texts), np.zeros(len(texts) + 1, np.int64)
-        if not a:
+        live = [t for t in texts if t]
+        counts, shown, starts = np.zeros((len(texts), 4), np.int64), [b""] * len(texts), np.zeros(len(texts) + 1, np.int64)
+        raw, a, b = [(" " + t).encode() for t in live], self.first.encode(live), self.second.packed(live)
+        n_a, n_b, size = np.array([len(x) for x in a], np.int64), np.array([len(x) // 4 for x in b], np.int64), np.array([len(r) for r in raw], np.int64)
+        ids_a, ids_b = np.fromiter(chain.from_iterable(a), np.int32, n_a.sum()), np.frombuffer(b"".join(b), np.int32)
+        # Texts whose tokens do not spell them are left out.
+        good = spelled(self.spelling_a, ids_a, n_a, raw) & spelled(self.spelling_b, ids_b, n_b, raw)
+        if not good.all():
+            ids_a, ids_b, n_a, n_b, size = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)], n_a[good], n_b[good], size[good]
+        if not len(size):
             return counts, shown, np.zeros(0, np.int64), starts
-        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        ids_a, ids_b = np.concatenate([np.array(x, np.int64) for x in a]), np.concatenate([np.array(x, np.int64) for x in b])
-        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
-        until = np.cumsum([len(r) for r in raw])
+        place = np.flatnonzero([bool(t) for t in texts])[good]
+        ends_a, ends_b = np.cumsum(self.spelling_a.size[ids_a]), np.cumsum(self.spelling_b.size[ids_b])
         common, group_a, group_b = cuts(ends_a, ends_b)
         at, link_a, link_b = links(ends_a, ends_b, common)
-        doc = np.searchsorted(until, common)
-        many = np.bincount(doc[at], minlength=len(a))
-        counts[place] = np.column_stack([n_a, n_b, np.bincount(doc, minlength=len(a)), many])
+        doc = np.searchsorted(np.cumsum(size), common)
+        many = np.bincount(doc[at], minlength=len(size))
+        counts[place] = np.column_stack([n_a, n_b, np.bincount(doc, minlength=len(size)), many])
         starts[1:][place] = many
         # Tokens in order of their groups, the first tokenizer's before the second's.
         last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
+        until_a, until_b = (np.cumsum(np.bincount(g + 1, minlength=len(common) + 1)) for g in (group_a, group_b))
         order = np.empty(len(ids_a) + len(ids_b), np.int64)
-        order[np.arange(len(ids_a)) + np.searchsorted(group_b, group_a)] = ids_a + self.at[last_a.astype(np.int64)]
-        order[np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")] = ids_b + self.at[2 + last_b.astype(np.int64)]
-        texts_of = list(map(self.shown.__getitem__, order.tolist()))
-        for p, lo, hi in zip(place.tolist(), (w := np.cumsum(n_a + n_b) - n_a - n_b).tolist(), (w + n_a + n_b).tolist(), strict=True):
-            shown[p] = "".join(texts_of[lo:hi])[:-1]
-        return counts, shown, ids_a[link_a] << PAIR_BITS | ids_b[link_b], np.cumsum(starts)
+        order[np.arange(len(ids_a)) + until_b[group_a]] = ids_a + self.at[last_a.astype(np.int64)]
+        order[np.arange(len(ids_b)) + until_a[group_b + 1]] = ids_b + self.at[2 + last_b.astype(np.int64)]
+        text, until = self.shown.spell(order), np.concatenate([[0], np.cumsum(self.shown.size[order])])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        for p, lo, hi in zip(place.tolist(), until[:-1], until[1:], strict=True):
+            shown[p] = text[lo : hi - 1]
+        return counts, shown, ids_a[link_a].astype(np.int64) << PAIR_BITS | ids_b[link_b], np.cumsum(starts)
 
 
 def align(docs: DataFrame, first_path: str, second_path: str, groups: bool = True, piece_bytes: int = 1 << 20) -> DataFrame:
@@ -184,9 +232,9 @@ def align(docs: DataFrame, first_path: str, second_path: str, groups: bool = Tru
         aligner = Aligner(_first(files.value[0]), _second(files.value[1]))
         for batch in pieces(batches, "text", piece_bytes):
             counts, shown, pairs, starts = aligner.align(batch.column("text").to_pylist())
-            hashes = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in shown]
+            hashes = [hashlib.sha256(s).hexdigest() if s else "" for s in shown]
             columns = [batch.column("doc_id"), *(pa.array(counts[:, k]) for k in range(4)), pa.array(hashes, pa.string()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(pairs))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(shown, pa.string())] if groups else columns, names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shown, pa.binary()).cast(pa.string())] if groups else columns, names)
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", *["groups"] * groups]
     kind = source.schema["doc_id"].dataType.simpleString()
