@@ -223,3 +223,23 @@ def test_neighbours_of_labels_with_other_rows(spark):
                 want = {float(np.mean([y for *_, y in near]))}
                 assert got.pop((r[0], label)) in want or len({d for d, *_ in near}) < 5
         assert not got
+
+
+def test_statistics_hold_each_row_once(spark):
+    rows = [
+        ("a/1.png", "a", "1", "M", 3.0, [1, 2], 1.0), ("a/1.png", "a", "1", "F", None, [], None), ("a/1.png", "b", "1", None, 70.5, None, 0.0), (None, "b", "2", "F", 1.0, [3], 1.0),
+        ("x.png", None, "2", "M", 2.0, [4], None), ("y.png", "b", None, "M", 9.0, [5], 1.0), ("z.png", None, None, "F", float("nan"), None, None), ("", "", "", "f", 5.0, [6, 7, 8], 2.0),
+    ]
+    table = spark.createDataFrame(rows, "image_path string, patient_id string, study_id string, sex string, age_years double, bbox array<int>, mass double")
+    got = H.statistics(table, ["mass"])
+    want = table.selectExpr(
+        "count(DISTINCT image_path) n_images", "count(DISTINCT patient_id, study_id) n_studies", "count(DISTINCT patient_id) n_patients", "count_if(sex = 'M') `n_M`", "count_if(sex = 'F') `n_F`",
+        "min(age_years) age_min", "max(age_years) age_max", "coalesce(sum(size(bbox)), 0) n_boxes", "count_if(mass = 1) pos_mass", "count_if(mass IS NULL) null_mass",
+    )
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema] and repr(got.collect()) == repr(want.collect())
+    assert got.first()[:5] == (5, 4, 3, 3, 3)
+    none = H.statistics(table.where("false"), ["mass"]).collect()
+    assert len(none) == 1 and none[0] == (0, 0, 0, 0, 0, None, None, 0, 0, 0)
+    assert H.statistics(table.select("image_path", "patient_id", "study_id")).collect() == [(5, 4, 3)]
+    # No row is sent once for each of the counts.
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()

@@ -133,18 +133,29 @@ def integrity(table: DataFrame, labels: Iterable[str] = (), regressions: Iterabl
 
 
 def statistics(table: DataFrame, labels: Iterable[str] = ()) -> DataFrame:
-    """One row of counts: images, studies, patients, sexes, ages, boxes and the positives and blanks of each label."""
+    """One row of counts: images, studies, patients, sexes, ages, boxes and the positives and blanks of each label.
+
+    Images are counted by themselves and the rest by study, then by patient: a task holds a row once, not once for each
+    kind of key that is counted. The table is read for either.
+    """
     has = lambda c: c in table.columns
-    out = [F.count_distinct("image_path").alias("n_images"), F.count_distinct("patient_id", "study_id").alias("n_studies"), F.count_distinct("patient_id").alias("n_patients")]
+    out, how = {}, {"n_studies": F.sum}
     if has("sex"):
-        out += [F.count_if(F.col("sex") == s).alias(f"n_{s}") for s in ("M", "F")]
+        out |= {f"n_{s}": F.count_if(F.col("sex") == s) for s in ("M", "F")}
     if has("age_years"):
-        out += [F.min("age_years").alias("age_min"), F.max("age_years").alias("age_max")]
+        out |= {"age_min": F.min("age_years"), "age_max": F.max("age_years")}
+        how |= {"age_min": F.min, "age_max": F.max}
     if has("bbox"):
-        out.append(F.coalesce(F.sum(F.size("bbox")), F.lit(0)).alias("n_boxes"))
+        out["n_boxes"] = F.sum(F.size("bbox"))
     for c in sorted(labels):
-        out += [F.count_if(F.col(c) == 1).alias(f"pos_{c}"), F.count_if(F.col(c).isNull()).alias(f"null_{c}")]
-    return table.agg(*out)
+        out |= {f"pos_{c}": F.count_if(F.col(c) == 1), f"null_{c}": F.count_if(F.col(c).isNull())}
+    how |= {c: F.sum for c in out if c not in how}
+    again = [f(c).alias(c) for c, f in how.items()]
+    known = F.col("patient_id").isNotNull() & F.col("study_id").isNotNull()
+    studies = table.groupBy("patient_id", "study_id").agg(known.cast("int").alias("n_studies"), *(v.alias(c) for c, v in out.items()))
+    rest = studies.groupBy("patient_id").agg(*again).agg(F.count("patient_id").alias("n_patients"), *again)
+    images = table.agg(F.count_distinct("image_path").alias("n_images"))
+    return images.crossJoin(rest.fillna(0, [c for c, f in how.items() if f is F.sum])).select("n_images", "n_studies", "n_patients", *out)
 
 
 def same_table(a: DataFrame, b: DataFrame) -> bool:
